@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
+from .token_shards import op1_token_shards
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
