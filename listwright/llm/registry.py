@@ -5,6 +5,7 @@ from __future__ import annotations
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
 from .token_shards import op1_token_shards
+from .trie_bpe import op7_trie_bpe
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op7_trie_bpe": op7_trie_bpe,
 }
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix_sources": OP5_SQL, "op6_line_dedup": OP6_SQL}

@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,12 @@ class PieceEncoder:
         return [self._whole([t])[0] if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def _loaded(path: str, dtype: str) -> PieceEncoder:
+    """One encoder for each Python worker: its pieces serve all tasks that the worker runs."""
+    return PieceEncoder(path, dtype)
+
+
 # ---- the index ----
 
 
@@ -238,7 +245,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer, dtype)
+        encoder = _loaded(tokenizer, dtype)
         end = np.array([end_id], dtype).tobytes()
         keys, lengths, nulls = [], [], 0
 
