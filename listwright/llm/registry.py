@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
+from .telephony import op8_telephony
 from .token_shards import op1_token_shards
 from .trie_bpe import op7_trie_bpe
 from .url_filter import OP3_SQL, op3_url_filter
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op7_trie_bpe": op7_trie_bpe,
+    "op8_telephony": op8_telephony,
 }
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix_sources": OP5_SQL, "op6_line_dedup": OP6_SQL}
