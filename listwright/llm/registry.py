@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
 from .telephony import op8_telephony
@@ -12,6 +13,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op7_trie_bpe": op7_trie_bpe,
