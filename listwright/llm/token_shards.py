@@ -37,7 +37,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?= [^{WHITE}])|[{WHITE}]+[^{WHITE}]+|[{WHITE}]+")
 END_ID = 0
 #: pieces in each of the two generations that a task keeps, and bytes of text encoded at a time
-CACHE_PIECES, ENCODE_BYTES = 400_000, 2 << 20
+CACHE_PIECES, ENCODE_BYTES = 250_000, 1 << 20
 
 
 class PieceEncoder:
