@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_id import op4_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
+from .pseudonyms import op10_pseudonyms
 from .quality import op9_quality
 from .telephony import op8_telephony
 from .token_shards import op1_token_shards
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_trie_bpe": op7_trie_bpe,
     "op8_telephony": op8_telephony,
     "op9_quality": op9_quality,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix_sources": OP5_SQL, "op6_line_dedup": OP6_SQL}
