@@ -151,9 +151,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int):
             if j - i >= k:
                 yield np.unique(hashes[i : j - k + 1])
             elif j > i:
-                h = np.uint64(j - i)
+                h = np.array([j - i], np.uint64)
                 for x in words.hash[i:j]:
-                    h = mix(np.array([h * np.uint64(31) + x], np.uint64))[0]
-                yield np.array([h], np.uint64)
+                    h = mix(h * np.uint64(31) + x)
+                yield h
             else:
                 yield np.zeros(0, np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op2_jaccard_join
 from .language_id import op4_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mix_sources
@@ -14,6 +15,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
