@@ -189,7 +189,8 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = saved(index_sets(rows, words, percent, count_shingles(rows, words, work)), f"{work}/sets")
     named = sets.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("set_1", "set_2", "n").agg(F.min("doc_id").alias("rep"))
+    # a table, so that the joins below deal by all their keys and copies of one text do not meet in one task
+    reps = saved(named.groupBy("set_1", "set_2", "n").agg(F.min("doc_id").alias("rep")), f"{work}/reps")
     first = reps.select("set_1", "set_2", "n", F.col("rep").alias("doc_id"), "rep")
     classes = saved(named.where("shingles is not null").join(first, ["set_1", "set_2", "n", "doc_id"]).select("rep", "n", "tokens", "places", "shingles"), f"{work}/classes")
 

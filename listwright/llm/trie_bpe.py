@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from os.path import commonprefix
@@ -39,7 +40,8 @@ PIECES = regex.compile(f"[^{WHITE}]+")
 #: characters that Python's split() takes for white space and the tokenizer does not
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 END = "</w>"
-CACHE_PIECES, CACHE_PAIRS, CHUNK = 250_000, 1_000_000, 1 << 20
+#: pieces and words in each of two generations, and pairs of tokens, that a Python worker keeps; bytes of text at a time
+CACHE_PIECES, CACHE_PAIRS, CHUNK = 100_000, 400_000, 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,7 +71,7 @@ class TrieBpe:
         self.proper: dict[str, bool] = {}
         self.spines: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: list[dict[str, list[str]]] = [{}, {}]
+        self.words: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
         self.ids: list[dict[str, bytes]] = [{}, {}]
         self.decoded: list[dict[str, bytes]] = [{}, {}]
 
@@ -195,14 +197,16 @@ class TrieBpe:
                         new.add(w)
                     else:
                         words[w] = known
-        words.update(self.encode_words(new))
-        vocab, ids, decoded = self.vocab, self.ids[0], self.decoded[0]
+        for w, tokens in self.encode_words(new).items():
+            words[w] = self._coded(tokens)
+        ids, decoded = self.ids[0], self.decoded[0]
         for p, part in zip(pieces, parts, strict=True):
-            tokens: list[str] = []
-            for w in part:
-                tokens += words[w] if isinstance(w, str) else [self.token[w]]
-            ids[p] = np.array([vocab[t] if t in vocab else self.special[t] for t in tokens], "<u4").tobytes()
-            decoded[p] = " ".join(tokens).encode()
+            coded = [words[w] if isinstance(w, str) else self._coded([self.token[w]]) for w in part]
+            ids[p], decoded[p] = coded[0] if len(coded) == 1 else (b"".join([x for x, _ in coded]), b" ".join([x for _, x in coded]))
+
+    def _coded(self, tokens: list[str]) -> tuple[bytes, bytes]:
+        vocab, special = self.vocab, self.special
+        return array("I", [vocab[t] if t in vocab else special[t] for t in tokens]).tobytes(), " ".join(tokens).encode()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import salary, search, text, url
-from ..operators import board, health, history, lifecycle, pages
+from ..functions import country, salary, search, text, url
+from ..operators import board, health, history, lifecycle, pages, resolve, scoring
 from ..sources.tables import table
+from ..sources.work import work_dir
+from ..streaming import log
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,3 +357,73 @@ def visible_text(spark: SparkSession, d: str) -> DataFrame:
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Each page's links with their best titles (tested against the standard library's HTML parser)."""
     return pages.best_titles(pages.links(table(spark, d, "pages")))
+
+
+LEXICON = scoring.Lexicon(
+    strong={"metal": ["bolt", "steel"], "colour": ["red", "blue"], "make": ["gear", "hammered copper"]},
+    weak={"metal": ["copper", "tin"], "colour": ["green"]},
+    label_only=["colour"], title_strong=r"(?i)\bbolt", title_weak=r"(?i)\b(?:red|gear)", text_strong=r"(?:steel|copper)", text_weak=r"tin", requirement=r"(?i)polished", negative=r"economy", corporate=r"(?i)\bblue",
+)
+
+CATEGORY_SQL = """
+WITH t AS (SELECT p_partkey, p_name, lower(p_name) AS t, lower(p_type) AS r FROM part),
+w AS (SELECT *, '(^|[^a-z0-9_])(' AS a, ')(s|es)?($|[^a-z0-9_])' AS z FROM t),
+s AS (SELECT p_partkey, p_name, t, r,
+  CASE WHEN regexp_matches(t, a || 'red|blue' || z) THEN 6 ELSE 0 END + CASE WHEN regexp_matches(t, a || 'green' || z) THEN 3 ELSE 0 END AS ct, CASE WHEN regexp_matches(r, a || 'red' || z) AND regexp_matches(r, a || 'blue' || z) THEN 4 WHEN regexp_matches(r, a || 'red|blue' || z) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(r, a || 'green' || z) THEN 1 ELSE 0 END AS cr,
+  CASE WHEN regexp_matches(t, a || 'gear|hammered copper' || z) THEN 6 ELSE 0 END AS gt, CASE WHEN regexp_matches(r, a || 'gear|hammered copper' || z) THEN 3 ELSE 0 END AS gr,
+  CASE WHEN regexp_matches(t, a || 'bolt|steel' || z) THEN 6 ELSE 0 END + CASE WHEN regexp_matches(t, a || 'copper|tin' || z) THEN 3 ELSE 0 END AS mt, CASE WHEN regexp_matches(r, a || 'bolt' || z) AND regexp_matches(r, a || 'steel' || z) THEN 4 WHEN regexp_matches(r, a || 'bolt|steel' || z) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(r, a || 'copper' || z) THEN 1 ELSE 0 END + CASE WHEN regexp_matches(r, a || 'tin' || z) THEN 1 ELSE 0 END AS mr FROM w)
+SELECT p_partkey, p_name, t, r, list_filter([CASE WHEN ct + cr >= 5 THEN 'colour' END, CASE WHEN gt + gr >= 5 THEN 'make' END, CASE WHEN mt + mr >= 5 THEN 'metal' END], lambda x: x IS NOT NULL) AS categories FROM s"""
+
+
+@query(f"""WITH c AS ({CATEGORY_SQL}),
+x AS (SELECT *, regexp_matches(p_name, '(?i)\\bbolt') AS st, regexp_matches(p_name, '(?i)\\b(red|gear)') AS wk, len(regexp_extract_all(r, 'steel|copper')) AS ds, len(regexp_extract_all(r, 'tin')) AS dw, len(list_filter(categories, lambda v: v <> 'colour')) > 0 AS dom, p_partkey % 3 = 0 AS native FROM c),
+y AS (SELECT *, CASE WHEN st THEN 60 WHEN wk THEN 30 ELSE 0 END + CASE WHEN ds >= 3 THEN 35 WHEN ds >= 1 THEN 20 WHEN dw >= 3 THEN 15 ELSE 0 END + CASE WHEN r LIKE '%polished%' THEN 45 ELSE 0 END + CASE WHEN dom AND native THEN 35 WHEN dom THEN 25 ELSE 0 END AS raw FROM x),
+z AS (SELECT *, greatest(raw + CASE WHEN native AND raw > 0 THEN 10 ELSE 0 END - CASE WHEN r LIKE '%economy%' OR t LIKE '%economy%' THEN 45 ELSE 0 END - CASE WHEN regexp_matches(p_name, '(?i)\\bblue') AND NOT st THEN 70 ELSE 0 END, 0) AS score FROM y)
+SELECT p_partkey, array_to_string(categories, ',') AS categories, score::INTEGER AS relevance_score, score > 0 AND score >= CASE WHEN native THEN 45 ELSE 50 + CASE WHEN NOT st AND NOT wk THEN 15 ELSE 0 END END AS is_audio_related FROM z""")
+def categories_and_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Categories and relevance of titles and descriptions under a small lexicon."""
+    rows = table(spark, d, "part").select("p_partkey", c("p_name").alias("title"), c("p_type").alias("description"), c("p_type").alias("role_text"), F.when(c("p_partkey") % 3 == 0, "native").otherwise("partial").alias("audio_scope"))
+    scored = scoring.with_relevance(scoring.with_categories(rows, LEXICON), LEXICON)
+    return scored.select("p_partkey", F.array_join("categories", ",").alias("categories"), "relevance_score", "is_audio_related")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN n_nationkey WHEN 2 THEN n_nationkey WHEN 3 THEN NULL ELSE n_nationkey END AS country FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def country_of_location(spark: SparkSession, d: str) -> DataFrame:
+    """Countries of written places; unknown and contradictory ones have none."""
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name")
+    lexicon = nations.select(F.lit("name").alias("kind"), country.fold(c("n_name")).alias("phrase"), c("n_nationkey").alias("country"))
+    lexicon = lexicon.union(nations.select(F.lit("city"), F.concat(F.lit("port "), F.lower("n_name"), F.lit(" city")), "n_nationkey"))
+    first = F.first("n_name").over(Window.partitionBy(F.lit(1)).orderBy("n_nationkey"))
+    second = F.nth_value("n_name", 2).over(Window.partitionBy(F.lit(1)).orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    named = nations.withColumn("other", F.when(c("n_name") == first, second).otherwise(first))
+    rows = table(spark, d, "customer").join(F.broadcast(named), c("c_nationkey") == c("n_nationkey"))
+    place = F.when(c("c_custkey") % 5 == 0, "Remote - anywhere").when(c("c_custkey") % 5 == 1, F.concat(F.lit("Somewhere (hub), "), "n_name")).when(c("c_custkey") % 5 == 2, F.concat(F.lower("n_name"), F.lit(" | office")))
+    place = place.when(c("c_custkey") % 5 == 3, F.concat("n_name", F.lit("; "), "other")).otherwise(F.concat(F.lit("Great "), "n_name", F.lit(" area")))
+    return country.detect_country(rows.select("c_custkey", place.alias("place")), "place", lexicon).select("c_custkey", "country")
+
+
+@query("""SELECT upper(c_name) || ' & Co., Ltd.' AS name, c_name AS matched FROM customer""")
+def name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Names written otherwise, matched to the known ones."""
+    known = table(spark, d, "customer").select(c("c_name").alias("name"))
+    return resolve.match_names(known.select(F.concat(F.upper("name"), F.lit(" & Co., Ltd.")).alias("name")), known)
+
+
+@query("""WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS INTEGER) % 90 AS score, 'u' || event_id AS url FROM events), g AS (SELECT user_id, min(event_id) FILTER (WHERE score >= 70) AS stop FROM s GROUP BY 1),
+t AS (SELECT s.* FROM s JOIN g USING (user_id) WHERE stop IS NULL OR event_id <= stop)
+SELECT user_id, count(*) OVER (PARTITION BY user_id) AS tried, score, url FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1""")
+def best_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.floor("value").cast("int") % 90).alias("score"), F.concat(F.lit("u"), c("event_id")).alias("url"))
+    return resolve.best_candidates(rows, "user_id", "event_id", "score", "url")
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The log read as a stream to its end, counted by day in a table that each batch replaces."""
+    source = table(spark, d, "events").schema
+    out = work_dir(spark, "stream-counts")
+    stream = spark.readStream.schema(source).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    counts = log.daily_counts(stream)
+    write = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/counts")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/counts")
