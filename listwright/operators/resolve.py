@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.country import fold
 
@@ -23,7 +24,7 @@ def normalize_name(name: Column, legal: Sequence[str] = LEGAL_WORDS) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & (w != "and") & ~w.isin(*legal)), " ")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names, 0 to 1, by matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
