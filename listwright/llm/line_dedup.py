@@ -3,6 +3,7 @@
 Every non-blank line is hashed; for each hash a HyperLogLog sketch of the sites it occurs on is built on the map side
 and merged by aggregation. Lines whose estimate is clearly over the threshold are boilerplate, clearly under are not;
 those near the threshold get an exact distinct count first. Boilerplate lines are then taken out of every document.
+A line of a third of all rows is no hot key: one sketch of it leaves each task.
 
 Defined cases: a null text stays null, an empty one empty; blank lines are kept and never counted. A null site is the
 site ''. A document whose lines all go keeps its row with an empty text. Repeated rows and ties are treated alike.
@@ -34,15 +35,13 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     """(line_hash) of the lines that occur on `min_sites` sites or more."""
     one = docs.select(F.explode(_lines(F.col(text))).alias("line"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
     hashed = one.where(~_blank(F.col("line"))).select(F.xxhash64("line").alias("line_hash"), "site")
-    # one row for each (line, site) leaves the map side, so that a line of a third of all rows is no hot key
-    pairs = hashed.groupBy("line_hash", "site").agg(F.count("*").alias("rows"))
-    sketched = pairs.groupBy("line_hash").agg(F.count("*").alias("parts"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    estimated = sketched.select("line_hash", F.hll_sketch_estimate("sketch").alias("sites"))
+    estimated = hashed.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     over, under = min_sites * (1 + NEAR), min_sites * (1 - NEAR)
-    sure = estimated.where(F.col("sites") > over).select("line_hash")
-    near = estimated.where(F.col("sites").between(under, over)).select("line_hash")
-    exact = pairs.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count_distinct("site").alias("sites"))
-    return sure.unionAll(exact.where(F.col("sites") >= min_sites).select("line_hash"))
+    # a table of its own: few lines come near the threshold, and the join below sees how few
+    candidates = saved(estimated.where(F.col("sites") >= under), f"{work_dir(docs.sparkSession, 'line-sketches')}/candidates")
+    near = candidates.where(F.col("sites") <= over).select("line_hash")
+    exact = hashed.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count_distinct("site").alias("sites"))
+    return candidates.where(F.col("sites") > over).select("line_hash").unionAll(exact.where(F.col("sites") >= min_sites).select("line_hash"))
 
 
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
