@@ -3,7 +3,8 @@
 A source of n documents that should hold the share w of a mix as large as the corpus gets the mean repetition rate
 w * total / n. Each document draws its count from a Poisson distribution of that mean, inverted at a uniform number
 hashed from (seed, key), is exploded that many times, and the copies are ordered by another hash over all partitions.
-Sources without a stated weight share what the stated ones leave, in proportion to their documents.
+Sources without a stated weight share what the stated ones leave, in proportion to their documents. A rate over
+MAX_RATE is the sum of equal parts, each drawn by its own number, since a sum of Poisson counts is one.
 
 Defined cases: a null source counts as the source ''. A null key or text is hashed as ''. Repeated rows (equal key and
 text) draw the same count. An empty table gives an empty result; a stated weight of an absent source is ignored and the
@@ -20,7 +21,7 @@ from .common import table
 
 WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.10, "src3": 0.02}
 SEED = 17
-#: exp(-rate) must stay a normal number; a higher rate is an error, never cut
+#: exp(-rate) must stay a normal number
 MAX_RATE = 500.0
 
 
@@ -44,7 +45,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float], source: str = "source") -> DataFrame:
-    """(source key, rate, cdf) for each source, from the counts of all rows."""
+    """(source key, rate, parts, cdf of a part) for each source, from the counts of all rows."""
     if sum(weights.values()) > 1 or min(weights.values(), default=0) < 0:
         raise ValueError("weights are shares of the mix: none below 0, 1 together at most")
     counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("n"))
@@ -53,18 +54,20 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], source: str = "
     totals = rows.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("w").isNull(), F.col("n"))).alias("free"))  # one row
     left = 1.0 - sum(weights.values())
     rate = F.when(F.col("w").isNotNull(), F.col("w") * F.col("total") / F.col("n")).otherwise(F.lit(left) * F.col("total") / F.col("free"))
-    return rows.crossJoin(F.broadcast(totals)).select("__source", F.when(rate > MAX_RATE, F.raise_error(F.lit("a source would be repeated over MAX_RATE times"))).otherwise(rate).alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    rates = rows.crossJoin(F.broadcast(totals)).select("__source", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int"))
+    return rates.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Each document as often as its Poisson count says, in an order that is random over the whole result."""
-    rates = repetition_rates(docs, weights, source).select(F.col("__source"), "cdf").withColumnRenamed("cdf", "__cdf")
+    rates = repetition_rates(docs, weights, source).select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    u = uniform(F.lit(str(seed)), name, F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")))
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), u.alias("__u"))
+    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")).alias("__text"))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda i: uniform(F.lit(str(seed)), name, F.col("__text"), F.when(i > 0, i.cast("string"))))
+    count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     # rates: a row per source, and Catalyst broadcasts it while it is small
-    counted = rows.join(rates, "__source").withColumn("n_copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+    counted = rows.join(rates, "__source").withColumn("n_copies", count)
     copies = counted.where(F.col("n_copies") > 0).select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     ordered = copies.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col("copy"))))
     return ordered.orderBy("order_key")
@@ -78,12 +81,15 @@ OP5_SQL = """
 WITH RECURSIVE c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
 w AS (SELECT s, n, CASE s WHEN 'src0' THEN 0.15::DOUBLE WHEN 'src1' THEN 0.08::DOUBLE WHEN 'src2' THEN 0.10::DOUBLE WHEN 'src3' THEN 0.02::DOUBLE END AS w FROM c),
 t AS (SELECT sum(n)::DOUBLE AS total, (sum(n) FILTER (WHERE w IS NULL))::DOUBLE AS free FROM w),
-r AS (SELECT s, least(CASE WHEN w IS NOT NULL THEN w * total / n ELSE (1.0::DOUBLE - (0.15::DOUBLE + 0.08::DOUBLE + 0.10::DOUBLE + 0.02::DOUBLE)) * total / free END, 500.0::DOUBLE) AS rate FROM w, t),
+q AS (SELECT s, CASE WHEN w IS NOT NULL THEN w * total / n ELSE (1.0::DOUBLE - (0.15::DOUBLE + 0.08::DOUBLE + 0.10::DOUBLE + 0.02::DOUBLE)) * total / free END AS rate FROM w, t),
+o AS (SELECT s, rate, greatest(1, ceil(rate / 500.0::DOUBLE))::INTEGER AS parts FROM q),
+r AS (SELECT s, rate / parts AS rate FROM o),
 cdf AS (SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS f FROM r
   UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
 l AS (SELECT s, list(f ORDER BY k) AS f FROM cdf GROUP BY s),
-d AS (SELECT documents.*, ('0x' || substr(md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-n AS (SELECT d.* EXCLUDE (u), len(list_filter(f, lambda x: x <= u))::INTEGER AS n_copies FROM d JOIN l ON coalesce(d.source, '') = l.s)
+d AS (SELECT documents.*, list_transform(range(parts), lambda i: ('0x' || substr(md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), CASE WHEN i > 0 THEN i::VARCHAR END)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS us
+  FROM documents JOIN o ON coalesce(documents.source, '') = o.s),
+n AS (SELECT d.* EXCLUDE (us), list_sum(list_transform(us, lambda u: len(list_filter(f, lambda x: x <= u))))::INTEGER AS n_copies FROM d JOIN l ON coalesce(d.source, '') = l.s)
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INTEGER AS copy, md5(concat_ws('|', 'order17', coalesce(doc_id::VARCHAR, ''), copy::VARCHAR)) AS order_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM n)
 """
