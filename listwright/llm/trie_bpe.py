@@ -8,8 +8,7 @@ follow from its last node back to the root.
 
 The tokenizer file is read as data: BPE with the word-end mark `</w>`, after Unicode NFC, lower case and the usual
 split into contractions, letters, single digits and other marks. Decoding follows the file too: tokens joined by a
-blank. Texts are cut at white space, where the pre-tokenizer always cuts, and what a piece encodes to is kept in two
-bounded generations.
+blank. What a word encodes to is kept in two bounded generations.
 
 Defined cases: a null text counts as empty: no ids, an empty decoded text. Special tokens written in a text become
 their ids, as the library does by default. Repeated rows give equal results; very long texts are handled whole; other
@@ -20,11 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import row_chunks, string_bytes, table
 
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PIECES = regex.compile(f"[^{WHITE}]+")
-#: characters that Python's split() takes for white space and the tokenizer does not
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: the same words in lower-cased ASCII; in this mode \s leaves out the separators 1C to 1F, as the tokenizer does
+ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 END = "</w>"
-#: pieces and words in each of two generations, and pairs of tokens, that a Python worker keeps; bytes of text at a time
-CACHE_PIECES, CACHE_PAIRS, CHUNK = 100_000, 400_000, 1 << 20
+#: words in each of two generations, and pairs of tokens, that a Python worker keeps; bytes of text at a time
+CACHE_WORDS, CACHE_PAIRS, CHUNK = 200_000, 400_000, 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,16 +60,18 @@ class TrieBpe:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {b: c for b, c in byte_letters().items()}
-        #: tokens inside words; tokens at their ends, without the mark; every ending of one, to stop looking for longer ones
-        self.inner = {t for t in self.vocab if not t.endswith(END)}
-        self.final = {t[: -len(END)] for t in self.vocab if t.endswith(END)}
+        #: tokens inside words, and tokens at their ends without the mark, with whether their text encodes to them (None: not
+        #: looked at yet); every ending of one, to stop looking for longer ones
+        self.inner: dict[str, bool | None] = {t: None for t in self.vocab if not t.endswith(END)}
+        self.final: dict[str, bool | None] = {t[: -len(END)]: None for t in self.vocab if t.endswith(END)}
         self.inner_tails = {t[i:] for t in self.inner for i in range(len(t))}
         self.final_tails = {t[i:] for t in self.final for i in range(len(t))}
         self.made_by = {a + b: (a, b) for a, b in reversed(merges)}
-        self.proper: dict[str, bool] = {}
         self.spines: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
+        #: whether two tokens of a word stay apart, the second inside it or at its end
+        self.inner_pairs: dict[tuple[str, str], bool] = {}
+        self.final_pairs: dict[tuple[str, str], bool] = {}
+        #: ids and decoded text of words, in two generations
         self.ids: list[dict[str, bytes]] = [{}, {}]
         self.decoded: list[dict[str, bytes]] = [{}, {}]
 
@@ -117,47 +117,54 @@ class TrieBpe:
         They don't if some merge across their border comes while both its parts are at the border: after they are made
         and before they are taken up. At equal rank the merge further left comes first.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known, rank, starts = True, self.rank, self.spine(right, 0)
-            for x, x_made, x_taken in self.spine(left, 1):
-                for y, y_made, y_taken in starts:
-                    q = rank.get((x, y), -1)
-                    if q >= 0 and x_made < q < x_taken and y_made < q <= y_taken:
-                        known = False
-            self.pairs[left, right] = known
-        return known
-
-    def is_proper(self, token: str) -> bool:
-        """Whether the token's text encodes to the token."""
-        known = self.proper.get(token)
-        if known is None:
-            known = self.proper[token] = self.merge(self.symbols(token)) == [token]
-        return known
+        rank, starts = self.rank, self.spine(right, 0)
+        for x, x_made, x_taken in self.spine(left, 1):
+            for y, y_made, y_taken in starts:
+                q = rank.get((x, y), -1)
+                if q >= 0 and x_made < q < x_taken and y_made < q <= y_taken:
+                    return False
+        return True
+
+    def last_token(self, word: str, i: int, last: list[str], tokens: dict[str, bool | None], tails: set[str], pairs: dict[tuple[str, str], bool], mark: str) -> str:
+        """The last token of the word's first i letters, given those of its shorter prefixes."""
+        a = i - 1
+        while a and word[a - 1 : i] in tails:
+            a -= 1
+        while True:  # the longest first; exactly one fits
+            token = word[a:i]
+            proper = tokens.get(token, False)
+            if proper is None:
+                proper = tokens[token] = self.merge(self.symbols(token + mark)) == [token + mark]
+            if proper:
+                if not a:
+                    return token
+                pair = last[a], token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) > CACHE_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self.fits(last[a], token + mark)
+                if fits:
+                    return token
+            a += 1
 
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
         """Tokens of distinct words (in byte letters), by a depth-first walk of their trie."""
         out, last, before = {}, [""], ""
-        fits, proper = self.fits, self.is_proper
+        inner = self.inner, self.inner_tails, self.inner_pairs, ""
+        final = self.final, self.final_tails, self.final_pairs, END
+        last_token = self.last_token
         for word in sorted(words):
-            n = len(word)
             # states of the path that this word shares with the one before it
-            shared = min(len(commonprefix((before, word))), len(last) - 1, n - 1)
+            n, shared = len(word), 0
+            most = min(len(before), len(last) - 1, n - 1)
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
             del last[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                tokens, tails, mark = (self.inner, self.inner_tails, "") if i < n else (self.final, self.final_tails, END)
-                a = i - 1
-                while a and word[a - 1 : i] in tails:
-                    a -= 1
-                while True:  # the longest first; exactly one fits
-                    token = word[a:i]
-                    if token in tokens and (not a or fits(last[a], token + mark)) and proper(token + mark):
-                        break
-                    a += 1
-                last.append(token)
-            found, i = [last.pop() + END], a
+            for i in range(shared + 1, n):
+                last.append(last_token(word, i, last, *inner))
+            token = last_token(word, n, last, *final)
+            found, i = [token + END], n - len(token)
             while i:
                 found.append(last[i])
                 i -= len(last[i])
@@ -166,43 +173,27 @@ class TrieBpe:
             before = word
         return out
 
-    def _words_of(self, piece: str) -> list[str]:
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece)
-            piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
-        else:
-            piece = piece.lower()
-        if piece.isalpha():
-            found = [piece]
-        else:
-            found = WORDS.findall(piece)
-        letters = self.letters
-        return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in found]
-
-    def _new(self, pieces: list[str]) -> None:
-        parts: list[list[str | int]] = []
-        for p in pieces:
-            if self.special_re and "<|" in p and self.special_re.search(p):
-                part: list[str | int] = []
-                for x in self.special_re.split(p):
-                    part += [self.special[x]] if x in self.special else self._words_of(x)
-                parts.append(part)
-            else:
-                parts.append(self._words_of(p))
-        words, new = self.words[0], set()
-        for part in parts:
-            for w in part:
-                if w not in words and isinstance(w, str):
-                    if (known := self.words[1].get(w)) is None:
-                        new.add(w)
-                    else:
-                        words[w] = known
-        for w, tokens in self.encode_words(new).items():
-            words[w] = self._coded(tokens)
-        ids, decoded = self.ids[0], self.decoded[0]
-        for p, part in zip(pieces, parts, strict=True):
-            coded = [words[w] if isinstance(w, str) else self._coded([self.token[w]]) for w in part]
-            ids[p], decoded[p] = coded[0] if len(coded) == 1 else (b"".join([x for x, _ in coded]), b" ".join([x for _, x in coded]))
+    def _words_of(self, text: str) -> list[str]:
+        if text.isascii():
+            return ASCII_WORDS.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        return WORDS.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text; a special token is a word of its own."""
+        if self.special_re is None or not self.special_re.search(text):
+            return self._words_of(text)
+        found: list[str] = []
+        for part in self.special_re.split(text):
+            found += [part] if part in self.special else self._words_of(part)
+        return found
+
+    def _new(self, words: list[str]) -> None:
+        letters, ids, decoded = self.letters, self.ids[0], self.decoded[0]
+        written = {w: w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words if w not in self.special}
+        tokens = self.encode_words([*written.values()])
+        for w in words:
+            ids[w], decoded[w] = self._coded(tokens[written[w]] if w in written else [w])
 
     def _coded(self, tokens: list[str]) -> tuple[bytes, bytes]:
         vocab, special = self.vocab, self.special
@@ -210,23 +201,23 @@ class TrieBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
-        split = [PIECES.findall(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        for kept in (self.ids, self.decoded, self.words):
-            if len(kept[0]) > CACHE_PIECES:
+        split = [self._split(t) for t in texts]
+        for kept in (self.ids, self.decoded):
+            if len(kept[0]) > CACHE_WORDS:
                 kept[1], kept[0] = kept[0], {}
         wanted: set[str] = set()
-        for pieces in split:
-            wanted.update(pieces)
+        for words in split:
+            wanted.update(words)
         (ids, old_ids), (decoded, old_decoded), new = self.ids, self.decoded, []
-        for p in wanted:
-            if p not in ids:
-                if (known := old_ids.get(p)) is None:
-                    new.append(p)
+        for w in wanted:
+            if w not in ids:
+                if (known := old_ids.get(w)) is None:
+                    new.append(w)
                 else:
-                    ids[p], decoded[p] = known, old_decoded[p]
+                    ids[w], decoded[w] = known, old_decoded[w]
         if new:
             self._new(new)
-        return [(b"".join(map(ids.__getitem__, pieces)), b" ".join(map(decoded.__getitem__, pieces))) for pieces in split]
+        return [(b"".join(map(ids.__getitem__, words)), b" ".join(map(decoded.__getitem__, words))) for words in split]
 
 
 @lru_cache(1)
