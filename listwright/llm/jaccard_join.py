@@ -212,6 +212,19 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     own = entries.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_lists = saved(own.join(mixed, "token").withColumn("part", F.floor(F.col("place") * POSITIONS / F.greatest(F.col("n") * (100 - percent) / 100, F.lit(1.0))).cast("int")), f"{work}/open")
+    final = components
+    if not open_lists.isEmpty():
+        more = saved(_links_across(open_lists, answers, classes, percent), f"{work}/more")
+        if not more.isEmpty():
+            final = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), f"{work}/final")
+    labels = final.select(F.col("node").alias("rep"), "component")
+    known = reps.join(labels, "rep", "left").select("set_1", "set_2", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = sets.select("doc_id", "n", "set_1", "set_2").join(known, ["set_1", "set_2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _links_across(open_lists: DataFrame, answers: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The links between sets of different components: blocks of the lists that cannot be skipped, then their pairs."""
     blocks = open_lists.groupBy("token", "size", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.col("n")).alias("n_low"), F.max(F.col("n") - F.col("place")).alias("left"))
     x, y = blocks.alias("x"), blocks.alias("y")
     ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.part") <= F.col("y.part")))
@@ -226,13 +239,7 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     )
     pairs = pairs.select(F.least("rep_1", "rep").alias("a"), F.greatest("rep_1", "rep").alias("b")).distinct()
     pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(_compared(_not_apart(pairs, answers, percent), classes, percent).where("linked"), f"{work}/more")
-
-    final = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.select("a", "b")), f"{work}/final") if not more.isEmpty() else components
-    labels = final.select(F.col("node").alias("rep"), "component")
-    known = reps.join(labels, "rep", "left").select("set_1", "set_2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "set_1", "set_2").join(known, ["set_1", "set_2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return _compared(_not_apart(pairs, answers, percent), classes, percent).where("linked").select("a", "b")
 
 
 def _not_apart(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:

@@ -99,32 +99,28 @@ def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[n
 class Centroids:
     """The fitted model: languages, idf, centroids with their languages, and the limits of acceptance."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, texts: pa.Array, langs: list[str]):
         self.languages = sorted(set(langs))
-        index = {x: i for i, x in enumerate(self.languages)}
-        y = np.array([index[x] for x in langs], np.int64)
-        raw, offsets = lowered(pa.array(texts, pa.large_string()))
-        x = np.zeros((len(texts), FEATURES), np.float32)
+        y = np.array([self.languages.index(x) for x in langs], np.int64)
+        raw, offsets = lowered(texts)
+        found = np.zeros(FEATURES, np.int64)
         for a, b in small_chunks(offsets):
-            x[a:b] = vectors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
-        self.idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-        for a in range(0, len(x), ROWS_AT_ONCE):
-            part = x[a : a + ROWS_AT_ONCE]
-            part *= self.idf
-            part /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
-        rng, centers, owner = np.random.default_rng(11), [], []
-        for i in range(len(self.languages)):
-            found, _ = spherical_kmeans(x[y == i], CLUSTERS, rng)
-            centers.append(found)
-            owner += [i] * len(found)
-        self.centers = np.concatenate(centers) if centers else np.zeros((0, FEATURES), np.float32)
-        self.owner = np.array(owner, np.int64)
+            found += (count_ngrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) > 0).sum(0)
+        self.idf = np.log((1 + len(langs)) / (1 + found)).astype(np.float32) + 1
+        rng, centers = np.random.default_rng(11), []
         #: accepted from this cosine on, by language and length class; a class never seen takes the limit of the next longer one
         self.limits = np.full((len(self.languages), len(LENGTHS) + 1), 1.0, np.float32)
-        sizes = np.searchsorted(LENGTHS, np.diff(offsets), side="right")
-        for a in range(0, len(x), ROWS_AT_ONCE):
-            best = np.array([[(row @ self.centers[self.owner == c].T).max()] for row, c in zip(x[a : a + ROWS_AT_ONCE], y[a : a + ROWS_AT_ONCE], strict=True)])
-            np.minimum.at(self.limits, (y[a : a + ROWS_AT_ONCE], sizes[a : a + ROWS_AT_ONCE]), best[:, 0].astype(np.float32))
+        for i in range(len(self.languages)):  # the vectors of one language at a time
+            rows = np.flatnonzero(y == i)
+            part, at = lowered(pc.take(texts, pa.array(rows)))
+            x = np.zeros((len(rows), FEATURES), np.float32)
+            for a, b in small_chunks(at):
+                x[a:b] = vectors(part[at[a] : at[b]], at[a : b + 1] - at[a], self.idf)
+            own, _ = spherical_kmeans(x, CLUSTERS, rng)
+            centers.append(own)
+            np.minimum.at(self.limits[i], np.searchsorted(LENGTHS, np.diff(at), side="right"), (x @ own.T).max(1))
+        self.centers = np.concatenate(centers) if centers else np.zeros((0, FEATURES), np.float32)
+        self.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers]).astype(np.int64)
         self.limits = MARGIN * np.minimum.accumulate(self.limits[:, ::-1], axis=1)[:, ::-1]
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +141,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     shares = counts.withColumn("share", F.least(F.lit(LANGUAGE_ROWS), F.lit(SAMPLE_ROWS) / F.greatest(F.lit(1), F.count("*").over(_all()))) / F.col("n"))
     place = (F.xxhash64(F.lit("language-id"), "key") % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
     sample = rows.join(F.broadcast(shares.select("lang", "share")), "lang").where(place < F.col("share")).where(F.regexp_like("text", F.lit(r"\p{L}")))
-    got = sample.select("text", "lang").orderBy("lang", F.xxhash64("text")).limit(2 * SAMPLE_ROWS).toPandas()
-    return Centroids(got["text"].tolist(), got["lang"].tolist())
+    got = sample.select("text", "lang").orderBy("lang", F.xxhash64("text")).limit(2 * SAMPLE_ROWS).toArrow()
+    return Centroids(got["text"].combine_chunks(), got["lang"].to_pylist())
 
 
 def _all():
