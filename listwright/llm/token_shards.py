@@ -26,15 +26,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, row_chunks, string_bytes, table, work_dir
 
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: places where the byte-level pre-tokenizer always cuts: before white space that follows a word; a run's last blank goes with the word
-PIECES = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?= [^{WHITE}])|[{WHITE}]+[^{WHITE}]+|[{WHITE}]+")
+#: fixed values: the split of the byte-level pre-tokenizer
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+PIECES = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: the same for texts in Latin letters (ASCII, Latin-1, Extended-A), decimal digits and common marks, which need no Unicode classes
+_LETTER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"\t-\r \xa0"
+LATIN_PIECES = re.compile(CONTRACTIONS + rf"| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+NOT_LATIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 END_ID = 0
 #: pieces in each of the two generations that a task keeps, and bytes of text encoded at a time
 CACHE_PIECES, ENCODE_BYTES = 250_000, 1 << 20
@@ -55,7 +60,6 @@ class PieceEncoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # one character stands for one byte
-        self.line_break = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,46 +77,28 @@ class PieceEncoder:
                 at = end
 
     def _new(self, pieces: list[str]) -> None:
-        """A piece is a line break or none, a word, and closing marks or none; the pre-tokenizer cuts between them."""
-        young, words, others, made = self.young, set(), set(), []
+        words, others = [], []
         for p in pieces:
-            core = p.rstrip(".,;:!?")
-            tail = p[len(core) :]
-            lead, core = ("\n", core[1:]) if core[:1] == "\n" else ("", core)
-            if core.isalpha() or core[:1] == " " and core[1:].isalpha():
-                if core not in young:
-                    words.add(core)
-                if tail and tail not in young:
-                    others.add(tail)
-                if lead or tail:
-                    made.append((p, lead, core, tail))
-            else:
-                others.add(p)
-        self._words(list(words))
-        if others:
-            rest = list(others)
-            young.update(zip(rest, self._whole(rest), strict=True))
-        for p, lead, core, tail in made:
-            young[p] = (self.line_break if lead else b"") + young[core] + (young[tail] if tail else b"")
+            (words if p.isalpha() or p[0] == " " and p[1:].isalpha() else others).append(p)
+        self._words(words)
+        self.young.update(zip(others, self._whole(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [None if self.special and self.special.search(t) else PIECES.findall(t) for t in texts]
+        split: list[list[str] | None] = [None if self.special and self.special.search(t) else (PIECES if NOT_LATIN.search(t) else LATIN_PIECES).findall(t) for t in texts]
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         wanted: set[str] = set()
         for pieces in split:
             wanted.update(pieces or ())
-        young, old = self.young, self.old
-        new = []
-        for p in wanted:
-            if p not in young:
-                if (known := old.get(p)) is None:
-                    new.append(p)
-                else:
-                    young[p] = known
+        young, old, new = self.young, self.old, []
+        for p in wanted.difference(young):
+            if (known := old.get(p)) is None:
+                new.append(p)
+            else:
+                young[p] = known
         if new:
             self._new(new)
-        ids = self.young.__getitem__
+        ids = young.__getitem__
         return [self._whole([t])[0] if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, split, strict=True)]
 
 
