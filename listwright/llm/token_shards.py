@@ -42,7 +42,7 @@ LATIN_PIECES = re.compile(CONTRACTIONS + rf"| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK
 NOT_LATIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 END_ID = 0
 #: pieces in each of the two generations that a task keeps, and bytes of text encoded at a time
-CACHE_PIECES, ENCODE_BYTES = 250_000, 1 << 20
+CACHE_PIECES, ENCODE_BYTES = 500_000, 4 << 20
 
 
 class PieceEncoder:
