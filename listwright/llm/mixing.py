@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table, work_dir
 
 WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.10, "src3": 0.02}
 SEED = 17
 #: exp(-rate) must stay a normal number
 MAX_RATE = 500.0
+#: a source's rows meet its rate in so many groups, so that a source of a third of all rows is no hot key
+SALTS = 32
 
 
 def uniform(*parts: Column) -> Column:
@@ -61,13 +63,14 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], source: str = "
 def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Each document as often as its Poisson count says, in an order that is random over the whole result."""
     rates = repetition_rates(docs, weights, source).select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    # a table of its own, a row per source, so that Catalyst sees whether it is small enough to send to all tasks; the texts then stay where they are
+    rates = saved(rates, f"{work_dir(docs.sparkSession, 'mixing')}/rates").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")).alias("__text"))
+    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")).alias("__text"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__salt"))
     drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda i: uniform(F.lit(str(seed)), name, F.col("__text"), F.when(i > 0, i.cast("string"))))
     count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
-    # rates: a row per source, and Catalyst broadcasts it while it is small
-    counted = rows.join(rates, "__source").withColumn("n_copies", count)
+    counted = rows.join(rates, ["__source", "__salt"]).withColumn("n_copies", count)
     copies = counted.where(F.col("n_copies") > 0).select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     ordered = copies.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col("copy"))))
     return ordered.orderBy("order_key")
