@@ -14,7 +14,7 @@ Links are exact: two sets link if 100 * |A & B| >= percent * |A | B|. The join w
    distance is a metric, so |d(x, p) - d(y, p)| over the limit rules out a link of x and y.
 4. Skipping. Lists that still join different components are cut into blocks by size class and position. A pair of
    blocks is skipped as a whole if its positions leave too few shingles to share or it lies in one component; what is
-   left of the others is compared.
+   left of the others is compared, each pair at its first common shingle.
 5. Components of all links, by alternating stars.
 
 Defined cases: texts without words and null texts have the empty set and link with nothing. A text of fewer words than
@@ -39,6 +39,7 @@ WORDS, PERCENT = 3, 90
 #: bits of the bitmap of repeated shingles, number of counts sent to all tasks, and the least count worth sending
 BITMAP_BITS, MAX_FREQUENT, FREQUENT = 1 << 27, 1_000_000, 8
 FLUSH = 2_000_000
+MAX_EARLIER = 256
 POSITIONS = 8
 
 
@@ -196,8 +197,10 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
 
     # a little wider than the ratio of linked sizes, so that rounding never puts a class between them
     size_class = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    entries = classes.select("rep", "n", size_class.alias("size"), F.explode(F.arrays_zip("tokens", "places")).alias("e"))
-    entries = entries.select(F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), "rep", "n", "size")
+    entries = classes.select("rep", "n", size_class.alias("size"), "tokens", F.posexplode(F.arrays_zip("tokens", "places")).alias("pos", "e"))
+    # a long set's later entries go without the earlier ones: their pairs may be met more than once
+    earlier = F.when(F.col("pos") <= MAX_EARLIER, F.slice("tokens", 1, F.col("pos")))
+    entries = entries.select(F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), "rep", "n", "size", earlier.alias("earlier"))
 
     # answers by pivots
     pivots = entries.groupBy("token", "size").agg(F.min("rep").alias("pivot"), F.count("*").alias("sets"))
@@ -233,9 +236,11 @@ def _links_across(open_lists: DataFrame, answers: DataFrame, classes: DataFrame,
         ordered & (F.col("y.size") - F.col("x.size") <= 1) & several & _may_link(F.col("x.n_low"), F.col("y.n_low"), F.col("x.left"), F.col("y.left"), percent)
     )
     kept = kept.select(F.col("x.token").alias("token"), F.col("x.size").alias("size"), F.col("x.part").alias("part"), F.col("y.size").alias("size_2"), F.col("y.part").alias("part_2"))
-    left = kept.join(open_lists, ["token", "size", "part"]).select("token", F.col("size_2").alias("size"), F.col("part_2").alias("part"), F.col("rep").alias("rep_1"), F.col("n").alias("n_1"), F.col("place").alias("place_1"), F.col("component").alias("component_1"))
+    left = kept.join(open_lists, ["token", "size", "part"]).select("token", F.col("size_2").alias("size"), F.col("part_2").alias("part"), F.col("rep").alias("rep_1"), F.col("n").alias("n_1"), F.col("place").alias("place_1"), F.col("component").alias("component_1"), F.col("earlier").alias("earlier_1"))
+    # only at the first shingle of both: the bound on what is left to share holds there, and the pair is met once
+    met = F.coalesce(F.arrays_overlap("earlier_1", "earlier"), F.lit(False))
     pairs = left.join(open_lists, ["token", "size", "part"]).where(
-        (F.col("component_1") != F.col("component")) & _may_link(F.col("n_1"), F.col("n"), F.col("n_1") - F.col("place_1"), F.col("n") - F.col("place"), percent)
+        (F.col("component_1") != F.col("component")) & ~met & _may_link(F.col("n_1"), F.col("n"), F.col("n_1") - F.col("place_1"), F.col("n") - F.col("place"), percent)
     )
     pairs = pairs.select(F.least("rep_1", "rep").alias("a"), F.greatest("rep_1", "rep").alias("b")).distinct()
     pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
