@@ -18,7 +18,8 @@ from listwright.llm.trie_bpe import encode_documents
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_spread_lines(docs)
+    """Copies of a document count once, so that the next stage still has their text to choose one from."""
+    return drop_spread_lines(docs, copies_once=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,18 @@ def test_empty_table(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_copied_text_keeps_one_copy(spark):
+    """Copies over many sources do not make a text's own lines boilerplate; a line of many different texts still is."""
+    body = "\n".join(f"line {i} of a text that was copied to many other sources" for i in range(12))
+    rows = [(i, body, "en", f"s{i}", len(body)) for i in range(15)]
+    rows += [(100 + i, f"own words number {i} {i * i} of this page\nall rights reserved", "en", f"s{i}", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    work = work_dir(spark, "copies")
+    lined = saved(stages["line_dedup"](spark, docs, ""), f"{work}/lined")
+    got = {r["doc_id"]: r["text"] for r in lined.collect()}
+    assert all(got[i] == body for i in range(15)) and all("reserved" not in got[100 + i] for i in range(10))
+    left = {r["doc_id"]: r["text"] for r in stages["jaccard_join"](spark, lined, "").collect()}
+    assert left[0] == body and not any(i in left for i in range(1, 15))
