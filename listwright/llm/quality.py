@@ -6,8 +6,8 @@ Spark over all documents. Its probabilities are stored in hash arrays: sorted 64
 parts of the hash range. A document whose perplexity is outside the band of its language, quartiles plus SPREAD
 interquartile ranges of the language's documents, is rejected.
 
-The broadcast model holds MAX_GRAMS n-grams of each order at most: beyond, those below a count that rises with the
-corpus are left to their lower orders, as usual in such models; counts are always over all documents.
+No gram is left out. Up to MAX_GRAMS (language, gram) rows the model is sent to all tasks; beyond, its probabilities
+are a table made by Spark and the grams of the documents are joined to it, with the same results.
 
 Defined cases: a null text counts as empty: no words, base_failed. A null language is a language of its own. A language
 whose documents are all equal has a band around that value. Repeated rows count as often as they occur and get equal
@@ -137,6 +137,12 @@ class HashArray:
         return out
 
 
+def discounts_of(ones: list[float]) -> list[float]:
+    """What is taken off a count of 0, 1, 2, and 3 or more, from the numbers of grams that occur 1 to 4 times."""
+    y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5
+    return [0.0] + [min(max(i - (i + 1) * y * ones[i] / ones[i - 1], 0.05), i * 0.95) if ones[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+
 class KneserNey:
     """Modified Kneser-Ney log2 probabilities for codes of (language << 32 | gram), one hash array for each order."""
 
@@ -151,9 +157,7 @@ class KneserNey:
             history = keys >> np.uint64(8) if order > 1 else keys >> np.uint64(32)
             if order > 1:
                 history = (keys & np.uint64(0xFFFFFFFF)) >> np.uint64(8) | (keys >> np.uint64(32) << np.uint64(32))
-            ones = [float((counts == i).sum()) for i in (1, 2, 3, 4)]
-            y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5
-            discounts = np.array([0.0] + [min(max(i - (i + 1) * y * ones[i] / ones[i - 1], 0.05), i * 0.95) if ones[i - 1] else 0.5 * i for i in (1, 2, 3)])
+            discounts = np.array(discounts_of([float((counts == i).sum()) for i in (1, 2, 3, 4)]))
             taken = discounts[np.minimum(counts, 3).astype(np.int64)]
             groups, own = np.unique(history, return_inverse=True)
             total, freed = np.bincount(own, counts.astype(float)), np.bincount(own, taken)
@@ -204,16 +208,33 @@ def train(counts: DataFrame) -> tuple[list[str], KneserNey | None]:
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     level = counts.select(index.cast("long").alias("lang"), "gram", "n")
     for order in range(ORDER, 0, -1):
-        total = level.count()
-        least = 1
-        if total > MAX_GRAMS:  # the count of which MAX_GRAMS are above
-            least = 1 + level.approxQuantile("n", [1 - MAX_GRAMS / total], 0.001)[0]
-        got = level.where(F.col("n") >= least).select((F.col("lang") * 2**32 + F.col("gram")).alias("key"), "n").toArrow()
+        got = level.select((F.col("lang") * 2**32 + F.col("gram")).alias("key"), "n").toArrow()
         tables[order] = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
         level = level.groupBy("lang", (F.col("gram") % 2 ** (8 * (order - 1))).alias("gram")).agg(F.count("*").alias("n"))
     return languages, KneserNey(tables) if len(tables[ORDER][0]) else None
 
 
+def probabilities(counts: DataFrame, work: str) -> DataFrame:
+    """(lang, gram, log2_p) of all grams of (lang, gram, n): the numbers of KneserNey, as a table."""
+    levels = {ORDER: counts.select("lang", "gram", "n")}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = (F.col("gram") % 2 ** (8 * order)).alias("gram")
+        levels[order] = saved(levels[order + 1].groupBy("lang", shorter).agg(F.count("*").alias("n")), f"{work}/order-{order}")
+    below = None
+    for order in range(1, ORDER + 1):
+        ones = levels[order].agg(*[F.coalesce(F.sum((F.col("n") == i).cast("double")), F.lit(0.0)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+        _, one, two, more = discounts_of(list(ones))
+        taken = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+        level = levels[order].select("lang", "gram", "n", taken.alias("taken"), F.shiftright("gram", 8).alias("history"), (F.col("gram") % 2 ** (8 * (order - 1))).alias("shorter"))
+        groups = level.groupBy("lang", "history").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("gamma"))
+        level = level.join(groups, ["lang", "history"])
+        # every shorter gram was counted from the longer ones
+        level = level.withColumn("below", F.lit(1 / 256)) if below is None else level.join(below, ["lang", "shorter"])
+        p = (F.col("n") - F.col("taken")) / F.col("total") + F.col("gamma") * F.col("below")
+        below = saved(level.select("lang", F.col("gram").alias("shorter"), p.alias("below")), f"{work}/p-{order}")
+    return below.select("lang", F.col("shorter").alias("gram"), F.log2("below").alias("log2_p"))
+
+
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     raw, offsets = string_bytes(texts)
@@ -256,7 +277,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def measure(docs: DataFrame, languages: list[str], model: KneserNey | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, base counts, log2_perplexity: mean bits a byte, null without text)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((languages, model))  # MAX_GRAMS an order at most
+    shared = docs.sparkSession.sparkContext.broadcast((languages, model))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, model = shared.value
@@ -280,6 +301,34 @@ def measure(docs: DataFrame, languages: list[str], model: KneserNey | None, key:
     return rows.mapInArrow(task, f"doc_id {kind}, lang string, {MEASURES}")
 
 
+def document_grams(rows: DataFrame) -> DataFrame:
+    """(row, lang, gram, n) from (row, lang, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = prepared(batch.column(2))
+            for a, b in row_chunks(offsets, CHUNK):
+                codes, row = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keys, times = np.unique((row.astype(np.uint64) << np.uint64(32)) | codes, return_counts=True)
+                own = pa.array((keys >> np.uint64(32)).astype(np.int64) + a)
+                gram = pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), gram, pa.array(times.astype(np.int64))], ["row", "lang", "gram", "n"])
+
+    return rows.mapInArrow(task, "row long, lang string, gram long, n long")
+
+
+def measure_joined(docs: DataFrame, counts: DataFrame, work: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """What `measure` gives for the documents that were counted, without a model in the tasks: their grams are joined to the probabilities."""
+    own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    # equal rows share a number; their bits and grams are both summed, so the mean is that of one
+    row = F.xxhash64(F.col(key), own, F.col(text))
+    found = document_grams(docs.select(row.alias("row"), own.alias("lang"), F.col(text).cast("string").alias("text"))).join(probabilities(counts, work), ["lang", "gram"])
+    bits = found.groupBy("row").agg((-F.sum(F.col("n") * F.col("log2_p")) / F.sum("n")).alias("bits"))
+    keyed = docs.select(F.struct(F.col(key).alias("id"), row.alias("row")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    plain = measure(keyed, [], None, "key").withColumn("row", F.col("doc_id.row")).join(bits, "row", "left")
+    return plain.select(F.col("doc_id.id").alias("doc_id"), "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("bits").alias("log2_perplexity"))
+
+
 def judge(measured: DataFrame) -> DataFrame:
     """The measures with base_failed, the language's band and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -293,6 +342,7 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), work_dir(spark, "quality")
-    languages, model = train(saved(count_grams(docs), f"{work}/grams"))
-    judged = judge(saved(measure(docs, languages, model), f"{work}/measures"))
+    counts = saved(count_grams(docs), f"{work}/grams")
+    measured = measure(docs, *train(counts)) if counts.count() <= MAX_GRAMS else measure_joined(docs, counts, work)
+    judged = judge(saved(measured, f"{work}/measures"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log2_perplexity", 4).alias("bits_a_byte"))

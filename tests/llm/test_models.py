@@ -11,6 +11,7 @@ import pytest
 
 from listwright.llm import language_id as L
 from listwright.llm import quality as Q
+from listwright.llm.common import work_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -138,3 +139,19 @@ def test_noise_is_out_of_its_band(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, noise])], "doc_id long, text string, lang string")
     kept = {r["doc_id"]: r["kept"] for r in Q.judge(Q.measure(docs, *Q.train(Q.count_grams(docs)))).collect()}
     assert all(kept[i] for i in range(60)) and not kept[60]
+
+
+def test_size_of_the_model_changes_no_result(spark, folder, odd_docs, monkeypatch):
+    """Beyond MAX_GRAMS no gram is left out: the joined probabilities give what the model in the tasks gives."""
+    small = Q.op9_quality(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
+    order = ["doc_id", "lang", "n_words", "log2_perplexity"]
+    counts = Q.count_grams(odd_docs)
+    odd = Q.measure(odd_docs, *Q.train(counts)).select(order).collect()
+    monkeypatch.setattr(Q, "MAX_GRAMS", 500)
+    large = Q.op9_quality(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert large.drop(columns="bits_a_byte").equals(small.drop(columns="bits_a_byte"))
+    assert np.allclose(large.bits_a_byte, small.bits_a_byte, atol=2e-3, equal_nan=True)
+    joined = Q.measure_joined(odd_docs, counts, work_dir(spark, "odd")).select(order).collect()
+    by = lambda r: (str(r[:3]), r[3] or 0)
+    for a, b in zip(sorted(odd, key=by), sorted(joined, key=by), strict=True):
+        assert tuple(a)[:3] == tuple(b)[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or math.isclose(a[3], b[3], abs_tol=2e-3))
