@@ -4,11 +4,12 @@ In a BPE encoding every prefix of a word is encoded by the same tokens up to a l
 only one that fits: it ends the prefix and is what merging leaves after the last token of the prefix before it. So a
 node of a trie needs one token only, its last. The distinct words of a batch go into a trie that is walked depth-first
 (in sorted order; the path's tokens are the stack), so the states of shared prefixes are computed once; a word's ids
-follow from its last node back to the root.
+follow from its last node back to the root. A node's state, its longest ending that begins a token, names the tokens
+that may be its last.
 
 The tokenizer file is read as data: BPE with the word-end mark `</w>`, after Unicode NFC, lower case and the usual
 split into contractions, letters, single digits and other marks. Decoding follows the file too: tokens joined by a
-blank. What a word encodes to is kept in two bounded generations.
+blank. What a word encodes to is kept; so many words that memory stays bounded.
 
 Defined cases: a null text counts as empty: no ids, an empty decoded text. Special tokens written in a text become
 their ids, as the library does by default. Repeated rows give equal results; very long texts are handled whole; other
@@ -21,25 +22,21 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_chunks, string_bytes, table
+from .spans import SpanCache, encode_texts, well_known
 
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: the same words in lower-cased ASCII; in this mode \s leaves out the separators 1C to 1F, as the tokenizer does
-ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 END = "</w>"
-#: words in each of two generations, and pairs of tokens, that a Python worker keeps; bytes of text at a time
-CACHE_WORDS, CACHE_PAIRS, CHUNK = 200_000, 400_000, 1 << 20
+#: words and pairs of tokens that a Python worker keeps; bytes of text at a time
+CACHE_WORDS, CACHE_PAIRS, CHUNK = 600_000, 400_000, 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,6 +48,9 @@ def byte_letters() -> dict[int, str]:
 
 class TrieBpe:
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)  # for what Python's Unicode tables don't know
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -58,22 +58,56 @@ class TrieBpe:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {b: c for b, c in byte_letters().items()}
-        #: tokens inside words, and tokens at their ends without the mark, with whether their text encodes to them (None: not
-        #: looked at yet); every ending of one, to stop looking for longer ones
-        self.inner: dict[str, bool | None] = {t: None for t in self.vocab if not t.endswith(END)}
-        self.final: dict[str, bool | None] = {t[: -len(END)]: None for t in self.vocab if t.endswith(END)}
-        self.inner_tails = {t[i:] for t in self.inner for i in range(len(t))}
-        self.final_tails = {t[i:] for t in self.final for i in range(len(t))}
         self.made_by = {a + b: (a, b) for a, b in reversed(merges)}
         self.spines: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
-        #: whether two tokens of a word stay apart, the second inside it or at its end
-        self.inner_pairs: dict[tuple[str, str], bool] = {}
-        self.final_pairs: dict[tuple[str, str], bool] = {}
-        #: ids and decoded text of words, in two generations
-        self.ids: list[dict[str, bytes]] = [{}, {}]
-        self.decoded: list[dict[str, bytes]] = [{}, {}]
+        #: the beginnings of all tokens without the mark of an end; a node's state is its longest ending among them
+        self.beginnings = {t[:i] for w in self.vocab for t in (w.removesuffix(END),) for i in range(len(t) + 1)}
+        self.state_of: dict[str, int] = {}
+        self.text_of: list[str] = []
+        self.moves: list[dict[str, int]] = []
+        #: by state, the tokens that may end there, the longest first, inside a word and at its end: (length, id)
+        self.inside: list[list[tuple[int, int]]] = []
+        self.at_end: list[list[tuple[int, int]]] = []
+        self.proper: dict[str, bool] = {}
+        self._state("")
+        #: whether two tokens of a word stay apart, by their ids
+        self.apart: dict[int, bool] = {}
+        self.size = [len(self.token[i].removesuffix(END)) if i in self.token else 0 for i in range(max(self.token) + 1)]
+        self.cache = SpanCache(self._new, [np.dtype("<u4"), np.dtype("u1")], CACHE_WORDS)
+
+    def _state(self, text: str) -> int:
+        """The number of a state; the tokens that end there are listed when it is first met."""
+        known = self.state_of.get(text)
+        if known is None:
+            known = self.state_of[text] = len(self.text_of)
+            self.text_of.append(text)
+            self.moves.append({})
+            endings = [text[i:] for i in range(len(text))]
+            self.inside.append([(len(t), self.vocab[t]) for t in endings if self._is_proper(t)])
+            self.at_end.append([(len(t), self.vocab[t + END]) for t in endings if self._is_proper(t + END)])
+        return known
+
+    def _is_proper(self, token: str) -> bool:
+        """Whether the token is one that its own text encodes to."""
+        known = self.proper.get(token)
+        if known is None:
+            known = self.proper[token] = token in self.vocab and self.merge(self.symbols(token)) == [token]
+        return known
+
+    def _move(self, state: int, letter: str) -> int:
+        text = self.text_of[state] + letter
+        while text not in self.beginnings:
+            text = text[1:]
+        new = self.moves[state][letter] = self._state(text)
+        return new
+
+    def _stay_apart(self, pair: int) -> bool:
+        if len(self.apart) > CACHE_PAIRS:
+            self.apart.clear()
+        fits = self.apart[pair] = self.fits(self.token[pair >> 20], self.token[pair & 0xFFFFF])
+        return fits
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(END) and len(token) > len(END):
@@ -125,99 +159,92 @@ class TrieBpe:
                     return False
         return True
 
-    def last_token(self, word: str, i: int, last: list[str], tokens: dict[str, bool | None], tails: set[str], pairs: dict[tuple[str, str], bool], mark: str) -> str:
-        """The last token of the word's first i letters, given those of its shorter prefixes."""
-        a = i - 1
-        while a and word[a - 1 : i] in tails:
-            a -= 1
-        while True:  # the longest first; exactly one fits
-            token = word[a:i]
-            proper = tokens.get(token, False)
-            if proper is None:
-                proper = tokens[token] = self.merge(self.symbols(token + mark)) == [token + mark]
-            if proper:
-                if not a:
-                    return token
-                pair = last[a], token
-                fits = pairs.get(pair)
-                if fits is None:
-                    if len(pairs) > CACHE_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = self.fits(last[a], token + mark)
-                if fits:
-                    return token
-            a += 1
-
-    def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of distinct words (in byte letters), by a depth-first walk of their trie."""
-        out, last, before = {}, [""], ""
-        inner = self.inner, self.inner_tails, self.inner_pairs, ""
-        final = self.final, self.final_tails, self.final_pairs, END
-        last_token = self.last_token
-        for word in sorted(words):
-            # states of the path that this word shares with the one before it
-            n, shared = len(word), 0
-            most = min(len(before), len(last) - 1, n - 1)
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del last[shared + 1 :]
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of the tokens of each word (in byte letters), by a depth-first walk of the words' trie."""
+        out: list[list[int]] = [[]] * len(words)
+        # the path of the word before: states and last tokens of its beginnings
+        states, last, before = [0], [-1], ""
+        moves, inside, at_end, apart, size = self.moves, self.inside, self.at_end, self.apart, self.size
+        for place in sorted(range(len(words)), key=words.__getitem__):
+            word = words[place]
+            n = len(word)
+            most, shared = min(len(last) - 1, n - 1), 0
+            if word[:most] == before[:most]:
+                shared = most
+            else:
+                while word[shared] == before[shared]:
+                    shared += 1
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for i in range(shared + 1, n):
-                last.append(last_token(word, i, last, *inner))
-            token = last_token(word, n, last, *final)
-            found, i = [token + END], n - len(token)
+                letter = word[i - 1]
+                at = moves[state].get(letter)
+                state = self._move(state, letter) if at is None else at
+                states.append(state)
+                for length, token in inside[state]:  # exactly one fits
+                    if length == i:
+                        break
+                    pair = last[i - length] << 20 | token
+                    fits = apart.get(pair)
+                    if self._stay_apart(pair) if fits is None else fits:
+                        break
+                last.append(token)
+            at = moves[state].get(word[-1])
+            for length, token in at_end[self._move(state, word[-1]) if at is None else at]:
+                if length == n:
+                    break
+                pair = last[n - length] << 20 | token
+                fits = apart.get(pair)
+                if self._stay_apart(pair) if fits is None else fits:
+                    break
+            found, i = [token], n - length
             while i:
-                found.append(last[i])
-                i -= len(last[i])
+                token = last[i]
+                found.append(token)
+                i -= size[token]
             found.reverse()
-            out[word] = found
+            out[place] = found
             before = word
         return out
 
-    def _words_of(self, text: str) -> list[str]:
+    def _new(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the words, and their tokens each followed by a blank, in UTF-8."""
+        letters, token = self.letters, self.token
+        ids = self.encode_words([w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words])
+        decoded = [(" ".join([token[i] for i in x]) + " ").encode() for x in ids]
+        return [
+            (np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))),
+            (np.frombuffer(b"".join(decoded), np.uint8), np.fromiter(map(len, decoded), np.int64, len(ids))),
+        ]
+
+    @staticmethod
+    def _normal(text: str) -> str:
         if text.isascii():
-            return ASCII_WORDS.findall(text.lower())
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
-        return WORDS.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
-
-    def _split(self, text: str) -> list[str]:
-        """The words of a text; a special token is a word of its own."""
-        if self.special_re is None or not self.special_re.search(text):
-            return self._words_of(text)
-        found: list[str] = []
-        for part in self.special_re.split(text):
-            found += [part] if part in self.special else self._words_of(part)
-        return found
-
-    def _new(self, words: list[str]) -> None:
-        letters, ids, decoded = self.letters, self.ids[0], self.decoded[0]
-        written = {w: w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words if w not in self.special}
-        tokens = self.encode_words([*written.values()])
-        for w in words:
-            ids[w], decoded[w] = self._coded(tokens[written[w]] if w in written else [w])
-
-    def _coded(self, tokens: list[str]) -> tuple[bytes, bytes]:
-        vocab, special = self.vocab, self.special
-        return array("I", [vocab[t] if t in vocab else special[t] for t in tokens]).tobytes(), " ".join(tokens).encode()
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
-        split = [self._split(t) for t in texts]
-        for kept in (self.ids, self.decoded):
-            if len(kept[0]) > CACHE_WORDS:
-                kept[1], kept[0] = kept[0], {}
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(words)
-        (ids, old_ids), (decoded, old_decoded), new = self.ids, self.decoded, []
-        for w in wanted:
-            if w not in ids:
-                if (known := old_ids.get(w)) is None:
-                    new.append(w)
-                else:
-                    ids[w], decoded[w] = known, old_decoded[w]
-        if new:
-            self._new(new)
-        return [(b"".join(map(ids.__getitem__, words)), b" ".join(map(decoded.__getitem__, words))) for words in split]
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """(ids, decoded text in UTF-8) of each text."""
+        special = self.special_re.search if self.special_re is not None else lambda _: None
+        odd = {i for i, t in enumerate(texts) if special(t) or not well_known(t)}
+        plain = ["" if i in odd else self._normal(t) for i, t in enumerate(texts)]
+        ids, decoded = encode_texts(self.cache, plain, blank_in_front=False, single_digits=True)
+        return [self._by_parts(texts[i]) if i in odd else (x, y.tobytes()[:-1]) for i, (x, y) in enumerate(zip(ids, decoded, strict=True))]
+
+    def _by_parts(self, text: str) -> tuple[np.ndarray, bytes]:
+        """A text with special tokens, or with characters that Python's tables don't know: the library finds the latter's words."""
+        found = []
+        for part in filter(None, self.special_re.split(text) if self.special_re is not None else [text]):
+            if part in self.special:
+                found.append((np.array([self.special[part]], "<u4"), part.encode()))
+            elif well_known(part):
+                found += self.encode([part])
+            else:
+                words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+                ids = list(chain.from_iterable(self.encode_words(words)))
+                found.append((np.array(ids, "<u4"), " ".join([self.token[i] for i in ids]).encode()))
+        return np.concatenate([x for x, _ in found]), b" ".join(y for x, y in found if len(x))
 
 
 @lru_cache(1)
@@ -240,10 +267,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
             _, offsets = string_bytes(texts)
             for a, b in row_chunks(offsets, CHUNK):
                 coded = bpe.encode(texts.slice(a, b - a).to_pylist())
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x, _ in coded], pa.int64())]
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x, _ in coded], pa.int64())]
                 columns += [pa.array([hashlib.sha256(x[i]).hexdigest() for x in coded], pa.string()) for i in (0, 1)]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<i4") for x, _ in coded], pa.list_(pa.int32())))
+                    columns.append(pa.array([x.astype(np.int32) for x, _ in coded], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return rows.mapInArrow(task, f"doc_id long, {SCHEMA}" + ", ids array<int>" * with_ids)
