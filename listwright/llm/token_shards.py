@@ -26,80 +26,72 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, row_chunks, string_bytes, table, work_dir
+from .spans import LETTER, SpanCache, classes, code_points, encode_texts, gather, well_known
 
-#: fixed values: the split of the byte-level pre-tokenizer
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-PIECES = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: the same for texts in Latin letters (ASCII, Latin-1, Extended-A), decimal digits and common marks, which need no Unicode classes
-_LETTER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"\t-\r \xa0"
-LATIN_PIECES = re.compile(CONTRACTIONS + rf"| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-NOT_LATIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 END_ID = 0
-#: pieces in each of the two generations that a task keeps, and bytes of text encoded at a time
-CACHE_PIECES, ENCODE_BYTES = 500_000, 4 << 20
+#: pieces that a Python worker keeps, and bytes of text encoded at a time
+CACHE_PIECES, ENCODE_BYTES = 1_000_000, 4 << 20
 
 
 class PieceEncoder:
-    """encode(text).ids of a byte-level tokenizer file, with the ids of pieces met before kept in two bounded generations."""
+    """encode(text).ids of a byte-level tokenizer file, which encodes each distinct piece of its pre-tokenizer once."""
 
     def __init__(self, path: str, dtype: str = "<u2"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # one character stands for one byte
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        """Runs of letters, each after a blank or a line break, encoded side by side as one text and told apart by their bytes."""
-        for a in range(0, len(words), 4000):
-            part = words[a : a + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(p if p[0] == " " else "\n" + p for p in part)], add_special_tokens=False)[0].ids, self.dtype)
-            sizes = [len(p.encode()) + (p[0] != " ") for p in part]
-            ends = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1) * self.dtype.itemsize
-            raw, at, young = ids.tobytes(), 0, self.young
-            for p, end in zip(part, ends.tolist(), strict=True):
-                young[p] = raw[at if p[0] == " " else at + self.dtype.itemsize : end]
-                at = end
-
-    def _new(self, pieces: list[str]) -> None:
-        words, others = [], []
-        for p in pieces:
-            (words if p.isalpha() or p[0] == " " and p[1:].isalpha() else others).append(p)
-        self._words(words)
-        self.young.update(zip(others, self._whole(others), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [None if self.special and self.special.search(t) else (PIECES if NOT_LATIN.search(t) else LATIN_PIECES).findall(t) for t in texts]
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        wanted: set[str] = set()
-        for pieces in split:
-            wanted.update(pieces or ())
-        young, old, new = self.young, self.old, []
-        for p in wanted.difference(young):
-            if (known := old.get(p)) is None:
-                new.append(p)
-            else:
-                young[p] = known
-        if new:
-            self._new(new)
-        ids = young.__getitem__
-        return [self._whole([t])[0] if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        self.cache = SpanCache(self._new, [self.dtype], CACHE_PIECES)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the pieces. Runs of letters, each after a blank or a line break, are encoded side by side as one text and told apart by their bytes."""
+        codes, stops = code_points("".join(pieces)), np.cumsum([0, *map(len, pieces)])
+        kinds, width = classes()[codes], np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+        blank = codes[stops[:-1]] == 32
+        alone = ~blank & (kinds[stops[:-1]] == LETTER)
+        word = (blank | alone) & (kinds[stops[1:] - 1] == LETTER)
+        words, others = np.flatnonzero(word), np.flatnonzero(~word).tolist()
+        bare = alone[words]  # a line break goes in front of these
+        found, sizes = [np.zeros(0, self.dtype)], np.zeros(len(pieces), np.int64)
+        for at in range(0, len(words), 4000):
+            own = words[at : at + 4000]
+            text = "".join([pieces[i] if has else "\n" + pieces[i] for i, has in zip(own.tolist(), (~bare[at : at + 4000]).tolist(), strict=True)])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.diff(width[stops])[own] + bare[at : at + 4000])) + 1
+            keep = np.ones(len(ids), bool)
+            keep[np.concatenate([[0], ends[:-1]])[bare[at : at + 4000]]] = False
+            sizes[own] = np.diff(ends, prepend=0) - bare[at : at + 4000]
+            found.append(ids[keep])
+        rest = self._whole([pieces[i] for i in others])
+        sizes[others] = [len(x) for x in rest]
+        flat = np.concatenate([*found, *rest])
+        first = np.zeros(len(pieces), np.int64)
+        order = np.concatenate([words, np.array(others, np.int64)])
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return [(gather(flat, first, sizes)[0], sizes)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if self.special and self.special.search(t) or not well_known(t)]
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        found = encode_texts(self.cache, plain, blank_in_front=True, single_digits=False)[0]
+        for i in odd:
+            found[i] = self._whole([texts[i]])[0]
+        return found
 
 
 @lru_cache(1)
@@ -244,8 +236,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 _, offsets = string_bytes(batch.column(1))
                 for a, b in row_chunks(offsets, ENCODE_BYTES):
                     for ids in encoder.encode(batch.column(1).slice(a, b - a).to_pylist()):
-                        lengths.append((len(ids) + len(end)) // len(end))
-                        yield ids + end
+                        lengths.append(len(ids) + 1)
+                        yield ids.tobytes() + end
 
         first = next(parts := payloads(), None)
         if first is None:

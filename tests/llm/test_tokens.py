@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -21,50 +22,76 @@ word_library.no_truncation()
 word_library.no_padding()
 
 
+@lru_cache(1)
+def one_of_each():
+    return PieceEncoder(BYTES), TrieBpe(WORDS)
+
+
 @pytest.fixture(scope="module")
 def pieces():
-    return PieceEncoder(BYTES)
+    return one_of_each()[0]
 
 
 @pytest.fixture(scope="module")
 def trie():
-    return TrieBpe(WORDS)
+    return one_of_each()[1]
 
 
 def as_bytes(ids, kind):
     return np.array(ids, kind).tobytes()
 
 
+def ids_of(library, texts):
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pieces_like_library(pieces):
-    assert pieces.encode(ODD) == [as_bytes(e.ids, "<u2") for e in byte_library.encode_batch(ODD, add_special_tokens=False)]
+    assert [x.tolist() for x in pieces.encode(ODD)] == ids_of(byte_library, ODD)
+
 
+LETTERS = st.one_of(st.sampled_from(list("ab .,!'stmdrevl \n\t\r\x0b\x1c\x85é日0\u00a0\u2003ΣſÅ\u0301👍")), st.characters(exclude_categories=["Cs"]))
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab .,!'st \n\t\r\x0b\x1c\x85é日0 ")), max_size=30))
-def test_pieces_on_any_text(text):
-    encoder = test_pieces_on_any_text.__dict__.setdefault("encoder", PieceEncoder(BYTES))
-    assert encoder.encode([text]) == [as_bytes(byte_library.encode(text, add_special_tokens=False).ids, "<u2")]
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=LETTERS, max_size=30), min_size=1, max_size=4))
+def test_pieces_on_any_text(texts):
+    assert [x.tolist() for x in one_of_each()[0].encode(texts)] == ids_of(byte_library, texts)
 
 
 def test_trie_like_library(trie):
     for text, (ids, decoded) in zip(ODD, trie.encode(ODD), strict=True):
         wanted = word_library.encode(text, add_special_tokens=False).ids
-        assert ids == as_bytes(wanted, "<u4"), text
+        assert ids.tolist() == wanted, text
         assert decoded == word_library.decode(wanted, skip_special_tokens=False).encode(), text
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abeinorstABE .,!'\n\x1c\x85éß日0")), max_size=40))
-def test_trie_on_any_text(text):
-    trie = test_trie_on_any_text.__dict__.setdefault("trie", TrieBpe(WORDS))
-    assert trie.encode([text])[0][0] == as_bytes(word_library.encode(text, add_special_tokens=False).ids, "<u4")
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=LETTERS, max_size=40), min_size=1, max_size=4))
+def test_trie_on_any_text(texts):
+    assert [x.tolist() for x, _ in one_of_each()[1].encode(texts)] == ids_of(word_library, texts)
+
+
+def test_every_character(pieces, trie):
+    """Each code point beside letters, blanks, digits and marks: classes, case and normal forms are the library's."""
+    signs = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x11000), *range(0x1D400, 0x1D800), *range(0x1F000, 0x1FB00)] if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}b {c}1 {c}!\n{c}{c} '{c}s" for c in signs[i : i + 50]) for i in range(0, len(signs), 50)]
+    for text, got, wanted in zip(texts, pieces.encode(texts), ids_of(byte_library, texts), strict=True):
+        assert got.tolist() == wanted, ascii(text)
+    for text, (got, _), wanted in zip(texts, trie.encode(texts), ids_of(word_library, texts), strict=True):
+        assert got.tolist() == wanted, ascii(text)
+
+
+def test_long_texts_are_cut_between_pieces(pieces, trie, monkeypatch):
+    monkeypatch.setattr("listwright.llm.spans.BLOCK", 40)
+    texts = ["", "no  cut \n" * 30 + "it's  the end", "x" * 200 + " y", " \n" * 60]
+    assert [x.tolist() for x in pieces.encode(texts)] == ids_of(byte_library, texts)
+    assert [x.tolist() for x, _ in trie.encode(texts)] == ids_of(word_library, texts)
 
 
 def test_trie_words_by_definition(trie):
     words = ["antidisestablishmentarianism", "antidote", "ant", "a", "thththth", "zzzzzzzzz", "internationalization"]
-    found = trie.encode_words(words)
-    for w in words:
-        assert found[w] == trie.merge([*w[:-1], w[-1] + "</w>"])
+    for w, ids in zip(words, trie.encode_words(words), strict=True):
+        assert [trie.token[i] for i in ids] == trie.merge([*w[:-1], w[-1] + "</w>"])
 
 
 def test_perfect_hash():
