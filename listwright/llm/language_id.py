@@ -2,11 +2,14 @@
 
 A text becomes a vector of hashed byte n-grams (two and three bytes of its lower-cased UTF-8), weighted by log term
 frequency and inverse document frequency and scaled to length one. Each language has several centroids, found by
-spherical k-means; the nearest by cosine gives the prediction, and the cosine is the score. A text is rejected if it is
-further from its centroid than training texts of that language and of its own length class ever are, with a margin.
+spherical k-means; the nearest by cosine gives the prediction, and the cosine is the score. A text is rejected by its
+distance: if its cosine is under MARGIN times what all but the share TAIL of training texts of that language and of its
+length class reach. A class of few training texts asks for less.
 
-The classifier is fitted on at most SAMPLE_ROWS labelled texts, spread evenly over the languages and chosen by a hash
-of the key; texts are whole in fitting and in scoring. Everything else covers all rows.
+The classifier is fitted on a sample of labelled texts, chosen by a hash of key and text: LANGUAGE_ROWS of a language at
+most, or fewer if there are so many languages that all would hold more than SAMPLE_ROWS (but CLUSTERS of each at least).
+Tasks turn the sampled texts, whole, into sparse vectors of FEATURES counts at most; one task fits. Everything else
+covers all rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and is rejected. Rows with a null label or
 key can be scored, never learned from (null key) or learned from (null label). Without labelled rows all is `und`.
@@ -15,12 +18,13 @@ Equal cosines go to the language that sorts first. Repeated rows get equal resul
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_chunks, string_bytes, table
@@ -29,9 +33,11 @@ FEATURES = 1 << 13
 CLUSTERS, ROUNDS = 4, 8
 #: bounds of the fitting sample: in all, and for one language
 SAMPLE_ROWS, LANGUAGE_ROWS = 3200, 800
-#: length classes (bytes) of the rejection limits, and the share of the lowest training cosine that is still accepted
+#: length classes (bytes) of the rejection limits
 LENGTHS = np.array([32, 64, 128, 256, 1024])
-MARGIN = 0.3
+TAIL, MARGIN = 0.01, 0.75
+#: training texts of a language and length class that make its limit count half
+HALF_TRUST = 20
 UNKNOWN = "und"
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 
@@ -65,11 +71,10 @@ def count_ngrams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, FEATURES)
 
 
-def vectors(raw: np.ndarray, offsets: np.ndarray, idf: np.ndarray | None) -> np.ndarray:
-    x = np.log1p(count_ngrams(raw, offsets))
-    if idf is not None:
-        x *= idf
-        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+def scaled(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Log counts weighted by idf, each row of length one."""
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
     return x
 
 
@@ -99,28 +104,30 @@ def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[n
 class Centroids:
     """The fitted model: languages, idf, centroids with their languages, and the limits of acceptance."""
 
-    def __init__(self, texts: pa.Array, langs: list[str]):
+    def __init__(self, langs: list[str], sizes: np.ndarray, places: list[np.ndarray], counts: list[np.ndarray]):
+        """langs: the language of each training text; sizes: its bytes; places and counts: its n-grams."""
         self.languages = sorted(set(langs))
         y = np.array([self.languages.index(x) for x in langs], np.int64)
-        raw, offsets = lowered(texts)
-        found = np.zeros(FEATURES, np.int64)
-        for a, b in small_chunks(offsets):
-            found += (count_ngrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) > 0).sum(0)
+        found = np.bincount(np.concatenate(places), minlength=FEATURES) if places else np.zeros(FEATURES)
         self.idf = np.log((1 + len(langs)) / (1 + found)).astype(np.float32) + 1
         rng, centers = np.random.default_rng(11), []
         #: accepted from this cosine on, by language and length class; a class never seen takes the limit of the next longer one
         self.limits = np.full((len(self.languages), len(LENGTHS) + 1), 1.0, np.float32)
         for i in range(len(self.languages)):  # the vectors of one language at a time
             rows = np.flatnonzero(y == i)
-            part, at = lowered(pc.take(texts, pa.array(rows)))
             x = np.zeros((len(rows), FEATURES), np.float32)
-            for a, b in small_chunks(at):
-                x[a:b] = vectors(part[at[a] : at[b]], at[a : b + 1] - at[a], self.idf)
+            for j, row in enumerate(rows):
+                x[j, places[row]] = np.log1p(counts[row])
+            x = scaled(x, self.idf)
             own, _ = spherical_kmeans(x, CLUSTERS, rng)
             centers.append(own)
-            np.minimum.at(self.limits[i], np.searchsorted(LENGTHS, np.diff(at), side="right"), (x @ own.T).max(1))
+            length, near = np.searchsorted(LENGTHS, sizes[rows], side="right"), (x @ own.T).max(1)
+            for c in np.unique(length):
+                mine = near[length == c]
+                self.limits[i, c] = np.quantile(mine, TAIL) * len(mine) / (len(mine) + HALF_TRUST)
         self.centers = np.concatenate(centers) if centers else np.zeros((0, FEATURES), np.float32)
         self.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers]).astype(np.int64)
+        # longer texts are nearer: a shorter class never asks for more than the longer ones
         self.limits = MARGIN * np.minimum.accumulate(self.limits[:, ::-1], axis=1)[:, ::-1]
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,27 +135,47 @@ class Centroids:
         if not len(self.languages):
             n = len(offsets) - 1
             return np.full(n, -1), np.zeros(n, np.float32), np.ones(n, bool)
-        cosine = vectors(raw, offsets, self.idf) @ self.centers.T
+        cosine = scaled(np.log1p(count_ngrams(raw, offsets)), self.idf) @ self.centers.T
         best = cosine.argmax(1)
         lang, score = self.owner[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
         return lang, score, score < self.limits[lang, np.searchsorted(LENGTHS, np.diff(offsets), side="right")]
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Centroids:
-    """Fit on a bounded sample; each language's share of its rows is taken by a hash of the key."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS // CLUSTERS)
-    shares = counts.withColumn("share", F.least(F.lit(LANGUAGE_ROWS), F.lit(SAMPLE_ROWS) / F.greatest(F.lit(1), F.count("*").over(_all()))) / F.col("n"))
-    place = (F.xxhash64(F.lit("language-id"), "key") % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
-    sample = rows.join(F.broadcast(shares.select("lang", "share")), "lang").where(place < F.col("share")).where(F.regexp_like("text", F.lit(r"\p{L}")))
-    got = sample.select("text", "lang").orderBy("lang", F.xxhash64("text")).limit(2 * SAMPLE_ROWS).toArrow()
-    return Centroids(got["text"].combine_chunks(), got["lang"].to_pylist())
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """(lang, mark, text): the fitting sample."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("language-id"), key, text).alias("mark"), F.col(text).cast("string").alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.agg(F.count("*").alias("languages"))  # one row
+    bounds = counts.crossJoin(F.broadcast(languages)).select("lang", "n", F.least(F.lit(LANGUAGE_ROWS), F.greatest(F.lit(CLUSTERS), F.floor(SAMPLE_ROWS / F.col("languages")))).alias("bound"))
+    # twice the share by hash, so that few rows are left to rank; then exactly the bound, whatever the ties
+    wanted = F.pmod("mark", F.lit(1 << 30)) / (1 << 30) < 2 * F.col("bound") / F.col("n")
+    found = rows.join(bounds, "lang").where(wanted & F.regexp_like("text", F.lit(r"\p{L}")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
+    return found.withColumn("place", place).where(F.col("place") <= F.col("bound")).select("lang", "mark", "text")
 
 
-def _all():
-    from pyspark.sql import Window
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Centroids:
+    """The model of a bounded sample, fitted by one task."""
 
-    return Window.partitionBy(F.lit(1))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = lowered(batch.column(2))
+            for a, b in small_chunks(offsets):
+                x = count_ngrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                at = [np.flatnonzero(row) for row in x]
+                columns = [pa.array(np.diff(offsets[a : b + 1])), pa.array([p.astype(np.uint16).tobytes() for p in at]), pa.array([row[p].tobytes() for row, p in zip(x, at, strict=True)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["lang", "mark", "size", "places", "counts"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        places = [np.frombuffer(r[3], np.uint16).astype(np.int64) for r in rows]
+        model = Centroids([r[0] for r in rows], np.array([r[2] for r in rows], np.int64), places, [np.frombuffer(r[4], np.float32) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    vectors = sample(labelled, text, lang, key).mapInArrow(count, "lang string, mark long, size long, places binary, counts binary")
+    row = vectors.repartition(1).mapInArrow(train, "model binary").first()  # CLUSTERS x FEATURES floats a language
+    return pickle.loads(row["model"]) if row else Centroids([], np.zeros(0, np.int64), [], [])
 
 
 def predict(docs: DataFrame, model: Centroids, text: str = "text", keep: list[str] | None = None) -> DataFrame:
