@@ -2,7 +2,8 @@
 
 A source of n documents that should hold the share w of a mix as large as the corpus gets the mean repetition rate
 w * total / n. Each document draws its count from a Poisson distribution of that mean, inverted at a uniform number
-hashed from (seed, key), is exploded that many times, and the copies are ordered by another hash over all partitions.
+hashed from (seed, key, text), is exploded that many times, and the copies are ordered over all partitions by another
+hash, of `order_key` and the row's number, so that equal rows are spread too.
 Sources without a stated weight share what the stated ones leave, in proportion to their documents. A rate over
 MAX_RATE is the sum of equal parts, each drawn by its own number, since a sum of Poisson counts is one.
 
@@ -67,13 +68,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int
     rates = saved(rates, f"{work_dir(docs.sparkSession, 'mixing')}/rates").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")).alias("__text"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__salt"))
+    rows = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("string")).alias("__text"), F.monotonically_increasing_id().alias("__n"))
+    rows = rows.withColumn("__salt", F.pmod("__n", F.lit(SALTS)).cast("int"))
     drawn = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda i: uniform(F.lit(str(seed)), name, F.col("__text"), F.when(i > 0, i.cast("string"))))
     count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     counted = rows.join(rates, ["__source", "__salt"]).withColumn("n_copies", count)
-    copies = counted.where(F.col("n_copies") > 0).select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    ordered = copies.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col("copy"))))
-    return ordered.orderBy("order_key")
+    copies = counted.where(F.col("n_copies") > 0).select(*kept, "__text", "__n", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    ordered = copies.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col("__text"), F.col("copy"))))
+    # equal rows have equal keys: their numbers send them to places of their own
+    return ordered.orderBy(F.xxhash64("order_key", "__n"), "order_key").drop("__text", "__n")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +96,6 @@ l AS (SELECT s, list(f ORDER BY k) AS f FROM cdf GROUP BY s),
 d AS (SELECT documents.*, list_transform(range(parts), lambda i: ('0x' || substr(md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), CASE WHEN i > 0 THEN i::VARCHAR END)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS us
   FROM documents JOIN o ON coalesce(documents.source, '') = o.s),
 n AS (SELECT d.* EXCLUDE (us), list_sum(list_transform(us, lambda u: len(list_filter(f, lambda x: x <= u))))::INTEGER AS n_copies FROM d JOIN l ON coalesce(d.source, '') = l.s)
-SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INTEGER AS copy, md5(concat_ws('|', 'order17', coalesce(doc_id::VARCHAR, ''), copy::VARCHAR)) AS order_key
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INTEGER AS copy, md5(concat_ws('|', 'order17', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), copy::VARCHAR)) AS order_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM n)
 """
