@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 
-def connected_components(links: DataFrame, work: str, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, work: str) -> DataFrame:
     """(node, component) of every node of the links (a, b): component is the smallest node that it reaches.
 
     Each round hangs the neighbours of a node under their minimum, so the rounds needed grow with the logarithm of the
@@ -17,7 +19,7 @@ def connected_components(links: DataFrame, work: str, rounds: int = 40) -> DataF
     """
     a, b = F.col("a"), F.col("b")
     edges = saved(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), f"{work}/links")
-    for i in range(rounds):
+    for i in count():
         # large star: neighbours above a node go to the node's minimum
         both = edges.unionAll(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -33,4 +35,3 @@ def connected_components(links: DataFrame, work: str, rounds: int = 40) -> DataF
         if open_.isEmpty():  # every node is a root or has one link, to a root
             roots = edges.select(b.alias("node")).distinct()
             return edges.select(a.alias("node"), b.alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
-    raise RuntimeError("components did not settle")

@@ -3,8 +3,9 @@
 Links are exact: two sets link if 100 * |A & B| >= percent * |A | B|. The join works on classes of equal sets.
 
 1. Frequencies. Every task sends its distinct shingles, counted, in blocks of one hash range; the block's owner adds
-   them up. What goes to all tasks is of fixed size: a bitmap of the shingles met twice or more, and the counts of the
-   MAX_FREQUENT most frequent. Both only order the shingles, so their limits cost speed, never links.
+   them up. There are as many ranges as keep an owner's share of the corpus at RANGE_BYTES of text or so. What goes to
+   all tasks is of fixed size: a bitmap of the shingles met twice or more, and the counts of the MAX_FREQUENT most
+   frequent. Both only order the shingles, so their limits cost speed, never links.
 2. Index. Shingles are ordered: met once, then more often, then by count. A set's prefix in that order is as long as
    the threshold asks for, and its shingles that other sets may share become index entries (shingle, position, size).
    A text with a tenth of its own shingles or so has no entry at all.
@@ -29,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, saved, shingle_sets, string_bytes, table, work_dir
+from .common import mix, saved, sent_to_tasks, shingle_sets, string_bytes, table, work_dir
 from .graph import connected_components
 
 WORDS, PERCENT = 3, 90
 #: bits of the bitmap of repeated shingles, number of counts sent to all tasks, and the least count worth sending
 BITMAP_BITS, MAX_FREQUENT, FREQUENT = 1 << 27, 1_000_000, 8
 FLUSH = 2_000_000
+#: bytes of text whose shingles fall into one hash range, all ranges being alike
+RANGE_BYTES = 32 << 20
 MAX_EARLIER = 256
 POSITIONS = 8
 
@@ -81,7 +85,8 @@ class Frequencies:
 def count_shingles(docs: DataFrame, words: int, work: str) -> Frequencies:
     """Frequencies over all documents (column `text`)."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     segment = max(64, BITMAP_BITS // buckets // 8 * 8)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +126,14 @@ def count_shingles(docs: DataFrame, words: int, work: str) -> Frequencies:
     sent = docs.select("text").mapInArrow(parts, "bucket long, once binary, more binary, times binary")
     owned = saved(sent.groupBy("bucket").applyInArrow(owner, "bucket long, bits binary, tokens array<long>, counts array<long>"), f"{work}/frequencies")
     often = owned.select("bucket", F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select((F.col("bucket") * 2**32 + F.col("x.tokens")).alias("key"), F.col("x.counts").alias("n"))
-    total, least = often.count(), 0
-    if total > MAX_FREQUENT:
-        least = often.approxQuantile("n", [1 - MAX_FREQUENT / total], 0.001)[0]
-    found = often.where(F.col("n") > least).toArrow()  # MAX_FREQUENT rows or so
+    # the least count that MAX_FREQUENT shingles reach at most, from an exact histogram by size class
+    sizes = {r["size"]: r["n"] for r in often.groupBy(F.floor(F.log2("n") * 16).alias("size")).agg(F.count("*").alias("n")).collect()}  # 1,000 classes
+    least, total = 0.0, 0
+    for size in sorted(sizes, reverse=True):
+        if (total := total + sizes[size]) > MAX_FREQUENT:
+            least = size + 1
+            break
+    found = often.where(F.floor(F.log2("n") * 16) >= least).toArrow()  # MAX_FREQUENT rows at most
     keys = found["key"].to_numpy().astype(np.uint64)
     order = np.argsort(keys)
     bitmap = np.zeros(buckets * segment // 8, np.uint8)
@@ -141,9 +150,8 @@ def needed(n, percent: int):
 SETS = "doc_id long, n long, set_1 long, set_2 long, tokens array<long>, places array<int>, shingles array<long>"
 
 
-def index_sets(docs: DataFrame, words: int, percent: int, frequencies: Frequencies) -> DataFrame:
-    """Each document's set size, set hash and index entries; the whole set too if it has any entry."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # of fixed size
+def index_sets(docs: DataFrame, words: int, percent: int, shared: Broadcast) -> DataFrame:
+    """Each document's set size, set hash and index entries; the whole set too if it has any entry. shared: the Frequencies."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequencies = shared.value
@@ -188,7 +196,8 @@ def _may_link(n_a: Column, n_b: Column, left_a: Column, left_b: Column, percent:
 def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = saved(index_sets(rows, words, percent, count_shingles(rows, words, work)), f"{work}/sets")
+    with sent_to_tasks(rows.sparkSession, count_shingles(rows, words, work)) as shared:  # of fixed size
+        sets = saved(index_sets(rows, words, percent, shared), f"{work}/sets")
     named = sets.where("n > 0 and doc_id is not null")
     # a table, so that the joins below deal by all their keys and copies of one text do not meet in one task
     reps = saved(named.groupBy("set_1", "set_2", "n").agg(F.min("doc_id").alias("rep")), f"{work}/reps")
@@ -264,8 +273,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, 80 %): the one with the least id; rows without an id stay."""
-    found = similar_components(docs, work_dir(spark, "jaccard-stage"), words=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    """One document of each component of near duplicates (five words, 80 %): the one with the least id, an id being less than none.
+
+    Documents are told apart by id and text, so rows that share an id but no text are documents of their own, and equal
+    rows are one. Rows without words are near nothing and all stay.
+    """
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+    rows = docs.select(own.alias("own"), "doc_id", F.col("text").cast("string").alias("text"))
+    found = similar_components(rows, work_dir(spark, "jaccard-stage"), words=5, percent=80, key="own").where("n_shingles > 0")
+    ids = rows.select("own", "doc_id").distinct()
+    first = found.join(ids, found["doc_id"] == ids["own"]).groupBy("component_id").agg(F.min(F.struct(ids["doc_id"].isNull(), ids["doc_id"], "own")).alias("first"))
+    keys = found.select(F.col("doc_id").alias("__own"), "component_id").distinct()
+    gone = keys.join(first, "component_id").where(F.col("__own") != F.col("first.own")).select("__own")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    kept = docs.where(worded).withColumn("__own", own).join(gone, "__own", "left_anti").dropDuplicates(["__own"])
+    return kept.select(*docs.columns).unionAll(docs.where(~worded))
