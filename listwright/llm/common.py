@@ -62,7 +62,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ from .graph import connected_components
 WORDS, PERCENT = 3, 90
 #: bits of the bitmap of repeated shingles, number of counts sent to all tasks, and the least count worth sending
 BITMAP_BITS, MAX_FREQUENT, FREQUENT = 1 << 27, 1_000_000, 8
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: bytes of text whose shingles fall into one hash range, all ranges being alike
 RANGE_BYTES = 32 << 20
 MAX_EARLIER = 256

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks, string_bytes, table
+from .common import row_chunks, saved, string_bytes, table, work_dir
 
 FEATURES = 1 << 13
 CLUSTERS, ROUNDS = 4, 8
@@ -148,6 +148,8 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.agg(F.count("*").alias("languages"))  # one row
     bounds = counts.crossJoin(F.broadcast(languages)).select("lang", "n", F.least(F.lit(LANGUAGE_ROWS), F.greatest(F.lit(CLUSTERS), F.floor(SAMPLE_ROWS / F.col("languages")))).alias("bound"))
+    # a table of its own, a row a language: Catalyst sees whether it is small enough to send to all tasks, and the texts stay where they are
+    bounds = saved(bounds, f"{work_dir(labelled.sparkSession, 'language-id')}/bounds")
     # twice the share by hash, so that few rows are left to rank; then exactly the bound, whatever the ties
     wanted = F.pmod("mark", F.lit(1 << 30)) / (1 << 30) < 2 * F.col("bound") / F.col("n")
     found = rows.join(bounds, "lang").where(wanted & F.regexp_like("text", F.lit(r"\p{L}")))

@@ -23,7 +23,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -247,12 +246,6 @@ class TrieBpe:
         return np.concatenate([x for x, _ in found]), b" ".join(y for x, y in found if len(x))
 
 
-@lru_cache(1)
-def _loaded(path: str) -> TrieBpe:
-    """One encoder for each Python worker: its words and pairs serve all tasks that the worker runs."""
-    return TrieBpe(path)
-
-
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -261,7 +254,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(tokenizer)
+        bpe = TrieBpe(tokenizer)  # of this task alone: workers go on to other stages, which need the memory
         for batch in batches:
             texts = batch.column(1)
             _, offsets = string_bytes(texts)
