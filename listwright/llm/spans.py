@@ -18,7 +18,7 @@ from .common import _powers, mix
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: code points handled at a time; longer texts are cut in front of white space, where pieces always end
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _CUT = re.compile(r"(?<=[^\s])[ \n]")
 _CODES = 0x110000
 #: fixed values: the code points of white space

@@ -35,7 +35,7 @@ from .spans import LETTER, SpanCache, classes, code_points, encode_texts, gather
 
 END_ID = 0
 #: pieces that a Python worker keeps, and bytes of text encoded at a time
-CACHE_PIECES, ENCODE_BYTES = 1_000_000, 4 << 20
+CACHE_PIECES, ENCODE_BYTES = 1_000_000, 1 << 20
 
 
 class PieceEncoder:

@@ -35,7 +35,7 @@ from .spans import SpanCache, encode_texts, well_known
 
 END = "</w>"
 #: words and pairs of tokens that a Python worker keeps; bytes of text at a time
-CACHE_WORDS, CACHE_PAIRS, CHUNK = 600_000, 400_000, 4 << 20
+CACHE_WORDS, CACHE_PAIRS, CHUNK = 600_000, 400_000, 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
