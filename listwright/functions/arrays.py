@@ -14,7 +14,7 @@ def _key(u: Column) -> Column:
 
 def distinct_urls(urls: Column, skip: Column | None = None) -> Column:
     """http(s) URLs in order, each once whatever its case and closing slashes, without `skip`; null if none is left."""
-    web = F.filter(F.transform(urls, F.trim), lambda u: u.rlike(r"(?i)^https?://"))
+    web = F.filter(F.transform(urls, lambda x: F.trim(x)), lambda u: u.rlike(r"(?i)^https?://"))
     if skip is not None:
         web = F.filter(web, lambda u: _key(u) != F.coalesce(_key(skip), F.lit("")))
     first = F.filter(web, lambda u, i: F.array_position(F.transform(web, _key), _key(u)) == i + 1)
@@ -23,7 +23,7 @@ def distinct_urls(urls: Column, skip: Column | None = None) -> Column:
 
 def fetch_urls(primary: Column, extra: Column, limit: int = MAX_URLS) -> Column:
     """The primary URL, then the others, each once."""
-    named = F.filter(F.concat(F.array(F.coalesce(F.trim(primary), F.lit(""))), F.coalesce(F.transform(extra, F.trim), F.array().cast("array<string>"))), lambda u: u != "")
+    named = F.filter(F.concat(F.array(F.coalesce(F.trim(primary), F.lit(""))), F.coalesce(F.transform(extra, lambda x: F.trim(x)), F.array().cast("array<string>"))), lambda u: u != "")
     return F.slice(F.filter(named, lambda u, i: F.array_position(F.transform(named, _key), _key(u)) == i + 1), 1, limit)
 
 

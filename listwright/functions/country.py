@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: places are looked up in the first MAX_LENGTH characters of a location, by runs of MAX_WORDS words at most
 MAX_LENGTH, MAX_WORDS = 300, 3
 #: kinds of lexicon rows in order of precedence; of the first three only a single country counts
 KINDS = ("name", "state", "city", "state_code", "province", "code")
@@ -31,8 +32,8 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, source, target)), r"[^\p{L}\p{N}]+", " "), r"\s+", " "))
 
 
-def segments(location: Column) -> Column:
-    parts = F.split(F.regexp_replace(F.substring(location, 1, MAX_LENGTH), r"[()]", ","), r"[,;|/:\n]|\s[-–—]\s")
+def segments(location: Column, max_length: int = MAX_LENGTH) -> Column:
+    parts = F.split(F.regexp_replace(F.substring(location, 1, max_length), r"[()]", ","), r"[,;|/:\n]|\s[-–—]\s")
     return F.filter(F.transform(parts, fold), lambda s: s != "")
 
 
@@ -41,11 +42,12 @@ def phrases(parts: Column) -> Column:
 
     def runs(segment: Column) -> Column:
         words = F.split(segment, " ")
-        made = [
-            F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i, n=n: i <= F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-            for n in range(1, MAX_WORDS + 1)
-        ]
-        return F.concat(F.array(segment), *made)
+
+        def of(n: int) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i <= F.size(words) - n + 1)
+            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+        return F.concat(F.array(segment), *[of(n) for n in range(1, MAX_WORDS + 1)])
 
     return F.array_distinct(F.flatten(F.transform(parts, runs)))
 
@@ -71,3 +73,8 @@ def detect_country(rows: DataFrame, location: str, lexicon: DataFrame, name: str
     known = votes.select("__place", answer.alias("__country"))
     kept = [F.col(x) for x in rows.columns if x != name]
     return rows.join(known, rows[location] == known["__place"], "left").select(*kept, F.col("__country").alias(name))
+
+
+def country_name(code: Column, names: dict[str, str]) -> Column:
+    """The display name of a code; null if the code is unknown."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.upper(code))

@@ -1,0 +1,156 @@
+"""Rows that need a page's tree: main text, panels, places beside links. One small tree a page, in Arrow batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+VOID = frozenset({"br", "hr", "img", "input", "link", "meta", "source", "wbr"})
+SKIPPED = frozenset({"script", "style", "noscript", "nav", "header", "footer", "form"})
+PANEL_LEAST, PANEL_LINKS = 400, 0.3
+ANCESTORS = 4
+PLACE_WORDS = ("location", "place", "city", "region")
+
+
+@dataclass
+class Node:
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    parent: Node | None = field(default=None, repr=False)
+    parts: list = field(default_factory=list)
+
+    def walk(self) -> Iterator[Node]:
+        yield self
+        for part in self.parts:
+            if isinstance(part, Node):
+                yield from part.walk()
+
+    def text(self, skipped: frozenset[str] = frozenset({"script", "style"})) -> str:
+        found: list[str] = []
+
+        def gather(node: Node) -> None:
+            for part in node.parts:
+                if isinstance(part, str):
+                    found.append(part)
+                elif part.tag not in skipped:
+                    gather(part)
+
+        gather(self)
+        return " ".join(" ".join(found).split())
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.root = self.at = Node("document")
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.parts.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:  # an end without a start is left out
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.parts.append(data)
+
+
+def parse(html: str) -> Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
+
+
+def main_of(root: Node) -> str:
+    """The text of <main>, of role=main, of <article>, else of the largest <div>, else of the page; without navigation and the like."""
+    nodes = list(root.walk())
+    for wanted in (lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main", lambda n: n.tag == "article"):
+        for node in nodes:
+            if wanted(node) and (text := node.text(SKIPPED)):
+                return text
+    divs = [n.text(SKIPPED) for n in nodes if n.tag == "div"]
+    return max(divs, key=len, default="") or root.text(SKIPPED)
+
+
+def panels_of(root: Node) -> list[dict]:
+    """(title, text) of panels of postings: <details> with a summary, tabs, and items of accordions; long enough and not mostly links."""
+    nodes = list(root.walk())
+    by_id = {n.attrs["id"]: n for n in nodes if n.attrs.get("id")}
+    found = []
+    for node in nodes:
+        title = panel = None
+        if node.tag == "details":
+            title, panel = next((c for c in node.walk() if c.tag == "summary"), None), node
+        elif node.attrs.get("role") == "tab" and node.attrs.get("aria-controls") in by_id:
+            title, panel = node, by_id[node.attrs["aria-controls"]]
+        elif "accordion-item" in node.attrs.get("class", "").split():
+            title, panel = next((c for c in node.walk() if c.tag in ("h2", "h3", "h4", "button")), None), node
+        if title is None or panel is None:
+            continue
+        name, text = title.text(), panel.text()
+        text = text.removeprefix(name).strip()
+        linked = sum(len(n.text()) for n in panel.walk() if n.tag == "a")
+        if name and len(text) >= PANEL_LEAST and linked < PANEL_LINKS * len(text):
+            found.append({"title": name, "text": text})
+    return found
+
+
+def places_of(root: Node) -> list[dict]:
+    """(href, place) of links with a place in their card: the nearest of a few ancestors that holds no other link and a node named for a place."""
+    found = []
+    for node in root.walk():
+        if node.tag != "a" or not node.attrs.get("href"):
+            continue
+        card = node
+        for _ in range(ANCESTORS):
+            if card.parent is None or card.parent.tag in ("body", "html", "document"):
+                break
+            card = card.parent
+            if len({n.attrs.get("href") for n in card.walk() if n.tag == "a" and n.attrs.get("href")}) > 1:
+                break
+            named = (n for n in card.walk() if n.tag != "a" and any(w in f"{n.attrs.get('class', '')} {n.attrs.get('itemprop', '')} {n.attrs.get('data-label', '')}".lower() for w in PLACE_WORDS))
+            if place := next((t for t in (n.text().strip(" ,;-") for n in named) if t), None):
+                found.append({"href": node.attrs["href"], "place": place})
+                break
+    return found
+
+
+def main_text(html: Column) -> Column:
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: None if x is None else main_of(parse(x)))
+
+    return text(html)
+
+
+def panels(html: Column) -> Column:
+    @F.pandas_udf("array<struct<title:string,text:string>>")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: panels_of(parse(x)))
+
+    return found(html)
+
+
+def link_places(html: Column) -> Column:
+    @F.pandas_udf("array<struct<href:string,place:string>>")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: places_of(parse(x)))
+
+    return found(html)
+
+
+def panel_postings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, place, title, text) of the postings in a page's panels."""
+    return pages.select(key, F.posexplode(panels(F.col(html))).alias("place", "p")).select(key, "place", "p.title", "p.text")

@@ -6,11 +6,12 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.country import fold
+from ..sources.work import work_dir
 
 #: fixed values: words that name the legal form of a company
 LEGAL_WORDS = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "ag", "kg", "sa", "sas", "sarl", "srl", "spa", "bv", "nv", "ab", "as", "oy", "plc", "pty", "pte", "kk", "group", "holding", "holdings")
@@ -34,26 +35,46 @@ def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known
     """(name, matched): the known name of each distinct incoming one, null if there is none.
 
     Equal names first, then token subsets, then a known one-word name that starts the incoming one, then similar ones,
-    the best by rank, similarity and least name. Candidates come from equi-joins: on a shared token for subsets, on the
-    first token, and for similar names on a shared run of characters; a similarity of `fuzzy` leaves at least one
-    of the runs below intact.
+    the best by rank, similarity and least name. Candidates come from equi-joins: on the rarest token of the inner name
+    for subsets, on the first token, and for similar names on one of their rarest runs of characters.
     """
     given = incoming.select(F.col(name).alias("given")).distinct().select("given", normalize_name(F.col("given")).alias("n"))
     index = known.select(normalize_name(F.col(known_name)).alias("k"), F.col(known_name).alias("shown")).where("k <> ''").groupBy("k").agg(F.min("shown").alias("shown"))
     exact = given.join(index, given["n"] == index["k"]).select("given", F.col("shown").alias("matched"))
     rest = given.join(exact, "given", "left_anti").where(F.length("n") > SHORT_NAME).withColumn("words", F.array_distinct(F.split("n", " ")))
     long = index.where(F.length("k") > SHORT_NAME).withColumn("known_words", F.array_distinct(F.split("k", " ")))
-    several = rest.where(F.size("words") >= 2).withColumn("word", F.explode("words"))
-    by_word = several.join(long.where(F.size("known_words") >= 2).withColumn("word", F.explode("known_words")), "word")
-    inside = (F.size(F.array_except("known_words", "words")) == 0) | (F.size(F.array_except("words", "known_words")) == 0)
-    subsets = by_word.where(inside).select("given", "shown", F.lit(2).alias("rank"), F.lit(1.0).alias("r"))
+    # of two names, one inside the other, the one inside has its rarest word in both: the index holds that word alone
+    several, known_several = rest.where(F.size("words") >= 2), long.where(F.size("known_words") >= 2)
+    ours = several.select("given", "words", F.explode("words").alias("word"))
+    theirs = known_several.select("shown", "known_words", F.explode("known_words").alias("word"))
+    often = theirs.groupBy("word").agg(F.count("*").alias("often"))
+
+    def rarest(names: DataFrame, name: str) -> DataFrame:
+        return names.join(often, "word", "left").groupBy(name).agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+
+    known_in_given = ours.join(rarest(theirs, "shown").join(known_several.select("shown", "known_words"), "shown"), "word").where(F.size(F.array_except("known_words", "words")) == 0)
+    given_in_known = rarest(ours, "given").join(several.select("given", "words"), "given").join(theirs, "word").where(F.size(F.array_except("words", "known_words")) == 0)
+    subsets = known_in_given.select("given", "shown").union(given_in_known.select("given", "shown")).select("given", "shown", F.lit(2).alias("rank"), F.lit(1.0).alias("r"))
     leading = rest.join(long.where(F.size("known_words") == 1), F.substring_index("n", " ", 1) == F.col("k")).select("given", "shown", F.lit(1).alias("rank"), F.lit(1.0).alias("r"))
 
-    def runs(text: Column) -> Column:
-        """Runs of three characters."""
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
+    def runs(names: DataFrame, text: str) -> DataFrame:
+        """Runs of three characters of each name, each with its number among equal runs, and how many the name has."""
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+        one = names.withColumn("run", F.explode(F.transform(places, lambda i: F.substr(F.col(text), i, F.lit(3)))))
+        return one.groupBy(*names.columns, "run").agg(F.count("*").alias("times"))
 
-    near = rest.withColumn("run", F.explode(runs(F.col("n")))).join(long.withColumn("run", F.explode(runs(F.col("k")))), "run")
+    # similar names keep most of their runs: each character that differs costs three at most, so a name of m runs meets
+    # every similar one among its m - shared + 1 rarest
+    a, b = runs(rest.select("given", "n"), "n"), runs(long.select("shown", "k"), "k")
+    common = b.groupBy("run").agg(F.count("*").alias("common"))
+
+    def prefix(one: DataFrame, text: str, key: str) -> DataFrame:
+        m = F.length(text) - 2
+        lost = 3 * F.ceil((1 - fuzzy) / fuzzy * 2 * F.length(text)) + 1
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("common", F.lit(0)), "run"))
+        return one.join(common, "run", "left").withColumn("place", place).where((F.col("place") <= lost) | (m <= lost)).select(key, text, "run")
+
+    near = prefix(a, "n", "given").join(prefix(b, "k", "shown"), "run")
     close = F.abs(F.length("n") - F.length("k")) <= (1 - fuzzy) / fuzzy * 2 * F.least(F.length("n"), F.length("k")) + 1
     pairs = near.where(close).select("given", "n", "k", "shown").distinct().withColumn("r", ratio("n", "k"))
     similar = pairs.where(F.col("r") >= fuzzy).select("given", "shown", F.lit(0).alias("rank"), "r")
@@ -97,22 +118,30 @@ def brand_representatives(rows: DataFrame, url: str, root: Column, name: str) ->
     return rows.withColumn("__root", root).groupBy(url, "__root").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
-def claim_boards(companies: DataFrame, order: str, url: str, board: str, rounds: int = 50) -> DataFrame:
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table of the shared work folder, so that a round does not plan or run the ones before it again."""
+    path = work_dir(rows.sparkSession, "claims")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def claim_boards(companies: DataFrame, order: str, url: str, board: str) -> DataFrame:
     """(order, claimed): in order, a company whose URL or board an earlier claimer holds is skipped and claims nothing.
 
     Equal to going through them one by one: in each round those that are first among the undecided for both their URL
     and their board claim, and whoever shares either with a claimer is skipped. A blank URL is one URL, a blank board
-    none. Rounds follow the longest chain of dependent choices; lineage is cut by checkpoints.
+    none. Rounds follow the longest chain of dependent choices; each writes what is left as a table.
     """
     rows = companies.select(order, F.lower(F.trim(F.coalesce(F.col(url), F.lit("")))).alias("u"), F.nullif(F.lower(F.trim(F.col(board))), F.lit("")).alias("b"))
     undecided, claimed = rows, None
-    for _ in range(rounds):
+    while True:  # each round decides the first row that is left, at least
         first_u = undecided.groupBy("u").agg(F.min(order).alias("mu"))
         first_b = undecided.where("b is not null").groupBy("b").agg(F.min(order).alias("mb"))
         seen = undecided.join(first_u, "u").join(first_b, "b", "left")
-        new = seen.where((F.col(order) == F.col("mu")) & (F.col("b").isNull() | (F.col(order) == F.col("mb")))).select(order, "u", "b").checkpoint()
+        new = seen.where((F.col(order) == F.col("mu")) & (F.col("b").isNull() | (F.col(order) == F.col("mb")))).select(order, "u", "b")
+        new = _stored(new)
         claimed = new if claimed is None else claimed.unionByName(new)
-        undecided = undecided.join(new.select("u"), "u", "left_anti").join(new.where("b is not null").select("b").distinct(), "b", "left_anti").checkpoint()
+        undecided = undecided.join(new.select("u"), "u", "left_anti").join(new.where("b is not null").select("b").distinct(), "b", "left_anti")
+        undecided = _stored(undecided)
         if undecided.isEmpty():
             return companies.select(order).join(claimed.select(order, F.lit(True).alias("claimed")), order, "left").fillna(False, ["claimed"])
-    raise RuntimeError("claims did not settle")

@@ -25,6 +25,8 @@ CLOSING_MARKERS = (
 )
 EEO = "equal employment opportunit"
 LEAST_CATEGORY_SCORE, MOST_CATEGORIES = 5, 3
+#: characters of the role text that categories and relevance look at
+CATEGORY_TEXT, RELEVANCE_TEXT = 6000, 8000
 THRESHOLDS = {"native": 45, "partial": 50, "all": 55}
 
 
@@ -86,13 +88,20 @@ def _hits(text: Column, words: Sequence[str]) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(keyword_pattern(words)), 0))) if words else F.lit(0)
 
 
-def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", role: str = "role_text", name: str = "categories") -> DataFrame:
+def _without_dominated(dominant: str, below: Sequence[str]) -> Column:
+    """The scored categories; where the title names the dominant one, those below it that the title does not name go."""
+    rules = F.exists("__scored", lambda x: (x["category"] == dominant) & (x["untitled"] == 0))
+    kept = F.filter("__scored", lambda x: ~(x["category"].isin(*below) & (x["untitled"] == 1)))
+    return F.when(rules, kept).otherwise(F.col("__scored"))
+
+
+def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", role: str = "role_text", name: str = "categories", text_limit: int = CATEGORY_TEXT) -> DataFrame:
     """The rows with up to three categories, sorted by name; the best by score, then title hit, then name.
 
     A title scores 6 for a strong and 3 for a weak keyword of a category, the role text 3 and one more for each further
     distinct strong keyword up to 5, and up to 2 for weak ones; 5 are needed.
     """
-    t, r = F.lower(F.col(title)), F.lower(F.substring(F.col(role), 1, 6000))
+    t, r = F.lower(F.col(title)), F.lower(F.substring(F.col(role), 1, text_limit))
     structs = []
     for category in sorted({*lexicon.strong, *lexicon.weak}):
         strong, weak = lexicon.strong.get(category, ()), lexicon.weak.get(category, ())
@@ -106,17 +115,15 @@ def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", rol
     scored = F.filter(F.array(*structs), lambda x: x["order"] <= -LEAST_CATEGORY_SCORE)
     staged = rows.withColumn("__scored", scored)
     for dominant, below in lexicon.dominance.items():
-        rules = F.exists("__scored", lambda x, d=dominant: (x["category"] == d) & (x["untitled"] == 0))
-        kept = F.filter("__scored", lambda x, b=below: ~(x["category"].isin(*b) & (x["untitled"] == 1)))
-        staged = staged.withColumn("__scored", F.when(rules, kept).otherwise(F.col("__scored")))
+        staged = staged.withColumn("__scored", _without_dominated(dominant, below))
     best = F.transform(F.slice(F.array_sort("__scored"), 1, MOST_CATEGORIES), lambda x: x["category"])
     return staged.withColumn(name, F.array_sort(best)).drop("__scored")
 
 
-def with_relevance(rows: DataFrame, lexicon: Lexicon, title: str = "title", description: str = "description", role: str = "role_text", categories: str = "categories", scope: str = "audio_scope", score: str = "relevance_score", flag: str = "is_audio_related") -> DataFrame:
+def with_relevance(rows: DataFrame, lexicon: Lexicon, title: str = "title", description: str = "description", role: str = "role_text", categories: str = "categories", scope: str = "audio_scope", score: str = "relevance_score", flag: str = "is_audio_related", text_limit: int = RELEVANCE_TEXT) -> DataFrame:
     """The rows with their relevance score and whether it reaches the threshold of their company's scope."""
     c = F.col
-    t, low = c(title), F.lower(F.substring(c(role), 1, 8000))
+    t, low = c(title), F.lower(F.substring(c(role), 1, text_limit))
     strong, weak = t.rlike(lexicon.title_strong), t.rlike(lexicon.title_weak)
     labels = F.array(*[F.lit(x) for x in lexicon.label_only]).cast("array<string>")
     domain = ~subset(F.coalesce(c(categories), F.array().cast("array<string>")), labels)

@@ -1,7 +1,8 @@
-"""The registered queries and the SQL that an independent engine answers alike."""
+"""Queries of the listings engine and their SQL."""
 
 from __future__ import annotations
 
+from . import listings, maintenance, sources_and_text  # noqa: F401  (they register their queries)
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

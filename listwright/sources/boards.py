@@ -8,13 +8,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date
-from ..functions.text import clean_description, clean_optional
+from ..functions.dates import parse_date, relative_date
+from ..functions.money import decoded_content, listed_places, salary_text, written_date
+from ..functions.text import clean_description, clean_optional, page_text
 
 
 @dataclass(frozen=True)
 class Board:
-    """rows: path of the array of postings. fields: paths of each output field; the first with a value is taken. place_parts: joined by commas. sections: joined by line breaks."""
+    """rows: path of the array of postings. fields: paths of each output field; the first with a value is taken.
+
+    place_parts: joined by commas. sections: joined by line breaks. places: path of an array of places, joined by `; `
+    with * for what is below each. encoded: the description may be base64. pay: path of a pay object, shown as text.
+    """
 
     rows: str
     title: tuple[str, ...]
@@ -29,31 +34,34 @@ class Board:
     sections: tuple[str, ...] = ()
     drop_if: tuple[str, ...] = ()
     types: Mapping[str, str] = field(default_factory=dict)
+    places: str = ""
+    encoded: bool = False
+    pay: str = ""
 
 
 _TYPES = {"fulltime": "full-time", "full_time": "full-time", "full-time": "full-time", "parttime": "part-time", "part_time": "part-time", "part-time": "part-time", "contract": "contract", "contractor": "contract", "temporary": "temporary", "intern": "internship", "internship": "internship"}
 
 #: fixed values: where each board's public payload keeps its fields
 BOARDS: dict[str, Board] = {
-    "adp": Board("$.jobRequisitions", ("$.requisitionTitle",), ("$.url",), ("$.itemID",), ("$.requisitionLocations[0].nameCode.shortName",), ("$.requisitionDescription",), ("$.workLevelCode.shortName",), ("$.postDate",), types=_TYPES),
+    "adp": Board("$.jobRequisitions", ("$.requisitionTitle",), ("$.url",), ("$.itemID",), (), ("$.requisitionDescription",), ("$.workLevelCode.shortName",), ("$.postDate",), types=_TYPES, places="$.requisitionLocations.*.nameCode.shortName"),
     "amazon": Board("$.jobs", ("$.title",), ("$.job_path",), ("$.id_icims", "$.id"), ("$.normalized_location", "$.location"), (), ("$.job_schedule_type",), ("$.posted_date",), sections=("$.description", "$.basic_qualifications", "$.preferred_qualifications"), types=_TYPES),
-    "apple": Board("$.searchResults", ("$.postingTitle",), ("$.transformedPostingTitle",), ("$.positionId", "$.id"), ("$.locations[0].name",), ("$.jobSummary",), (), ("$.postDateInGMT", "$.postingDate"), ("$.homeOffice",)),
+    "apple": Board("$.searchResults", ("$.postingTitle",), ("$.transformedPostingTitle",), ("$.positionId", "$.id"), (), ("$.jobSummary",), (), ("$.postDateInGMT", "$.postingDate"), ("$.homeOffice",), places="$.locations.*.name"),
     "ashby": Board("$.jobs", ("$.title",), ("$.jobUrl", "$.applyUrl"), ("$.id",), ("$.location",), ("$.descriptionHtml", "$.descriptionPlain"), ("$.employmentType",), ("$.publishedAt",), ("$.isRemote",), types=_TYPES),
     "awsm": Board("$", ("$.title.rendered",), ("$.link",), ("$.id",), (), ("$.content.rendered",), (), ("$.date_gmt", "$.date")),
     "bamboohr": Board("$.result", ("$.jobOpeningName",), ("$.jobOpeningShareUrl", "$.url"), ("$.id",), (), ("$.description",), ("$.employmentStatusLabel",), ("$.datePosted",), ("$.isRemote",), ("$.location.city", "$.location.state"), types=_TYPES),
-    "eightfold": Board("$.data.positions", ("$.name",), ("$.canonicalPositionUrl", "$.positionUrl"), ("$.id",), ("$.locations[0]", "$.location"), ("$.jobDescription",), (), ("$.postedTs", "$.t_create"), ("$.workLocationOption",)),
+    "eightfold": Board("$.data.positions", ("$.name",), ("$.canonicalPositionUrl", "$.positionUrl"), ("$.id",), ("$.location",), ("$.jobDescription",), (), ("$.postedTs", "$.t_create"), ("$.workLocationOption",), places="$.locations.*"),
     "gibson": Board("$.data.jobRequisitions", ("$.jobTitle",), ("$.url",), ("$.jobRequisitionId",), (), ("$.jobDescription",), ("$.employeeType",), ("$.datePosted",), (), ("$.city", "$.state"), types=_TYPES),
-    "greenhouse": Board("$.jobs", ("$.title",), ("$.absolute_url",), ("$.id",), ("$.location.name",), ("$.content",), (), ("$.first_published", "$.updated_at")),
+    "greenhouse": Board("$.jobs", ("$.title",), ("$.absolute_url",), ("$.id",), ("$.location.name",), ("$.content",), (), ("$.first_published", "$.updated_at"), encoded=True),
     "jibe": Board("$.jobs", ("$.data.title",), ("$.data.meta_data.canonical_url", "$.data.apply_url"), ("$.data.req_id", "$.data.slug"), ("$.data.full_location",), ("$.data.description",), ("$.data.employment_type",), ("$.data.posted_date",), types=_TYPES),
     "jobsyn": Board("$.jobs", ("$.title", "$.title_exact"), ("$.url",), ("$.reqid", "$.guid"), ("$.location_exact", "$.location"), ("$.description",), (), ("$.date_new", "$.date_added")),
     "lever": Board("$", ("$.text",), ("$.hostedUrl", "$.applyUrl"), ("$.id",), ("$.categories.location",), (), ("$.categories.commitment",), ("$.createdAt",), ("$.workplaceType",), sections=("$.description", "$.additional"), types=_TYPES),
     "paylocity": Board("$.Jobs", ("$.JobTitle",), ("$.JobUrl",), ("$.JobId",), ("$.LocationName",), ("$.Description",), (), ("$.PublishedDate",), ("$.IsRemote",), drop_if=("$.IsInternal",)),
     "pinpoint": Board("$.data", ("$.title",), ("$.url",), ("$.id",), ("$.location.name",), ("$.description",), ("$.employment_type_text", "$.employment_type"), (), sections=("$.description", "$.key_responsibilities", "$.skills_knowledge_expertise", "$.benefits"), types=_TYPES),
-    "recruitee": Board("$.offers", ("$.title",), ("$.careers_url",), ("$.id",), ("$.location",), (), ("$.employment_type_code",), ("$.published_at", "$.created_at"), ("$.remote",), sections=("$.description", "$.requirements"), types=_TYPES),
+    "recruitee": Board("$.offers", ("$.title",), ("$.careers_url",), ("$.id",), ("$.location",), (), ("$.employment_type_code",), ("$.published_at", "$.created_at"), ("$.remote",), sections=("$.description", "$.requirements"), types=_TYPES, pay="$.salary"),
     "sigma": Board("$", ("$.title",), ("$.url",), ("$.id",), ("$.location",), ("$.description",), ("$.type",), ("$.date",), types=_TYPES),
     "smartrecruiters": Board("$.content", ("$.name",), ("$.postingUrl", "$.ref"), ("$.id",), ("$.location.fullLocation",), ("$.jobAd.sections.jobDescription.text",), ("$.typeOfEmployment.id", "$.typeOfEmployment.label"), ("$.releasedDate",), ("$.location.remote",), types=_TYPES),
     "taleo": Board("$.requisitionList", ("$.column[0]",), ("$.url",), ("$.jobId", "$.contestNo"), ("$.column[1]",), (), (), ("$.column[2]",)),
-    "ultipro": Board("$.opportunities", ("$.Title",), ("$.Url",), ("$.Id", "$.RequisitionNumber"), ("$.Locations[0].LocalizedDescription",), ("$.BriefDescription",), (), ("$.PostedDate",)),
+    "ultipro": Board("$.opportunities", ("$.Title",), ("$.Url",), ("$.Id", "$.RequisitionNumber"), (), ("$.BriefDescription",), (), ("$.PostedDate",), places="$.Locations.*.LocalizedDescription"),
     "workday": Board("$.jobPostings", ("$.title",), ("$.externalPath",), ("$.bulletFields[0]", "$.externalPath"), ("$.locationsText",), (), ("$.timeType",), (), ("$.remoteType",), types=_TYPES),
 }
 
@@ -62,6 +70,11 @@ def _first(v: str, paths: tuple[str, ...]) -> Column:
     return F.coalesce(*[clean_optional(F.try_variant_get(v, p, "string")) for p in paths]) if paths else F.lit(None).cast("string")
 
 
+def salary_text_at(v: str, path: str) -> Column:
+    """The pay object at a path, as text."""
+    return F.nullif(salary_text(v, f"{path[2:]}.min", f"{path[2:]}.max", f"{path[2:]}.currency", f"{path[2:]}.period"), F.lit(""))
+
+
 def postings(payloads: DataFrame, board: str, keys: list[str], payload: str = "payload", base: str = "") -> DataFrame:
     """Posting rows of JSON payloads (text) of one board; payloads that don't parse and rows without title or url are dropped."""
     b = BOARDS[board]
@@ -71,6 +84,11 @@ def postings(payloads: DataFrame, board: str, keys: list[str], payload: str = "p
         rows = rows.where(~F.coalesce(F.try_variant_get("__p", path, "boolean"), F.lit(False)))
     joined = F.array_join(F.array_compact(F.array(*[_first("__p", (p,)) for p in b.place_parts])), ", ") if b.place_parts else F.lit("")
     whole = F.array_join(F.array_compact(F.array(*[_first("__p", (p,)) for p in b.sections])), "\n") if b.sections else F.lit("")
+    if b.places:
+        path, _, below = b.places.partition(".*")
+        named = F.transform(F.coalesce(F.try_variant_get("__p", path, "array<variant>"), F.array().cast("array<variant>")), lambda v: F.try_variant_get(v, f"${below}", "string"))
+        joined = F.coalesce(listed_places(named), joined)
+    raw = _first("__p", b.description)
     kind = F.lower(_first("__p", b.job_type))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in b.types.items() for x in kv]), kind) if b.types else F.lit(None).cast("string")
     url = _first("__p", b.url)
@@ -81,9 +99,64 @@ def postings(payloads: DataFrame, board: str, keys: list[str], payload: str = "p
         F.when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url).alias("url"),
         _first("__p", b.external_id).alias("external_id"),
         F.coalesce(_first("__p", b.location), F.nullif(joined, F.lit(""))).alias("location"),
-        clean_description(F.coalesce(F.nullif(whole, F.lit("")), _first("__p", b.description))).alias("description"),
+        clean_description(F.coalesce(F.nullif(whole, F.lit("")), decoded_content(raw) if b.encoded else raw)).alias("description"),
         F.coalesce(known, F.replace(kind, F.lit(" "), F.lit("-"))).alias("job_type"),
-        parse_date(_first("__p", b.posted)).alias("posted_date"),
+        F.coalesce(parse_date(_first("__p", b.posted)), written_date(_first("__p", b.posted)), relative_date(_first("__p", b.posted), F.current_date())).alias("posted_date"),
+        *([salary_text_at("__p", b.pay).alias("salary")] if b.pay else []),
         F.coalesce(F.lower(_first("__p", b.remote)).isin("true", "remote", "fully remote", "1"), F.lit(False)).alias("remote_hint"),
     )
     return out.where("title is not null and url is not null")
+
+
+def with_details(rows: DataFrame, details: DataFrame, keys: list[str], path: str = "$.description") -> DataFrame:
+    """Posting rows with the descriptions of their own detail payloads (keys, payload) where the listing had none."""
+    said = details.select(*keys, clean_description(F.try_variant_get(F.try_parse_json("payload"), path, "string")).alias("__said"))
+    one = said.groupBy(*keys).agg(F.max("__said").alias("__said"))
+    return rows.join(one, keys, "left").withColumn("description", F.coalesce("description", "__said")).drop("__said")
+
+
+@dataclass(frozen=True)
+class PageBoard:
+    """Boards whose listings are pages. row: a pattern around one posting; the others are taken inside it, group 1 of each."""
+
+    row: str
+    url: str
+    title: str
+    location: str = r"(?!)"
+    posted: str = r"(?!)"
+    external_id: str = r"(?!)"
+
+
+#: how the listing pages of boards without JSON show a posting
+PAGE_BOARDS: dict[str, PageBoard] = {
+    "haileyhr": PageBoard(r"(?is)<a\b[^>]*href=\"[^\"]*/jobs?/[^\"]+\"[^>]*>.*?</a>", r"href=\"([^\"]+)\"", r"(?is)<h\d[^>]*>(.*?)</h\d>", r"(?is)class=\"[^\"]*location[^\"]*\"[^>]*>(.*?)<", external_id=r"/jobs?/([^/\"?]+)"),
+    "icims": PageBoard(r"(?is)<div\b[^>]*class=\"[^\"]*row[^\"]*\"[^>]*>.*?</a>.*?</div>", r"href=\"([^\"]*/jobs/\d+/[^\"]*)\"", r"(?is)<a\b[^>]*>(.*?)</a>", r"(?is)Location[^<]*</span>\s*<span[^>]*>(.*?)</span>", r"(?is)Posted[^<]*</span>\s*<span[^>]*>(.*?)</span>", r"/jobs/(\d+)/"),
+    "successfactors": PageBoard(r"(?is)<tr\b[^>]*class=\"[^\"]*data-row[^\"]*\"[^>]*>.*?</tr>", r"href=\"([^\"]+)\"", r"(?is)<a\b[^>]*>(.*?)</a>", r"(?is)class=\"jobLocation\"[^>]*>(.*?)<", r"(?is)class=\"jobDate\"[^>]*>(.*?)<", r"/(\d+)/?\""),
+}
+
+
+def page_postings(pages: DataFrame, board: str, keys: list[str], html: str = "html", base: str = "base") -> DataFrame:
+    """Posting rows of listing pages of one board; each URL of a page once."""
+    b = PAGE_BOARDS[board]
+    rows = pages.select(*keys, F.col(base).alias("__base"), F.posexplode(F.regexp_extract_all(html, F.lit(b.row), 0)).alias("place", "__row"))
+
+    def part(pattern: str) -> Column:
+        return clean_optional(page_text(F.regexp_extract("__row", pattern, 1)))
+
+    link = F.nullif(F.regexp_extract("__row", b.url, 1), F.lit(""))
+    found = rows.select(*keys, "place", part(b.title).alias("title"), F.when(link.startswith("/"), F.concat("__base", link)).otherwise(link).alias("url"), F.nullif(F.regexp_extract("__row", b.external_id, 1), F.lit("")).alias("external_id"), part(b.location).alias("location"), F.coalesce(written_date(part(b.posted)), parse_date(part(b.posted))).alias("posted_date"))
+    found = found.where("title is not null and url is not null")
+    return found.groupBy(*keys, "url").agg(F.min_by(F.struct("place", "title", "external_id", "location", "posted_date"), "place").alias("r")).select(*keys, "r.place", "r.title", "url", "r.external_id", "r.location", "r.posted_date")
+
+
+def markdown_postings(pages: DataFrame, keys: list[str], markdown: str = "markdown") -> DataFrame:
+    """Posting rows of a Markdown listing: tables of `| [title](url) | location | type | salary |`, a row a line."""
+    line = pages.select(*keys, F.posexplode(F.split(markdown, "\n")).alias("place", "__line")).where(F.col("__line").rlike(r"^\s*\|.*\]\(https?://"))
+    cells = F.transform(F.split(F.btrim(F.trim("__line"), F.lit("|")), r"\s*\|\s*"), lambda x: F.trim(x))
+    rows = line.select(*keys, "place", cells.alias("c"))
+    head = r"\[([^\]]+)\]\((https?://[^)\s]+)\)"
+
+    def cell(i: int) -> Column:
+        return clean_optional(F.get("c", F.lit(i)))
+
+    return rows.select(*keys, "place", F.trim(F.regexp_extract(F.col("c")[0], head, 1)).alias("title"), F.regexp_extract(F.col("c")[0], head, 2).alias("url"), cell(1).alias("location"), cell(2).alias("job_type"), cell(3).alias("salary"))

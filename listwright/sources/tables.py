@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ def jdbc(spark: SparkSession, url: str, name: str, partition_column: str | None
 
 def seed_entries(spark: SparkSession, path: str) -> DataFrame:
     """(entry) of a seed file: a JSON array of objects as variants, so that absent keys and nulls stay apart; other content fails."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = F.coalesce(F.try_variant_get(F.parse_json("value"), "$", "array<variant>"), F.raise_error(F.lit("a seed file is a JSON array")).cast("array<variant>"))
     return raw.select(F.posexplode(listed).alias("place", "entry"))
 
@@ -53,3 +53,26 @@ def page_cache(spark: SparkSession, folder: str) -> DataFrame:
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """One term a line; blank lines and `#` comments are skipped."""
     return spark.read.text(path).select(F.trim("value").alias("term")).where("term <> '' and not term like '#%'")
+
+
+def golden_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled titles of an evaluation set: (title, description, acceptable)."""
+    schema = "title string, description string, acceptable array<string>"
+    return spark.read.schema(schema).json(path, multiLine=True).where("title is not null")
+
+
+def flat_records(rows: DataFrame, **provenance: str) -> DataFrame:
+    """(record) JSON texts of the rows with all their columns and where they came from; NaN counts as null, and nulls are kept."""
+    plain = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*plain, *[F.lit(v).alias(k) for k, v in provenance.items()]), {"ignoreNullFields": "false"}).alias("record"))
+
+
+#: characters that the text of a document must and may have
+PDF_TEXT = (200, 20_000)
+
+
+def document_text(text: Column, limits: tuple[int, int] = PDF_TEXT) -> Column:
+    """Extracted text of a document with white space tidied, cut at the upper limit; null under the lower one."""
+    tidy = F.regexp_replace(F.regexp_replace(text, r"[ \t\x{A0}]+", " "), r" ?\n ?", "\n")
+    tidy = F.btrim(F.regexp_replace(tidy, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    return F.when(F.length(tidy) >= limits[0], F.substring(tidy, 1, limits[1]))

@@ -28,9 +28,13 @@ def admit(times: list[float], recent: list[float], limit: int, window: float) ->
     return out, recent
 
 
-def rate_limited(hits: DataFrame, key: str, ts: str, limit: int = 3, window: int = DAY) -> DataFrame:
-    """(key, ts, admitted): at most `limit` admitted hits of a key in any window. State is `limit` times a key, and goes once the window has passed."""
-    rows = hits.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"))
+def rate_limited(hits: DataFrame, key: str, ts: str, limit: int = 3, window: int = DAY, lateness: str = "1 hour") -> DataFrame:
+    """(key, ts, admitted): at most `limit` admitted hits of a key in any window, by event time.
+
+    State is `limit` times a key, and goes once the watermark has passed the window. Hits of a batch are taken in the
+    order of their times.
+    """
+    rows = hits.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", lateness)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -38,12 +42,36 @@ def rate_limited(hits: DataFrame, key: str, ts: str, limit: int = 3, window: int
             return
         recent = list(state.get[0]) if state.exists else []
         found = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        found["admitted"], recent = admit((found["ts"].astype("int64") / 1e9 if str(found["ts"].dtype).startswith("datetime64[ns") else found["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist(), recent, limit, window)
+        seconds = found["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        found["admitted"], recent = admit(seconds.tolist(), recent, limit, window)
         state.update((recent,))
-        state.setTimeoutDuration(window * 1000)
+        ends = int((max([*recent, seconds.max()]) + window) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield found[["key", "ts", "admitted"]]
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def batch_admitted(hits: DataFrame, key: str, ts: str, order: str, limit: int = 3, window: int = DAY) -> DataFrame:
+    """(key, order, admitted) of a finished log by the same rule.
+
+    A fold over each key's times as they stream by in order: only the admitted times that still count are held, so a key
+    of any length needs `limit` numbers.
+    """
+    rows = hits.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("place"))
+
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, recent = None, []
+        for part in parts:
+            out = []
+            for k, t in zip(part["key"], part["t"], strict=True):
+                if k != last:
+                    last, recent = k, []
+                (ok,), recent = admit([t / 1e6], recent, limit, window)
+                out.append(ok)
+            yield pd.DataFrame({"key": part["key"], "place": part["place"], "admitted": out})
+
+    return rows.repartition("key").sortWithinPartitions("key", "t", "place").mapInPandas(step, "key string, place long, admitted boolean")
 
 
 def failure_runs(log: DataFrame, key: str, failed: str, order: str) -> DataFrame:
