@@ -12,7 +12,8 @@ Links are exact: two sets link if 100 * |A & B| >= percent * |A | B|. The join w
 3. Answers from similar sets. In each list (shingle and size class) the least set is the pivot; each set is compared
    with the pivots of its own and the neighbouring size classes. Sets found in one component this way need no further
    comparison with one another: their answer follows from the pivot's. Differences to the pivot are kept: Jaccard
-   distance is a metric, so |d(x, p) - d(y, p)| over the limit rules out a link of x and y.
+   distance is a metric, so |d(x, p) - d(y, p)| over the limit rules out a link of x and y. While the lists that still
+   join several components are crowded and a round finds links, another pivot of each is compared.
 4. Skipping. Lists that still join different components are cut into blocks by size class and position. A pair of
    blocks is skipped as a whole if its positions leave too few shingles to share or it lies in one component; what is
    left of the others is compared, each pair at its first common shingle.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ FLUSH = 1_000_000
 #: bytes of text whose shingles fall into one hash range, all ranges being alike
 RANGE_BYTES = 32 << 20
 MAX_EARLIER = 256
+#: pairs for each entry of the open lists, from which on further pivots are compared before pairs are
+CROWDED = 20
 POSITIONS = 8
 
 
@@ -220,12 +224,23 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     components = connected_components(answers.where("linked").select("a", "b"), f"{work}/stars")
     components = saved(components, f"{work}/components")
 
-    # lists that still join several components
-    own = entries.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_lists = saved(own.join(mixed, "token").withColumn("part", F.floor(F.col("place") * POSITIONS / F.greatest(F.col("n") * (100 - percent) / 100, F.lit(1.0))).cast("int")), f"{work}/open")
+    # lists that still join several components; crowded ones get further pivots first, so that few pairs are left
+    part = F.floor(F.col("place") * POSITIONS / F.greatest(F.col("n") * (100 - percent) / 100, F.lit(1.0))).cast("int")
+    for i in count():
+        own = entries.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        open_lists = saved(own.join(mixed, "token").withColumn("part", part), f"{work}/open{i}")
+        crowd = open_lists.groupBy("token", "size").agg(F.count("*").alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+        if not crowd["rows"] or crowd["pairs"] <= CROWDED * crowd["rows"]:
+            break
+        found = saved(_compared(_to_pivots(open_lists, answers, i), classes, percent), f"{work}/answers{i}")
+        links = found.where("linked").select("a", "b")
+        if links.isEmpty():
+            break
+        answers = answers.unionAll(found)
+        components = saved(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), f"{work}/stars{i}"), f"{work}/components{i}")
     final = components
-    if not open_lists.isEmpty():
+    if crowd["rows"]:
         more = saved(_links_across(open_lists, answers, classes, percent), f"{work}/more")
         if not more.isEmpty():
             final = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), f"{work}/final")
@@ -235,6 +250,16 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _to_pivots(open_lists: DataFrame, answers: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of a list's sets with one pivot of the list, another in each round, where their components differ."""
+    pivot = F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64(F.lit(round_), "rep"), "rep")).alias("p")
+    pivots = open_lists.groupBy("token", "size").agg(pivot)
+    near = pivots.select("token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "p")
+    pairs = open_lists.join(near, ["token", "size"]).where(F.col("component") != F.col("p.component"))
+    pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    return pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _links_across(open_lists: DataFrame, answers: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The links between sets of different components: blocks of the lists that cannot be skipped, then their pairs."""
     blocks = open_lists.groupBy("token", "size", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.col("n")).alias("n_low"), F.max(F.col("n") - F.col("place")).alias("left"))
@@ -286,5 +311,6 @@ def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keys = found.select(F.col("doc_id").alias("__own"), "component_id").distinct()
     gone = keys.join(first, "component_id").where(F.col("__own") != F.col("first.own")).select("__own")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    kept = docs.where(worded).withColumn("__own", own).join(gone, "__own", "left_anti").dropDuplicates(["__own"])
+    # equal rows become one in each task before rows are dealt by their key
+    kept = docs.where(worded).withColumn("__own", own).dropDuplicates(["__own"]).join(gone, "__own", "left_anti")
     return kept.select(*docs.columns).unionAll(docs.where(~worded))

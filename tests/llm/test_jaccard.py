@@ -68,6 +68,22 @@ def test_like_all_pairs(spark, seed, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def test_crowded_lists(spark, monkeypatch):
+    """Many near copies of one text at several distances: further pivots are compared, and the links are those of all pairs."""
+    monkeypatch.setattr("listwright.llm.jaccard_join.CROWDED", 2)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        text = list(words)
+        for _ in range(rng.randrange(0, 5)):
+            text[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(docs, work_dir(spark, "j"), 3, 80).collect()}
+    assert got == brute(rows, 3, 80)
+
+
 def test_odd_documents(spark, odd_docs):
     got = similar_components(odd_docs, work_dir(spark, "j")).collect()
     by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
@@ -82,6 +98,12 @@ def test_stage_keeps_one_of_each(spark, odd_docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 4, 7, 8, None, None]
 
 
+def test_stage_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "other words under the same id", "x"), (1, "a b c d e f g h", "x"), (None, "a b c d e f g h", "y"), (None, "", "z"), (None, "", "z"), (2, "A b c d e f g h", "x")]
+    kept = stage_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "a b c d e f g h"), ("1", "other words under the same id"), ("None", ""), ("None", "")]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 200) if i % 20 != 19] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5000, 5001 + i) for i in range(100)]
