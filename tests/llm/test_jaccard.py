@@ -68,9 +68,8 @@ def test_like_all_pairs(spark, seed, k, percent):
     assert got == brute(rows, k, percent)
 
 
-def test_crowded_lists(spark, monkeypatch):
-    """Many near copies of one text at several distances: further pivots are compared, and the links are those of all pairs."""
-    monkeypatch.setattr("listwright.llm.jaccard_join.CROWDED", 2)
+def test_crowded_lists(spark):
+    """Many near copies of one text at several distances: the links are those of all pairs."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
     rows = []
