@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, titles, url
 from ..operators import discovery, dom
-from ..sources import boards
 from ..sources.tables import document_text, flat_records, table
 from .queries import AS_OF, query
 
@@ -157,71 +156,6 @@ def client_addresses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", (url.ip_number(peer) % 256).alias("last"), client.alias("client"), url.in_networks(peer, ["10.0.0.0/25"]).alias("near"))
 
 
-# ---- boards ----
-
-PAYLOADS = {
-    "greenhouse": ("""'{"jobs":[{"id":' || k || ',"title":" ' || t || ' ","absolute_url":"https://g/' || k || '","location":{"name":"Berlin"},"content":"&lt;p&gt;Hi&lt;/p&gt;"},{"id":1}]}'""", "Berlin", "Hi", None),
-    "lever": ("""'[{"id":"' || k || '","text":"' || t || '","hostedUrl":"https://l/' || k || '","categories":{"location":"Rome","commitment":"Full time"},"description":"<p>One</p>","additional":"Two"}]'""", "Rome", "One\n\nTwo", "full-time"),
-    "apple": ("""'{"searchResults":[{"postingTitle":"' || t || '","transformedPostingTitle":"/x/' || k || '","positionId":"' || k || '","locations":[{"name":"Paris"},{"name":"Lyon"}],"jobSummary":"S"}]}'""", "Paris; Lyon", "S", None),
-    "bamboohr": ("""'{"result":[{"jobOpeningName":"' || t || '","jobOpeningShareUrl":"https://b/' || k || '","id":"' || k || '","location":{"city":"Oslo","state":null},"employmentStatusLabel":"Part-Time","description":"D"}]}'""", "Oslo", "D", "part-time"),
-    "ashby": ("""'{"jobs":[{"title":"' || t || '","jobUrl":"https://a/' || k || '","id":"' || k || '","location":"Graz","descriptionHtml":"<p>A</p>","employmentType":"FullTime"}]}'""", "Graz", "A", "full-time"),
-    "recruitee": ("""'{"offers":[{"title":"' || t || '","careers_url":"https://r/' || k || '","id":' || k || ',"location":"Bonn","description":"R","requirements":"Q","employment_type_code":"intern"}]}'""", "Bonn", "R\nQ", "internship"),
-    "smartrecruiters": ("""'{"content":[{"name":"' || t || '","ref":"https://s/' || k || '","id":"' || k || '","location":{"fullLocation":"Kiel"},"jobAd":{"sections":{"jobDescription":{"text":"J"}}},"typeOfEmployment":{"id":"contract"}}]}'""", "Kiel", "J", "contract"),
-    "paylocity": ("""'{"Jobs":[{"JobTitle":"' || t || '","JobUrl":"https://p/' || k || '","JobId":"' || k || '","LocationName":"Bern","Description":"P"},{"JobTitle":"x","JobUrl":"y","IsInternal":true}]}'""", "Bern", "P", None),
-    "ultipro": ("""'{"opportunities":[{"Title":"' || t || '","Url":"https://u/' || k || '","Id":"' || k || '","Locations":[{"LocalizedDescription":"Wien"}],"BriefDescription":"U"}]}'""", "Wien", "U", None),
-    "workday": ("""'{"jobPostings":[{"title":"' || t || '","externalPath":"/w/' || k || '","bulletFields":["' || k || '"],"locationsText":"Linz","timeType":"Full time"}]}'""", "Linz", None, "full-time"),
-    "pinpoint": ("""'{"data":[{"title":"' || t || '","url":"https://pp/' || k || '","id":"' || k || '","location":{"name":"Ulm"},"description":"X","benefits":"Y","employment_type":"temporary"}]}'""", "Ulm", "X\nY", "temporary"),
-    "amazon": ("""'{"jobs":[{"title":"' || t || '","job_path":"/a/' || k || '","id_icims":"' || k || '","normalized_location":"Nice","description":"M","basic_qualifications":"N","job_schedule_type":"full-time"}]}'""", "Nice", "M\nN", "full-time"),
-    "adp": ("""'{"jobRequisitions":[{"requisitionTitle":"' || t || '","url":"https://d/' || k || '","itemID":"' || k || '","requisitionLocations":[{"nameCode":{"shortName":"Metz"}}],"requisitionDescription":"E"}]}'""", "Metz", "E", None),
-    "awsm": ("""'[{"title":{"rendered":"' || t || '"},"link":"https://w/' || k || '","id":' || k || ',"content":{"rendered":"<p>F</p>"}}]'""", None, "F", None),
-    "eightfold": ("""'{"data":{"positions":[{"name":"' || t || '","canonicalPositionUrl":"https://e/' || k || '","id":' || k || ',"locations":["Turin","Turin"],"jobDescription":"G"}]}}'""", "Turin", "G", None),
-    "gibson": ("""'{"data":{"jobRequisitions":[{"jobTitle":"' || t || '","url":"https://gi/' || k || '","jobRequisitionId":"' || k || '","jobDescription":"H","city":"Genf","state":"GE","employeeType":"part time"}]}}'""", "Genf, GE", "H", "part-time"),
-    "jibe": ("""'{"jobs":[{"data":{"title":"' || t || '","apply_url":"https://j/' || k || '","req_id":"' || k || '","full_location":"Trier","description":"I","employment_type":"FULL_TIME"}}]}'""", "Trier", "I", "full-time"),
-    "jobsyn": ("""'{"jobs":[{"title_exact":"' || t || '","url":"https://js/' || k || '","reqid":"' || k || '","location_exact":"Essen","description":"K"}]}'""", "Essen", "K", None),
-    "sigma": ("""'[{"title":"' || t || '","url":"https://si/' || k || '","id":"' || k || '","location":"Mainz","description":"L","type":"Contractor"}]'""", "Mainz", "L", "contract"),
-    "taleo": ("""'{"requisitionList":[{"jobId":"' || k || '","url":"https://t/' || k || '","column":["' || t || '","Worms","Mar 4, 2021"]}]}'""", "Worms", None, None),
-}
-
-
-def _quoted(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("\n", "' || chr(10) || '") + "'"
-
-
-BOARDS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS board, p_partkey, trim(p_name) AS title, CAST(p_partkey AS VARCHAR) AS external_id, {_quoted(place)} AS location, {_quoted(said)} AS description, {_quoted(kind)} AS job_type FROM part" for name, (_, place, said, kind) in PAYLOADS.items())
-
-
-@query(BOARDS_SQL)
-def board_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Posting rows of each board's payloads; postings without a title or URL, and internal ones, are dropped."""
-    parts, out = table(spark, d, "part").selectExpr("p_partkey", "CAST(p_partkey AS STRING) AS k", "p_name AS t"), None
-    for name, (payload, *_) in PAYLOADS.items():
-        rows = boards.postings(parts.select("p_partkey", F.expr(payload).alias("payload")), name, ["p_partkey"], base="https://x.example.com")
-        rows = rows.select(F.lit(name).alias("board"), "p_partkey", "title", "external_id", "location", "description", "job_type")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query("""SELECT p_partkey, 'icims' AS board, p_name AS title, 'https://b.example.com/jobs/' || p_partkey || '/x' AS url, CAST(p_partkey AS VARCHAR) AS external_id, 'Ulm' AS location FROM part
-UNION ALL SELECT p_partkey, 'successfactors', p_name, 'https://b.example.com/job/x/' || p_partkey || '/', CAST(p_partkey AS VARCHAR), 'Ulm' FROM part UNION ALL SELECT p_partkey, 'haileyhr', p_name, 'https://b.example.com/jobs/' || p_partkey, CAST(p_partkey AS VARCHAR), 'Ulm' FROM part
-UNION ALL SELECT p_partkey, 'workable', p_name, 'https://w/' || p_partkey, NULL, 'Ulm' FROM part""")
-def board_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Posting rows of boards whose listings are pages or Markdown."""
-    rows, k = table(spark, d, "part"), c("p_partkey")
-    page = {
-        "icims": F.concat(F.lit('<div class="row"><a class="iCIMS_Anchor" href="/jobs/'), k, F.lit('/x"><h2>'), "p_name", F.lit("</h2></a><span>Location</span> <span>Ulm</span></div>")),
-        "successfactors": F.concat(F.lit('<table><tr class="data-row"><td><a href="/job/x/'), k, F.lit('/">'), "p_name", F.lit('</a></td><td><span class="jobLocation">Ulm</span></td></tr></table>')),
-        "haileyhr": F.concat(F.lit('<ul><li><a class="c" href="/jobs/'), k, F.lit('"><h3>'), "p_name", F.lit('</h3><span class="location">Ulm</span></a></li></ul>')),
-    }
-    out = None
-    for name, html in page.items():
-        found = boards.page_postings(rows.select("p_partkey", html.alias("html"), F.lit("https://b.example.com").alias("base")), name, ["p_partkey"])
-        found = found.select("p_partkey", F.lit(name).alias("board"), "title", "url", "external_id", "location")
-        out = found if out is None else out.unionByName(found)
-    table_ = F.concat(F.lit("# Jobs\n| Title | Place |\n|---|---|\n| ["), "p_name", F.lit("](https://w/"), k, F.lit(") | Ulm | Full time | |"))
-    listed = boards.markdown_postings(rows.select("p_partkey", table_.alias("markdown")), ["p_partkey"])
-    return out.unionByName(listed.select("p_partkey", F.lit("workable").alias("board"), "title", "url", F.lit(None).cast("string").alias("external_id"), "location"))
-
-
 # ---- pages ----
 
 

@@ -3,11 +3,12 @@ from __future__ import annotations
 import json
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from listwright.functions import arrays, country, text, titles
+from listwright.functions import arrays, country, salary, text, titles
 from listwright.operators import discovery, dom, history, normalize, resolve, scoring, seed
-from listwright.sources import tables
+from listwright.sources import boards, tables
 from listwright.streaming import log
 
 
@@ -126,3 +127,35 @@ def test_featuring_is_kept(spark):
     day = F.lit(date(2024, 1, 10))
     row = one(spark, live=featured_since(F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 10)), day), over=featured_since(F.lit(date(2023, 1, 1)), F.lit(date(2023, 2, 1)), day), new=featured_since(F.lit(None).cast("date"), F.lit(None).cast("date"), day))
     assert (row["live"], row["over"], row["new"]) == (date(2024, 1, 1), date(2024, 1, 10), date(2024, 1, 10))
+
+
+def test_boards_of_odd_payloads(spark):
+    """Nulls, text that is no JSON, other shapes and empty lists give no row; a missing tenant column is told."""
+    odd = [None, "", "not json", "[]", "{}", "null", '{"jobs":null}', '{"jobs":{}}', '{"jobs":["x",1,null]}', '{"jobs":[{"title":" ","absolute_url":"u"}]}', '[{"text":null}]', '{"content":[[]]}']
+    frame = spark.createDataFrame([(i, x, "a", "b") for i, x in enumerate(odd)], "k int, payload string, slug string, host string")
+    tenants = {x for b in boards.BOARDS.values() for x in b.tenant}
+    frame = frame.withColumns({x: F.lit("2024-01-01").cast("date" if x == "as_of" else "string") for x in tenants})
+    for name in ("greenhouse", "lever", "smartrecruiters", "taleo", "sigma", "jobsyn", "apple", "awsm"):
+        assert boards.postings(frame, name, ["k"]).count() == 0, name
+    with pytest.raises(ValueError, match="slug"):
+        boards.postings(frame.drop("slug"), "bamboohr", ["k"])
+    assert boards.postings(frame.limit(0), "lever", ["k"]).count() == 0
+
+
+def test_remote_offers():
+    said = {"This is a fully remote role.": True, "not a remote position": False, "on site or remote": False, "hybrid or remote": True, "Remote - United States": True, "The role can be fully remote": True, "U.S.-remote": True, "no. Then remote job": True, "remote support": False, "remote job. This is not": False, "telecommuting ok": True, "remote in the US": True, "": False}
+    assert {k: text.says_remote(k) for k in said} == said
+
+
+def test_gender_marks():
+    wanted = {"Sound Engineer (m/w/d)": "Sound Engineer ", "Ingénieur H/F": "Ingénieur ", "Entwickler:in": "Entwickler", "Entwickler*innen Audio": "Entwickler Audio", "C++ Entwickler_in": "C++ Entwickler", "Engineer (Audio/DSP)": "Engineer (Audio/DSP)", "A/V Tech": "A/V Tech", "Dev (f / m / x) 2": "Dev  2"}
+    assert {k: text.unmarked(k) for k in wanted} == wanted
+
+
+def test_salaries():
+    wanted = {
+        "$50,000 - $60,000": (50000, 60000, "USD"), "50k-60k EUR": (50000, 60000, "EUR"), "£30/hour": (62400, None, "GBP"), "100 to 200": (None, None, None), "$25 – $35 an hour": (52000, 72800, "USD"),
+        "pay: USD 80,000–90,000": (80000, 90000, "USD"), "80000 and 90000 CHF": (80000, 90000, "CHF"), "$120k+ USD": (120000, None, "USD"), "from $5": (None, None, None), "$60 to 70k": (60000, 70000, "USD"), "20,000 and 30,000": (20000, 30000, None), "": (None, None, None),
+        "room 12, $90,000, then $1 to $2": (90000, None, "USD"),
+    }
+    assert {k: salary.salary(k) for k in wanted} == wanted
