@@ -12,6 +12,7 @@ from ..functions.arrays import with_domain
 from ..functions.country import detect_country
 from ..functions.salary import with_salary
 from .lifecycle import effective
+from .keywords import Taxonomy, classify
 from .scoring import Lexicon, with_categories, with_relevance, with_role_text
 
 #: characters of a description that may name the type of a job
@@ -27,16 +28,18 @@ def fenced(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: batches, rows.schema)
 
 
-def normalize(raw: DataFrame, lexicon: Lexicon, valid: Sequence[str], places: DataFrame | None = None, domains: dict[str, str] | None = None) -> DataFrame:
+def normalize(raw: DataFrame, lexicon: Lexicon, valid: Sequence[str], places: DataFrame | None = None, domains: dict[str, str] | None = None, taxonomy: Taxonomy | None = None) -> DataFrame:
     """Raw postings (title, url, description, location, job_type, posted_date, remote_hint, audio_scope, company_category, company_name) with all that is derived.
 
     Pay is read from the title and description as they came; categories are those of the cleaned title, kept if valid, and
-    scored before the company's own domain joins them. places: the lexicon of countries.
+    scored before the company's own domain joins them. places: the lexicon of countries. taxonomy: keywords and rules of the
+    categories; without one the lexicon's keywords are scored, without rules.
     """
     c = F.col
     rows = with_salary(fenced(raw).withColumn("__said", F.concat_ws(" ", "title", "description")), "__said").drop("__said")
     rows = rows.withColumns({"title": T.strip_gender_markers(F.trim("title")), "url": F.trim("url")})
-    rows = fenced(with_categories(fenced(with_role_text(fenced(rows), "description")), lexicon, name="job_categories"))
+    rows = fenced(with_role_text(fenced(rows), "description"))
+    rows = fenced(classify(rows, taxonomy, name="job_categories") if taxonomy else with_categories(rows, lexicon, name="job_categories"))
     valid_ = F.array(*[F.lit(x) for x in valid]).cast("array<string>")
     rows = rows.withColumn("job_categories", F.array_intersect("job_categories", valid_))
     rows = fenced(with_relevance(rows, lexicon, categories="job_categories"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text, titles, url
-from ..operators import discovery, dom
+from ..operators import discovery, extract, pages
 from ..sources.tables import document_text, flat_records, table
 from .queries import AS_OF, query
 
@@ -227,13 +227,16 @@ def open_application_scan(spark: SparkSession, d: str) -> DataFrame:
     return discovery.open_applications(table(spark, d, "part").select(c("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "marker", "context", "no_openings")
 
 
-@query("SELECT p_partkey, 'Title ' || p_name AS body, p_name AS panel, 'Ulm' AS place, 'Berlin; Rome' AS listed FROM part")
+@query("""SELECT p_partkey, 'Title ' || p_name || ' ' || p_type AS body, p_name AS panel, trim(repeat(p_type || ' ', 80)) AS said, 'https://x.example.com/' || p_partkey AS link, p_brand AS place, concat_ws('; ', p_brand, CASE WHEN p_type <> p_brand THEN p_type END) AS listed FROM part""")
 def page_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Main texts, panels of postings, and places beside links."""
-    long = "x" * 300 + " " + "y" * 200
-    html = F.concat(F.lit("<nav>no</nav><main><h1>Title</h1> "), "p_name", F.lit("</main>"))
-    panel = F.concat(F.lit("<details><summary>"), "p_name", F.lit(f"</summary><p>{long}</p></details><details><summary>short</summary>no</details>"))
-    card = F.lit('<div class="card"><a href="/1">A</a><span class="job-location"> Ulm, </span></div><div><a href="/2">B</a></div>')
-    rows = table(spark, d, "part").select("p_partkey", html.alias("a"), panel.alias("b"), card.alias("card"))
-    found = rows.select("p_partkey", dom.main_text(c("a")).alias("body"), dom.panels(c("b")).alias("p"), dom.link_places(c("card")).alias("l"))
-    return found.select("p_partkey", "body", c("p")[0]["title"].alias("panel"), c("l")[0]["place"].alias("place"), money.listed_places(F.array(F.lit("Berlin"), F.lit(" Rome"), F.lit("Berlin"))).alias("listed"))
+    """Main texts, fold-outs, and places beside links, of a page for each part."""
+    html = F.concat(
+        F.lit("<nav>no</nav><main><h1>Title</h1> "), "p_name", F.lit(" <p>"), "p_type", F.lit("</main><details><summary>"), "p_name", F.lit("</summary><p>"), F.repeat(F.concat("p_type", F.lit(" ")), F.lit(80)),
+        F.lit('</p></details><details><summary>short</summary>no</details><div class="card"><a href="/'), "p_partkey", F.lit('">A</a><span class="job-location"> '), "p_brand", F.lit(', </span></div><div><a href="/b">B</a></div>'),
+    )
+    rows = extract.page_rows(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", html.alias("html")), ["p_partkey", "p_brand", "p_type"])
+    one = rows.groupBy("p_partkey", "p_brand", "p_type").agg(
+        F.max(F.when(c("kind") == "main", c("text"))).alias("body"), F.max(F.when(c("kind") == "panel", c("heading"))).alias("panel"), F.max(F.when(c("kind") == "panel", c("text"))).alias("said"),
+        F.max(F.when(c("kind") == "link", F.when(c("location").isNotNull(), F.struct("href", "location")))).alias("l"),
+    )
+    return one.select("p_partkey", "body", "panel", "said", pages.resolve(c("l.href"), F.lit("https://x.example.com/list")).alias("link"), c("l.location").alias("place"), money.listed_places(F.array("p_brand", F.concat(F.lit(" "), "p_type"), "p_brand")).alias("listed"))

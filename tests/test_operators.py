@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.functions import arrays, country, salary, text, titles
-from listwright.operators import discovery, dom, history, normalize, resolve, scoring, seed
+from listwright.operators import discovery, history, normalize, resolve, scoring, seed
 from listwright.sources import boards, tables
 from listwright.streaming import log
 
@@ -105,14 +105,6 @@ def test_rate_limit_stream_ends_and_agrees(spark, tmp_path):
     assert batch == {i: wanted[h] for i, h in enumerate(hits)}
 
 
-def test_trees(spark):
-    assert dom.main_of(dom.parse("<body><div>ab</div><div>abc <script>x</script></div>")) == "abc"
-    assert dom.main_of(dom.parse("<article>yes</article><main></main>")) == "yes" and dom.main_of(dom.parse("")) == ""
-    long = "word " * 100
-    tabs = f'<a role="tab" aria-controls="p">Mixer</a><div id="p">{long}</div><div class="accordion-item"><h3>Links</h3><a href="/">{long}</a></div>'
-    assert [p["title"] for p in dom.panels_of(dom.parse(tabs))] == ["Mixer"]
-    assert titles.tidy_title(None) == ("", None) and titles.tidy_title("Sound Engineer - Part time") == ("Sound Engineer", "Part time")
-
 
 def test_empty_pages(spark):
     pages = spark.createDataFrame([(1, "https://x.example.com", None), (2, None, "")], "page_id long, url string, html string")
