@@ -15,7 +15,9 @@ Links are exact: two sets link if 100 * |A & B| >= percent * |A | B|. The join w
    distance is a metric, so |d(x, p) - d(y, p)| over the limit rules out a link of x and y.
 4. Skipping. Lists that still join different components are cut into blocks by size class and position. A pair of
    blocks is skipped as a whole if its positions leave too few shingles to share or it lies in one component; what is
-   left of the others is compared, each pair at its first common shingle.
+   left of the others is compared, each pair at its first common shingle. A pair comes out of the join only if its
+   sets' parity bits allow a link: each shingle flips one of PARITY_BITS bits, so sets differ in as many shingles as
+   their bits do at least.
 5. Components of all links, by alternating stars.
 
 Defined cases: texts without words and null texts have the empty set and link with nothing. A text of fewer words than
@@ -45,6 +47,8 @@ FLUSH = 1_000_000
 RANGE_BYTES = 32 << 20
 MAX_EARLIER = 256
 POSITIONS = 8
+#: bits of a set's parity vector, 64 to a long
+PARITY_BITS = 512
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -147,7 +151,13 @@ def needed(n, percent: int):
     return -(-percent * n // (100 + percent))
 
 
-SETS = "doc_id long, n long, set_1 long, set_2 long, tokens array<long>, places array<int>, shingles array<long>"
+SETS = "doc_id long, n long, set_1 long, set_2 long, tokens array<long>, places array<int>, shingles array<long>, parity array<long>"
+
+
+def parity(one: np.ndarray) -> np.ndarray:
+    """Which of PARITY_BITS bits an odd number of the set's shingles fall on."""
+    odd = np.bincount((one % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def index_sets(docs: DataFrame, words: int, percent: int, shared: Broadcast) -> DataFrame:
@@ -165,15 +175,15 @@ def index_sets(docs: DataFrame, words: int, percent: int, shared: Broadcast) ->
                 # partners have percent % of the size at least, so this many shingles may be missing
                 prefix = n - -(-percent * n // 100) + 1 if n else 0
                 single = int((level == 0).sum())
-                entry: tuple = ([], [], None)
+                entry: tuple = ([], [], None, None)
                 if single < prefix:
                     several = np.flatnonzero(level > 0)
                     several = several[np.lexsort((one[several], level[several]))][: prefix - single]
-                    entry = (one[several].view(np.int64), np.arange(single, single + len(several), dtype=np.int32), one.view(np.int64))
+                    entry = (one[several].view(np.int64), np.arange(single, single + len(several), dtype=np.int32), one.view(np.int64), parity(one))
                 rows.append((doc, n, low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high, *entry))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "set_1", "set_2", "tokens", "places", "shingles"])
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "set_1", "set_2", "tokens", "places", "shingles", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(task, SETS)
 
@@ -193,6 +203,13 @@ def _may_link(n_a: Column, n_b: Column, left_a: Column, left_b: Column, percent:
     return F.least(left_a, left_b) >= least
 
 
+def _near_parity(percent: int) -> Column:
+    """Whether the parities leave room for a link: |A ^ B| = n_1 + n - 2 |A & B| is no less than the bits that differ."""
+    differ = sum((F.bit_count(F.col("parity_1")[i].bitwiseXOR(F.col("parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    least = F.ceil(percent * (F.col("n_1") + F.col("n")) / (100 + percent) - F.lit(1e-9))
+    return differ <= F.col("n_1") + F.col("n") - 2 * least
+
+
 def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -202,7 +219,7 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     # a table, so that the joins below deal by all their keys and copies of one text do not meet in one task
     reps = saved(named.groupBy("set_1", "set_2", "n").agg(F.min("doc_id").alias("rep")), f"{work}/reps")
     first = reps.select("set_1", "set_2", "n", F.col("rep").alias("doc_id"), "rep")
-    classes = saved(named.where("shingles is not null").join(first, ["set_1", "set_2", "n", "doc_id"]).select("rep", "n", "tokens", "places", "shingles"), f"{work}/classes")
+    classes = saved(named.where("shingles is not null").join(first, ["set_1", "set_2", "n", "doc_id"]).select("rep", "n", "tokens", "places", "shingles", "parity"), f"{work}/classes")
 
     # a little wider than the ratio of linked sizes, so that rounding never puts a class between them
     size_class = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
@@ -223,7 +240,7 @@ def similar_components(docs: DataFrame, work: str, words: int = WORDS, percent:
     # lists that still join several components
     own = entries.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_lists = saved(own.join(mixed, "token").withColumn("part", F.floor(F.col("place") * POSITIONS / F.greatest(F.col("n") * (100 - percent) / 100, F.lit(1.0))).cast("int")), f"{work}/open")
+    open_lists = saved(own.join(mixed, "token").join(classes.select("rep", "parity"), "rep").withColumn("part", F.floor(F.col("place") * POSITIONS / F.greatest(F.col("n") * (100 - percent) / 100, F.lit(1.0))).cast("int")), f"{work}/open")
     final = components
     if not open_lists.isEmpty():
         more = saved(_links_across(open_lists, answers, classes, percent), f"{work}/more")
@@ -245,11 +262,11 @@ def _links_across(open_lists: DataFrame, answers: DataFrame, classes: DataFrame,
         ordered & (F.col("y.size") - F.col("x.size") <= 1) & several & _may_link(F.col("x.n_low"), F.col("y.n_low"), F.col("x.left"), F.col("y.left"), percent)
     )
     kept = kept.select(F.col("x.token").alias("token"), F.col("x.size").alias("size"), F.col("x.part").alias("part"), F.col("y.size").alias("size_2"), F.col("y.part").alias("part_2"))
-    left = kept.join(open_lists, ["token", "size", "part"]).select("token", F.col("size_2").alias("size"), F.col("part_2").alias("part"), F.col("rep").alias("rep_1"), F.col("n").alias("n_1"), F.col("place").alias("place_1"), F.col("component").alias("component_1"), F.col("earlier").alias("earlier_1"))
+    left = kept.join(open_lists, ["token", "size", "part"]).select("token", F.col("size_2").alias("size"), F.col("part_2").alias("part"), F.col("rep").alias("rep_1"), F.col("n").alias("n_1"), F.col("place").alias("place_1"), F.col("component").alias("component_1"), F.col("earlier").alias("earlier_1"), F.col("parity").alias("parity_1"))
     # only at the first shingle of both: the bound on what is left to share holds there, and the pair is met once
     met = F.coalesce(F.arrays_overlap("earlier_1", "earlier"), F.lit(False))
     pairs = left.join(open_lists, ["token", "size", "part"]).where(
-        (F.col("component_1") != F.col("component")) & ~met & _may_link(F.col("n_1"), F.col("n"), F.col("n_1") - F.col("place_1"), F.col("n") - F.col("place"), percent)
+        (F.col("component_1") != F.col("component")) & _near_parity(percent) & ~met & _may_link(F.col("n_1"), F.col("n"), F.col("n_1") - F.col("place_1"), F.col("n") - F.col("place"), percent)
     )
     pairs = pairs.select(F.least("rep_1", "rep").alias("a"), F.greatest("rep_1", "rep").alias("b")).distinct()
     pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
@@ -275,17 +292,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, 80 %): the one with the least id, an id being less than none.
 
-    Documents are told apart by id and text, so rows that share an id but no text are documents of their own, and equal
-    rows are one. Rows without words are near nothing and all stay.
+    Rows are told apart by their place in a written copy of the table, so no two can be taken for one; rows that share
+    an id but no text are documents of their own, and of equal rows one stays. Rows without words are near nothing and
+    all stay. Columns of the table may have any name.
     """
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
-    rows = docs.select(own.alias("own"), "doc_id", F.col("text").cast("string").alias("text"))
-    found = similar_components(rows, work_dir(spark, "jaccard-stage"), words=5, percent=80, key="own").where("n_shingles > 0")
-    ids = rows.select("own", "doc_id").distinct()
-    first = found.join(ids, found["doc_id"] == ids["own"]).groupBy("component_id").agg(F.min(F.struct(ids["doc_id"].isNull(), ids["doc_id"], "own")).alias("first"))
-    keys = found.select(F.col("doc_id").alias("__own"), "component_id").distinct()
-    gone = keys.join(first, "component_id").where(F.col("__own") != F.col("first.own")).select("__own")
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    # equal rows become one in each task before rows are dealt by their key
-    kept = docs.where(worded).withColumn("__own", own).dropDuplicates(["__own"]).join(gone, "__own", "left_anti")
-    return kept.select(*docs.columns).unionAll(docs.where(~worded))
+    work = work_dir(spark, "jaccard-stage")
+    rows = saved(docs.select(F.struct("*").alias("row")).withColumn("own", F.monotonically_increasing_id()), f"{work}/rows")
+    texts = rows.select("own", F.col("row.text").cast("string").alias("text"))
+    found = similar_components(texts, f"{work}/join", words=5, percent=80, key="own").where("n_shingles > 0")
+    found = saved(found.select(F.col("doc_id").alias("own"), "component_id"), f"{work}/found")
+    ids = rows.select("own", F.col("row.doc_id").alias("doc_id"))
+    first = found.join(ids, "own").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("first"))
+    gone = found.join(saved(first, f"{work}/first"), "component_id").where(F.col("own") != F.col("first.own")).select("own")
+    return rows.join(gone, "own", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
