@@ -23,6 +23,7 @@ _CUT = re.compile(r"(?<=[^\s])[ \n]")
 _CODES = 0x110000
 #: fixed values: the code points of white space
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_WHITE = frozenset(WHITE)
 
 
 @lru_cache(1)
@@ -38,9 +39,36 @@ def _assigned() -> np.ndarray:
     return np.array([unicodedata.category(chr(i)) != "Cn" for i in range(_CODES)])
 
 
-def well_known(text: str) -> bool:
-    """Whether all characters have a meaning in this Python's version of Unicode, which may be older than the library's."""
-    return text.isascii() or bool(_assigned()[code_points(text)].all())
+def well_known(text: str, known: np.ndarray | None = None) -> bool:
+    """Whether all characters have a meaning in this Python's version of Unicode, which may be older than the library's.
+
+    known: by code point, what counts as known, as of `same_normal`.
+    """
+    return text.isascii() or bool((_assigned() if known is None else known)[code_points(text)].all())
+
+
+def same_normal(library: Callable[[str], str], own: Callable[[str], str]) -> np.ndarray:
+    """Which assigned code points two normalizers treat alike, whichever Unicode version each has.
+
+    Looked at are each one by itself, its full decomposition, and, for those with a combining class, their order with one
+    mark of every class in front and behind: marks move past each other by their classes.
+    """
+    same = _assigned().copy()
+    same[0xD800:0xE000] = False
+    marks = [i for i in np.flatnonzero(same).tolist() if unicodedata.combining(chr(i))]
+    # marks that have had their class since long are known to either
+    one_of = {unicodedata.combining(chr(i)): chr(i) for i in reversed(marks) if unicodedata.ucd_3_2_0.combining(chr(i)) == unicodedata.combining(chr(i))}
+    apart = ","  # a mark that neither moves nor joins; white space makes no pieces, whatever becomes of it
+    cases = [(i, chr(i)) for i in np.flatnonzero(same).tolist() if chr(i) != apart and i not in _WHITE]
+    cases += [(i, unicodedata.normalize("NFD", c)) for i, c in cases if unicodedata.decomposition(c)]
+    cases += [(i, x) for i in marks for other in one_of.values() for x in (other + chr(i), chr(i) + other)]
+    for a in range(0, len(cases), 100_000):
+        some = cases[a : a + 100_000]
+        text = apart.join([x for _, x in some])
+        for (i, _), x, y in zip(some, library(text).split(apart), own(text).split(apart), strict=True):
+            if x != y:
+                same[i] = False
+    return same
 
 
 @lru_cache(1)

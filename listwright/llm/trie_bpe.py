@@ -23,6 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_chunks, string_bytes, table
-from .spans import SpanCache, encode_texts, well_known
+from .spans import SpanCache, encode_texts, same_normal, well_known
 
 END = "</w>"
 #: words and pairs of tokens that a Python worker keeps; bytes of text at a time
@@ -45,11 +46,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@lru_cache(4)
+def _known_codes(path: str) -> np.ndarray:
+    """Code points that the library's normalizer and Python's tables treat alike; kept by a worker."""
+    from tokenizers import Tokenizer
+
+    return same_normal(Tokenizer.from_file(path).normalizer.normalize_str, TrieBpe._normal)
+
+
 class TrieBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)  # for what Python's Unicode tables don't know
+        self.known_codes = _known_codes(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -226,7 +236,7 @@ class TrieBpe:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """(ids, decoded text in UTF-8) of each text."""
         special = self.special_re.search if self.special_re is not None else lambda _: None
-        odd = {i for i, t in enumerate(texts) if special(t) or not well_known(t)}
+        odd = {i for i, t in enumerate(texts) if special(t) or not well_known(t, self.known_codes)}
         plain = ["" if i in odd else self._normal(t) for i, t in enumerate(texts)]
         ids, decoded = encode_texts(self.cache, plain, blank_in_front=False, single_digits=True)
         return [self._by_parts(texts[i]) if i in odd else (x, y.tobytes()[:-1]) for i, (x, y) in enumerate(zip(ids, decoded, strict=True))]
@@ -237,7 +247,7 @@ class TrieBpe:
         for part in filter(None, self.special_re.split(text) if self.special_re is not None else [text]):
             if part in self.special:
                 found.append((np.array([self.special[part]], "<u4"), part.encode()))
-            elif well_known(part):
+            elif well_known(part, self.known_codes):
                 found += self.encode([part])
             else:
                 words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]

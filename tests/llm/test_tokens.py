@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -81,6 +83,17 @@ def test_every_character(pieces, trie):
         assert got.tolist() == wanted, ascii(text)
 
 
+def test_marks_in_a_row(trie):
+    """Marks are put in order by their classes, of which the library may know fewer or others than Python."""
+    rng = random.Random(2)
+    marks = [chr(i) for i in range(0x110000) if unicodedata.combining(chr(i))]
+    texts = ["".join(rng.choice((rng.choice(marks), rng.choice(marks), rng.choice("ae한üΣς x"))) for _ in range(rng.randrange(2, 9))) for _ in range(8000)]
+    texts += [f"d{a}{b}" for a in ("\u0487", "\u0334", "\u0345") for b in marks]
+    for text, (got, said), wanted in zip(texts, trie.encode(texts), ids_of(word_library, texts), strict=True):
+        assert got.tolist() == wanted, ascii(text)
+        assert said.decode() == word_library.decode(wanted, skip_special_tokens=False), ascii(text)
+
+
 def test_long_texts_are_cut_between_pieces(pieces, trie, monkeypatch):
     monkeypatch.setattr("listwright.llm.spans.BLOCK", 40)
     texts = ["", "no  cut \n" * 30 + "it's  the end", "x" * 200 + " y", " \n" * 60]
