@@ -2,12 +2,12 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows. The model is a modified Kneser-Ney model of
 byte ORDER-grams (letters lower-cased, digits alike, runs of white space one blank), one for each language, counted by
-Spark over all documents. Its probabilities are stored in hash arrays: sorted 64-bit hashes with pointers to equal
-parts of the hash range. A document whose perplexity is outside the band of its language, quartiles plus SPREAD
-interquartile ranges of the language's documents, is rejected.
-
-No gram is left out. Up to MAX_GRAMS (language, gram) rows the model is sent to all tasks; beyond, its probabilities
-are a table made by Spark and the grams of the documents are joined to it, with the same results.
+Spark over all documents. Spark works out its probabilities and the weights that histories leave to shorter grams, and
+writes them as sorted hash arrays: a folder for each range of the 64-bit hashes, of RANGE_GRAMS entries or so. A task
+opens the ranges one after another for the grams of GROUP_BYTES of text at a time, so neither the driver nor a task
+ever holds the model; there is this one path at every size, and the number of ranges changes no bit of the result. A
+document whose perplexity is outside the band of its language, quartiles plus SPREAD interquartile ranges of the
+language's documents, is rejected.
 
 Defined cases: a null text counts as empty: no words, base_failed. A null language is a language of its own. A language
 whose documents are all equal has a band around that value. Repeated rows count as often as they occur and get equal
@@ -16,18 +16,24 @@ results; an empty table gives an empty result; other columns stay out.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, mix, row_chunks, saved, string_bytes, table, work_dir
+from .token_shards import file_system
 
 ORDER = 4
-MAX_GRAMS = 3_000_000
+#: entries of a range of the hash arrays, and bytes of text that are looked up in each range at a time
+RANGE_GRAMS, GROUP_BYTES = 2_000_000, 64 << 20
 SPREAD = 6.0
 MIN_WORDS, MAX_REPEATED = 50, 50
 CHUNK = 1 << 20
@@ -110,30 +116,41 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return rows.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def language_hash(name: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
+
+
+def entry_hash(kind: int, grams: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """What an entry is known by. kind: the order for probabilities, -order for weights of histories."""
+    return mix(mix(grams.astype(np.uint64) | np.uint64((kind + ORDER) << 40)) ^ language)
+
+
 class HashArray:
-    """Values by 64-bit key: hashes in sorted order, found from the pointer of their equal part of the hash range."""
+    """Values by 64-bit hash: hashes in sorted order, found from the pointer of their equal part of the hash range."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        hashes = mix(keys.astype(np.uint64))
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], [v[order].astype(np.float32) for v in values]
-        bits = max(1, int(len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.pointers = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 if absent."""
-        h = mix(keys.astype(np.uint64))
-        part = (h >> self.shift).astype(np.int64)
+        self.hashes, self.values = hashes[order], values[order]
+        # parts are equal pieces of what the hashes span
+        first = int(self.hashes[0]) if len(hashes) else 0
+        span = int(self.hashes[-1]) - first if len(hashes) else 0
+        self.first, self.shift = np.uint64(first), np.uint64(max(0, span.bit_length() - max(1, len(hashes).bit_length())))
+        self.pointers = np.searchsorted((self.hashes - self.first) >> self.shift, np.arange((span >> int(self.shift)) + 2, dtype=np.uint64)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 if absent."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        open_ = np.flatnonzero((hashes >= self.first) & (hashes <= self.hashes[-1]))
+        part = ((hashes[open_] - self.first) >> self.shift).astype(np.int64)
         at, end = self.pointers[part], self.pointers[part + 1]
-        out = np.full(len(h), -1, np.int64)
-        open_ = np.flatnonzero(at < end)
         while len(open_):
-            hit = self.hashes[at[open_]] == h[open_]
-            out[open_[hit]] = at[open_[hit]]
-            open_ = open_[~hit]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
+            inside = at < end
+            open_, at, end = open_[inside], at[inside], end[inside]
+            hit = self.hashes[at] == hashes[open_]
+            out[open_[hit]] = at[hit]
+            open_, at, end = open_[~hit], at[~hit] + 1, end[~hit]
         return out
 
 
@@ -143,96 +160,109 @@ def discounts_of(ones: list[float]) -> list[float]:
     return [0.0] + [min(max(i - (i + 1) * y * ones[i] / ones[i - 1], 0.05), i * 0.95) if ones[i - 1] else 0.5 * i for i in (1, 2, 3)]
 
 
-class KneserNey:
-    """Modified Kneser-Ney log2 probabilities for codes of (language << 32 | gram), one hash array for each order."""
-
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """tables: by order, the keys and their counts (of the highest order) or numbers of left neighbours (of the lower ones)."""
-        self.arrays: dict[int, HashArray] = {}
-        #: log2 of the weight that a history leaves to the lower order
-        self.backoff: dict[int, HashArray] = {}
-        lower_keys, lower_p = None, None
-        for order in sorted(tables):
-            keys, counts = tables[order]
-            history = keys >> np.uint64(8) if order > 1 else keys >> np.uint64(32)
-            if order > 1:
-                history = (keys & np.uint64(0xFFFFFFFF)) >> np.uint64(8) | (keys >> np.uint64(32) << np.uint64(32))
-            discounts = np.array(discounts_of([float((counts == i).sum()) for i in (1, 2, 3, 4)]))
-            taken = discounts[np.minimum(counts, 3).astype(np.int64)]
-            groups, own = np.unique(history, return_inverse=True)
-            total, freed = np.bincount(own, counts.astype(float)), np.bincount(own, taken)
-            gamma = freed / total
-            if order == 1:
-                below = np.full(len(keys), 1 / 256)
-            else:
-                at = np.searchsorted(lower_keys, self._shorter(keys, order))
-                at = np.minimum(at, len(lower_keys) - 1)
-                known = lower_keys[at] == self._shorter(keys, order)
-                below = np.where(known, lower_p[at], 1 / 256 / 256)
-            p = (counts - taken) / total[own] + gamma[own] * below
-            self.arrays[order] = HashArray(keys, np.log2(p))
-            self.backoff[order] = HashArray(groups, np.log2(gamma))
-            sort = np.argsort(keys)
-            lower_keys, lower_p = keys[sort], p[sort]
-
-    @staticmethod
-    def _shorter(keys: np.ndarray, order: int) -> np.ndarray:
-        """The gram without its first byte, in the same language."""
-        mask = np.uint64((1 << (8 * (order - 1))) - 1)
-        return (keys >> np.uint64(32) << np.uint64(32)) | (keys & mask)
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float32)
-        open_ = np.arange(len(keys))
-        for order in sorted(self.arrays, reverse=True):
-            mine = keys[open_]
-            at = self.arrays[order].find(mine)
-            hit = at >= 0
-            out[open_[hit]] += self.arrays[order].values[0][at[hit]]
-            open_, mine = open_[~hit], mine[~hit]
-            language = mine >> np.uint64(32) << np.uint64(32)
-            history = language | (mine & np.uint64(0xFFFFFFFF)) >> np.uint64(8) if order > 1 else mine >> np.uint64(32)
-            known = self.backoff[order].find(history)
-            there = known >= 0
-            out[open_[there]] += self.backoff[order].values[0][known[there]]
-            keys = np.array(keys)
-            keys[open_] = self._shorter(mine, order)
-        out[open_] += -8.0  # a byte never seen: uniform
-        return out
-
-
-def train(counts: DataFrame) -> tuple[list[str], KneserNey | None]:
-    """The model from (lang, gram, n). Numbers of left neighbours are counted by Spark over all grams of the corpus."""
-    languages = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]  # a row a language
-    index = F.element_at(F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))]), F.col("lang")) if languages else F.lit(0)
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    level = counts.select(index.cast("long").alias("lang"), "gram", "n")
-    for order in range(ORDER, 0, -1):
-        got = level.select((F.col("lang") * 2**32 + F.col("gram")).alias("key"), "n").toArrow()
-        tables[order] = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
-        level = level.groupBy("lang", (F.col("gram") % 2 ** (8 * (order - 1))).alias("gram")).agg(F.count("*").alias("n"))
-    return languages, KneserNey(tables) if len(tables[ORDER][0]) else None
+def model_entries(counts: DataFrame, work: str) -> DataFrame:
+    """(kind, lang, gram, value) of (lang, gram, n): log2 of every probability, and of the weight of every history.
 
-
-def probabilities(counts: DataFrame, work: str) -> DataFrame:
-    """(lang, gram, log2_p) of all grams of (lang, gram, n): the numbers of KneserNey, as a table."""
+    Shorter grams are counted by the longer ones that end in them, as Kneser and Ney have it.
+    """
     levels = {ORDER: counts.select("lang", "gram", "n")}
     for order in range(ORDER - 1, 0, -1):
         shorter = (F.col("gram") % 2 ** (8 * order)).alias("gram")
         levels[order] = saved(levels[order + 1].groupBy("lang", shorter).agg(F.count("*").alias("n")), f"{work}/order-{order}")
-    below = None
+    below, out = None, None
     for order in range(1, ORDER + 1):
         ones = levels[order].agg(*[F.coalesce(F.sum((F.col("n") == i).cast("double")), F.lit(0.0)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
         _, one, two, more = discounts_of(list(ones))
         taken = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
         level = levels[order].select("lang", "gram", "n", taken.alias("taken"), F.shiftright("gram", 8).alias("history"), (F.col("gram") % 2 ** (8 * (order - 1))).alias("shorter"))
-        groups = level.groupBy("lang", "history").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("gamma"))
+        groups = saved(level.groupBy("lang", "history").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("gamma")), f"{work}/histories-{order}")
         level = level.join(groups, ["lang", "history"])
         # every shorter gram was counted from the longer ones
         level = level.withColumn("below", F.lit(1 / 256)) if below is None else level.join(below, ["lang", "shorter"])
         p = (F.col("n") - F.col("taken")) / F.col("total") + F.col("gamma") * F.col("below")
-        below = saved(level.select("lang", F.col("gram").alias("shorter"), p.alias("below")), f"{work}/p-{order}")
-    return below.select("lang", F.col("shorter").alias("gram"), F.log2("below").alias("log2_p"))
+        level = saved(level.select("lang", "gram", p.alias("p")), f"{work}/p-{order}")
+        below = level.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
+        entries = level.select(F.lit(order).alias("kind"), "lang", "gram", F.log2("p").alias("value"))
+        entries = entries.unionAll(groups.select(F.lit(-order).alias("kind"), "lang", F.col("history").alias("gram"), F.log2("gamma").alias("value")))
+        out = entries if out is None else out.unionAll(entries)
+    return out
+
+
+@dataclass(frozen=True)
+class Model:
+    """Where the hash arrays are; bits: the leading bits of a hash that name its range."""
+
+    path: str
+    bits: int
+
+
+def train(counts: DataFrame, work: str, range_grams: int | None = None) -> Model:
+    """Writes the model of (lang, gram, n) as hash arrays below work."""
+    entries = model_entries(counts, work)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            own = np.array([language_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+            kinds, grams = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            hashes = np.zeros(batch.num_rows, np.uint64)
+            for kind in np.unique(kinds).tolist():
+                at = kinds == kind
+                hashes[at] = entry_hash(kind, grams[at], own[at])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(3).cast(pa.float32())], ["hash", "value"])
+
+    rows = saved(entries.mapInArrow(hashed, "hash long, value float"), f"{work}/entries")
+    bits = max(0, math.ceil(math.log2(max(1, rows.count()) / (range_grams or RANGE_GRAMS))))
+    part = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
+    unsigned = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
+    dealt = rows.withColumn("part", part).repartitionById(1 << bits, "part").sortWithinPartitions("part", unsigned)
+    dealt.write.partitionBy("part").parquet(f"{work}/model")
+    return Model(f"{work}/model", bits)
+
+
+class Lookup:
+    """Reads a model's ranges, one at a time; the last one stays open."""
+
+    def __init__(self, model: Model):
+        self.model, self.open = model, (-1, None)
+        self.files, self.root = file_system(model.path)
+
+    def range(self, part: int) -> HashArray:
+        if self.open[0] != part:
+            self.open = (-1, None)  # let go before the next is read
+            folder = f"{self.root}/part={part}"
+            there = self.files.get_file_info(folder).type.name == "Directory"
+            found = pq.read_table(folder, filesystem=self.files, columns=["hash", "value"], partitioning=None) if there else pa.table({"hash": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
+            self.open = (part, HashArray(found["hash"].to_numpy().view(np.uint64), found["value"].to_numpy()))
+        return self.open[1]
+
+    def values(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, found) of each hash."""
+        out, known = np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
+        parts = (hashes >> np.uint64(64 - self.model.bits)).astype(np.int64) if self.model.bits else np.zeros(len(hashes), np.int64)
+        for part in np.unique(parts).tolist():
+            mine = np.flatnonzero(parts == part)
+            array = self.range(part)
+            at = array.find(hashes[mine])
+            hit = at >= 0
+            out[mine[hit]], known[mine[hit]] = array.values[at[hit]], True
+        return out, known
+
+    def log2(self, grams: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """log2 of the probability of the last byte of each gram after the others; language: the hash of each one's language."""
+        out, open_ = np.zeros(len(grams), np.float32), np.arange(len(grams))
+        grams = grams.astype(np.uint64)
+        for order in range(ORDER, 0, -1):
+            if not len(open_):
+                return out
+            mine, own = grams[open_] & np.uint64((1 << (8 * order)) - 1), language[open_]
+            value, known = self.values(entry_hash(order, mine, own))
+            out[open_] += value
+            open_, mine, own = open_[~known], mine[~known], own[~known]
+            weight, known = self.values(entry_hash(-order, mine >> np.uint64(8), own))
+            out[open_] += weight  # nothing where the history is unknown too
+        out[open_] += -8.0  # a byte never seen: uniform
+        return out
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -274,59 +304,56 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_perplexity double"
 
 
-def measure(docs: DataFrame, languages: list[str], model: KneserNey | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, base counts, log2_perplexity: mean bits a byte, null without text)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((languages, model))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, model = shared.value
-        index = {x: i for i, x in enumerate(languages)}
-        for batch in batches:
-            counts = base_counts(batch.column(2))
+    def judged(lookup: Lookup, group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a group of batches: each one's distinct grams, looked up together."""
+        keys, marks, times, sizes, before = [], [], [], [], 0
+        for batch in group:
+            coded = batch.column(1).dictionary_encode()
+            own = coded.indices.to_numpy()
+            languages = np.array([language_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)
             raw, offsets = prepared(batch.column(2))
-            own = np.array([index.get(x, len(languages)) for x in batch.column(1).to_pylist()], np.uint64)
-            bits, size = np.zeros(len(own)), np.zeros(len(own), np.int64)
             for a, b in row_chunks(offsets, CHUNK):
                 codes, row = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if model is not None and len(codes):
-                    # equal grams of a chunk are looked up once
-                    keys, place = np.unique((own[a:b][row] << np.uint64(32)) | codes, return_inverse=True)
-                    bits[a:b] = np.bincount(row, model.log2(keys)[place], minlength=b - a)
-                    size[a:b] = np.bincount(row, minlength=b - a)
-            value = pa.array(-bits / np.maximum(size, 1), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], value], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log2_perplexity"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, lang string, {MEASURES}")
-
-
-def document_grams(rows: DataFrame) -> DataFrame:
-    """(row, lang, gram, n) from (row, lang, text)."""
+                # equal grams of a chunk are looked up once
+                found, place = np.unique((own[a:b][row].astype(np.uint64) << np.uint64(32)) | codes, return_inverse=True)
+                keys.append((found & np.uint64(0xFFFFFFFF), languages[(found >> np.uint64(32)).astype(np.int64)]))
+                marks.append((before + a, b - a, row, place))
+            before += batch.num_rows
+        bits, size = np.zeros(before), np.zeros(before, np.int64)
+        values = lookup.log2(np.concatenate([g for g, _ in keys]), np.concatenate([x for _, x in keys])) if keys else np.zeros(0, np.float32)
+        start = 0
+        for (first, n, row, place), (g, _) in zip(marks, keys, strict=True):
+            bits[first : first + n] = np.bincount(row, values[start : start + len(g)].astype(np.float64)[place], minlength=n)
+            size[first : first + n] = np.bincount(row, minlength=n)
+            start += len(g)
+        at = 0
+        for batch in group:
+            counts, n = base_counts(batch.column(2)), batch.num_rows
+            value = pa.array(-bits[at : at + n] / np.maximum(size[at : at + n], 1), mask=size[at : at + n] == 0)
+            at += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[k]) for k in NAMES], value], ["doc_id", "lang", *NAMES, "log2_perplexity"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, group, held = Lookup(model), [], 0
         for batch in batches:
-            raw, offsets = prepared(batch.column(2))
-            for a, b in row_chunks(offsets, CHUNK):
-                codes, row = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keys, times = np.unique((row.astype(np.uint64) << np.uint64(32)) | codes, return_counts=True)
-                own = pa.array((keys >> np.uint64(32)).astype(np.int64) + a)
-                gram = pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), gram, pa.array(times.astype(np.int64))], ["row", "lang", "gram", "n"])
+            group.append(batch)
+            held += batch.nbytes
+            # with one range there is nothing to wait for
+            if not model.bits or held >= GROUP_BYTES:
+                yield from judged(lookup, group)
+                group, held = [], 0
+        if group:
+            yield from judged(lookup, group)
 
-    return rows.mapInArrow(task, "row long, lang string, gram long, n long")
-
-
-def measure_joined(docs: DataFrame, counts: DataFrame, work: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """What `measure` gives for the documents that were counted, without a model in the tasks: their grams are joined to the probabilities."""
-    own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    # equal rows share a number; their bits and grams are both summed, so the mean is that of one
-    row = F.xxhash64(F.col(key), own, F.col(text))
-    found = document_grams(docs.select(row.alias("row"), own.alias("lang"), F.col(text).cast("string").alias("text"))).join(probabilities(counts, work), ["lang", "gram"])
-    bits = found.groupBy("row").agg((-F.sum(F.col("n") * F.col("log2_p")) / F.sum("n")).alias("bits"))
-    keyed = docs.select(F.struct(F.col(key).alias("id"), row.alias("row")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    plain = measure(keyed, [], None, "key").withColumn("row", F.col("doc_id.row")).join(bits, "row", "left")
-    return plain.select(F.col("doc_id.id").alias("doc_id"), "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("bits").alias("log2_perplexity"))
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(task, f"doc_id {kind}, lang string, {MEASURES}")
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -335,14 +362,13 @@ def judge(measured: DataFrame) -> DataFrame:
     quartiles = measured.where(~failed).groupBy("lang").agg(F.percentile_approx("log2_perplexity", [0.25, 0.75], 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     slack = SPREAD * F.greatest(high - low, F.lit(0.01))
-    bands = quartiles.select("lang", (low - slack).alias("band_low"), (high + slack).alias("band_high"))  # a row a language
+    bands = quartiles.select("lang", (low - slack).alias("band_low"), (high + slack).alias("band_high"))
     inside = F.col("log2_perplexity").between(F.col("band_low"), F.col("band_high"))
-    return measured.withColumn("base_failed", failed).join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return measured.withColumn("base_failed", failed).join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), work_dir(spark, "quality")
-    counts = saved(count_grams(docs), f"{work}/grams")
-    measured = measure(docs, *train(counts)) if counts.count() <= MAX_GRAMS else measure_joined(docs, counts, work)
-    judged = judge(saved(measured, f"{work}/measures"))
+    model = train(saved(count_grams(docs), f"{work}/grams"), work)
+    judged = judge(saved(measure(docs, model), f"{work}/measures"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log2_perplexity", 4).alias("bits_a_byte"))

@@ -102,18 +102,20 @@ def test_gram_counts(spark):
     assert got == collections.Counter(itertools.chain(*(grams_of(t) for t in texts if t)))
 
 
-def test_hash_array():
-    keys = np.unique(np.random.default_rng(2).integers(0, 2**40, 5000, dtype=np.uint64))
-    array = Q.HashArray(keys[::2], np.arange(len(keys[::2])))
-    assert (array.values[0][array.find(keys[::2])] == np.arange(len(keys[::2]))).all()
-    assert (array.find(keys[1::2]) == -1).all() and (np.diff(array.hashes.astype(object)) > 0).all()
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_hash_array(n):
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 2 * n, dtype=np.uint64) << np.uint64(1))
+    array = Q.HashArray(keys[::2][::-1], np.arange(len(keys[::2]))[::-1])
+    assert (array.values[array.find(keys[::2])] == np.arange(len(keys[::2]))).all()
+    assert (array.find(keys[1::2]) == -1).all() and (array.find(np.array([0, 2**64 - 1], np.uint64)) == -1).all()
 
 
 def test_kneser_ney_by_definition(spark):
     """Probabilities of the arrays against the recursive definition."""
     texts = ["the cat sat on the mat and the dog sat on the cat", "a cat and a dog on a mat", "the thing then there"] * 2
     counts = Q.count_grams(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"))
-    languages, model = Q.train(counts)
+    model = Q.Lookup(Q.train(counts, work_dir(spark, "kn"), range_grams=100))
+    assert model.model.bits >= 1
     tables = {4: collections.Counter(itertools.chain(*map(grams_of, texts)))}
     for order in (3, 2, 1):
         tables[order] = collections.Counter(g[1:] for g in tables[order + 1])
@@ -137,9 +139,9 @@ def test_kneser_ney_by_definition(spark):
         n = same.get(gram, 0)
         return max(n - taken[order][min(n, 3)], 0) / total + free * p(gram[1:])
 
-    assert languages == ["en"]
+    english = np.array([Q.language_hash("en")])
     for gram in (b"the ", b" cat", b"cat ", b"xyz ", b"themes"[:4], b"zzzz", b"at s"):
-        assert math.isclose(float(model.log2(np.array([int.from_bytes(gram, "big")], np.uint64))[0]), math.log2(p(gram)), abs_tol=1e-4), gram
+        assert math.isclose(float(model.log2(np.array([int.from_bytes(gram, "big")], np.uint64), english)[0]), math.log2(p(gram)), abs_tol=1e-4), gram
     seen = sum(p(b"the" + bytes([b])) for b in range(256))
     assert math.isclose(seen, 1, abs_tol=1e-6)
 
@@ -149,11 +151,10 @@ def test_quality(spark, folder, odd_docs):
     failed = (rows.n_words < 50) | (100 * rows.n_repeat_words > 50 * rows.n_words)
     assert (rows.base_failed == failed).all() and not (rows.kept & rows.base_failed).any()
     assert rows[~rows.base_failed].kept.mean() > 0.97
-    languages, model = Q.train(Q.count_grams(odd_docs))
-    judged = Q.judge(Q.measure(odd_docs, languages, model)).collect()
+    judged = Q.judge(Q.measure(odd_docs, Q.train(Q.count_grams(odd_docs), work_dir(spark, "odd")))).collect()
     assert len(judged) == 10 and all(r["kept"] is not None for r in judged)
-    languages, model = Q.train(Q.count_grams(odd_docs.limit(0)))
-    assert model is None and Q.judge(Q.measure(odd_docs, languages, model)).count() == 10
+    nothing = Q.train(Q.count_grams(odd_docs.limit(0)), work_dir(spark, "none"))
+    assert Q.judge(Q.measure(odd_docs, nothing)).count() == 10 and Q.measure(odd_docs.limit(0), nothing).count() == 0
 
 
 def test_noise_is_out_of_its_band(spark):
@@ -162,21 +163,29 @@ def test_noise_is_out_of_its_band(spark):
     texts = [" ".join(rng.choice(vocabulary, 120)) for _ in range(60)]
     noise = "".join(rng.choice(list("zqxjkvbwyp#~{}^"), 800)).replace("z", " ").replace("q", " ")
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, noise])], "doc_id long, text string, lang string")
-    kept = {r["doc_id"]: r["kept"] for r in Q.judge(Q.measure(docs, *Q.train(Q.count_grams(docs)))).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in Q.judge(Q.measure(docs, Q.train(Q.count_grams(docs), work_dir(spark, "noise")))).collect()}
     assert all(kept[i] for i in range(60)) and not kept[60]
 
 
-def test_size_of_the_model_changes_no_result(spark, folder, odd_docs, monkeypatch):
-    """Beyond MAX_GRAMS no gram is left out: the joined probabilities give what the model in the tasks gives."""
-    small = Q.op9_quality(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
+def test_ranges_change_no_result(spark, folder, odd_docs, monkeypatch):
+    """A model in many ranges, read for a little text at a time, gives the very same numbers."""
     order = ["doc_id", "lang", "n_words", "log2_perplexity"]
-    counts = Q.count_grams(odd_docs)
-    odd = Q.measure(odd_docs, *Q.train(counts)).select(order).collect()
-    monkeypatch.setattr(Q, "MAX_GRAMS", 500)
-    large = Q.op9_quality(spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert large.drop(columns="bits_a_byte").equals(small.drop(columns="bits_a_byte"))
-    assert np.allclose(large.bits_a_byte, small.bits_a_byte, atol=2e-3, equal_nan=True)
-    joined = Q.measure_joined(odd_docs, counts, work_dir(spark, "odd")).select(order).collect()
-    by = lambda r: (str(r[:3]), r[3] or 0)
-    for a, b in zip(sorted(odd, key=by), sorted(joined, key=by), strict=True):
-        assert tuple(a)[:3] == tuple(b)[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or math.isclose(a[3], b[3], abs_tol=2e-3))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text").unionByName(odd_docs.select("doc_id", "lang", "text"))
+    counts = Q.count_grams(docs)
+    one, many = Q.train(counts, work_dir(spark, "one")), Q.train(counts, work_dir(spark, "many"), range_grams=700)
+    assert one.bits == 0 and many.bits >= 4
+    monkeypatch.setattr(Q, "GROUP_BYTES", 20_000)
+    got = [sorted(map(str, Q.measure(docs, m).select(order).collect())) for m in (one, many)]
+    assert got[0] == got[1]
+
+
+def test_bands_by_hand(spark, folder):
+    """Who is kept, from the measures alone."""
+    rows = Q.op9_quality(spark, folder).toPandas().merge(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
+    for _, own in rows.groupby("lang"):
+        good = np.sort(own[~own.base_failed].bits_a_byte.to_numpy())
+        low, high = (good[max(0, math.ceil(q * len(good)) - 1)] for q in (0.25, 0.75))
+        slack = Q.SPREAD * max(high - low, 0.01)
+        inside = own.bits_a_byte.between(low - slack, high + slack)
+        near = (own.bits_a_byte - (low - slack)).abs().lt(2e-3) | (own.bits_a_byte - (high + slack)).abs().lt(2e-3)
+        assert ((own.kept == (~own.base_failed & inside)) | near).all()
