@@ -119,14 +119,16 @@ def masks_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part:
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).cast("string").alias("text"))
     light = saved(texts.mapInArrow(judged, "doc_id long, part string, mask int, digest binary"), work_dir(spark, "audit-masks"))
-    first = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a table, so that the join deals both sides anew and Spark can split the rows of a text of many copies
+    first = saved(light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), work_dir(spark, "audit-copies"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int") * (1 << FILTERS.index("E"))
     return light.join(first, "digest", "left").select("doc_id", "part", (F.col("mask") + copy).alias("mask"))
 
 
 def audit(masks: DataFrame, labels: DataFrame) -> DataFrame:
     """FIGURES of every part, order and step. masks: as of masks_of; labels: doc_id, quality, toxic."""
-    bits = labels.groupBy("doc_id").agg((F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)) + 2 * F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0))).alias("label"))
+    bits = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)) + 2 * F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0))).alias("label"))
+    bits = saved(bits, work_dir(masks.sparkSession, "audit-labels"))
     rows = masks.join(bits, "doc_id", "left").select("part", "mask", F.coalesce("label", F.lit(0)).alias("label"))
     schema = "part string, filter_order string, step int, " + ", ".join(f"{x} long" for x in FIGURES)
     return rows.mapInArrow(counted, schema).groupBy("part", "filter_order", "step").agg(*(F.sum(x).alias(x) for x in FIGURES))
