@@ -31,6 +31,33 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _runs(names: DataFrame, text: str) -> DataFrame:
+    """Runs of three characters of each name, each with its number among equal runs."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    one = names.withColumn("run", F.explode(F.transform(places, lambda i: F.substr(F.col(text), i, F.lit(3)))))
+    return one.groupBy(*names.columns, "run").agg(F.count("*").alias("times"))
+
+
+def similar_names(ours: DataFrame, theirs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(columns of both, r): pairs whose texts a and b are `least` alike at least. No column name may be in both.
+
+    Similar names keep most of their runs of three characters: each character that differs costs three at most, so a
+    name of m runs meets every similar one among its rarest ones.
+    """
+    x, y = _runs(ours, a), _runs(theirs, b)
+    common = y.groupBy("run").agg(F.count("*").alias("common"))
+
+    def prefix(one: DataFrame, text: str, names: list[str]) -> DataFrame:
+        m = F.length(text) - 2
+        lost = 3 * F.ceil((1 - least) / least * 2 * F.length(text)) + 1
+        place = F.row_number().over(Window.partitionBy(*names).orderBy(F.coalesce("common", F.lit(0)), "run"))
+        return one.join(common, "run", "left").withColumn("place", place).where((F.col("place") <= lost) | (m <= lost)).select(*names, "run")
+
+    near = prefix(x, a, ours.columns).join(prefix(y, b, theirs.columns), "run")
+    close = F.abs(F.length(a) - F.length(b)) <= (1 - least) / least * 2 * F.least(F.length(a), F.length(b)) + 1
+    return near.where(close).select(*ours.columns, *theirs.columns).distinct().withColumn("r", ratio(a, b)).where(F.col("r") >= least)
+
+
 def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known_name: str = "name", fuzzy: float = FUZZY_FROM) -> DataFrame:
     """(name, matched): the known name of each distinct incoming one, null if there is none.
 
@@ -57,27 +84,8 @@ def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known
     subsets = known_in_given.select("given", "shown").union(given_in_known.select("given", "shown")).select("given", "shown", F.lit(2).alias("rank"), F.lit(1.0).alias("r"))
     leading = rest.join(long.where(F.size("known_words") == 1), F.substring_index("n", " ", 1) == F.col("k")).select("given", "shown", F.lit(1).alias("rank"), F.lit(1.0).alias("r"))
 
-    def runs(names: DataFrame, text: str) -> DataFrame:
-        """Runs of three characters of each name, each with its number among equal runs, and how many the name has."""
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-        one = names.withColumn("run", F.explode(F.transform(places, lambda i: F.substr(F.col(text), i, F.lit(3)))))
-        return one.groupBy(*names.columns, "run").agg(F.count("*").alias("times"))
-
-    # similar names keep most of their runs: each character that differs costs three at most, so a name of m runs meets
-    # every similar one among its m - shared + 1 rarest
-    a, b = runs(rest.select("given", "n"), "n"), runs(long.select("shown", "k"), "k")
-    common = b.groupBy("run").agg(F.count("*").alias("common"))
-
-    def prefix(one: DataFrame, text: str, key: str) -> DataFrame:
-        m = F.length(text) - 2
-        lost = 3 * F.ceil((1 - fuzzy) / fuzzy * 2 * F.length(text)) + 1
-        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("common", F.lit(0)), "run"))
-        return one.join(common, "run", "left").withColumn("place", place).where((F.col("place") <= lost) | (m <= lost)).select(key, text, "run")
-
-    near = prefix(a, "n", "given").join(prefix(b, "k", "shown"), "run")
-    close = F.abs(F.length("n") - F.length("k")) <= (1 - fuzzy) / fuzzy * 2 * F.least(F.length("n"), F.length("k")) + 1
-    pairs = near.where(close).select("given", "n", "k", "shown").distinct().withColumn("r", ratio("n", "k"))
-    similar = pairs.where(F.col("r") >= fuzzy).select("given", "shown", F.lit(0).alias("rank"), "r")
+    pairs = similar_names(rest.select("given", "n"), long.select("shown", "k"), "n", "k", fuzzy)
+    similar = pairs.select("given", "shown", F.lit(0).alias("rank"), "r")
     best = subsets.union(leading).union(similar).groupBy("given").agg(F.min(F.struct(-F.col("rank"), -F.col("r"), "shown")).alias("b"))
     found = exact.union(best.select("given", F.col("b.shown").alias("matched")))
     return given.join(found, "given", "left").select(F.col("given").alias(name), "matched")
@@ -94,6 +102,49 @@ def related(tokens: Column, others: Column) -> Column:
     return F.exists(tokens, lambda a: F.exists(others, lambda b: pair(a, b)))
 
 
+def related_companies(bindings: DataFrame, companies: DataFrame, key: str, owner: str, tokens: str, company: str, company_tokens: str) -> DataFrame:
+    """(key, own_related, other): whether a binding is related to its owner, and the least other company that it is related to.
+
+    bindings: key, owner, tokens; companies: company, company_tokens. Related is as `related` says. Tokens are matched as
+    tokens, each once: equal ones and ones of an equal beginning by that, one inside another by the rarest run of
+    SHARED_TOKEN characters of the shorter, so candidates follow the tokens, not the pairs of rows. Of the companies that
+    have a token only the two least go on, which is all that the least other one needs.
+    """
+    ours = bindings.select(key, owner, F.explode(tokens).alias("t")).distinct()
+    theirs = companies.select(F.col(company).alias("__c"), F.explode(company_tokens).alias("u")).distinct()
+    # the two least companies of a token, and of a beginning
+    one = theirs.groupBy("u").agg(F.min("__c").alias("low"))
+    two = theirs.join(one, "u").where(F.col("__c") > F.col("low")).groupBy("u").agg(F.min("__c").alias("second"))
+    known = one.join(two, "u", "left")
+    t, u = ours.select("t").distinct(), known.select("u")
+    equal = t.join(known, F.col("t") == F.col("u")).select("t", "low", "second")
+    starts = known.where(F.length("u") >= SHARED_PREFIX).select(F.left("u", F.lit(SHARED_PREFIX)).alias("p"), F.explode(F.array_compact(F.array("low", "second"))).alias("c")).distinct()
+    first = starts.groupBy("p").agg(F.min("c").alias("low"))
+    after = starts.join(first, "p").where(F.col("c") > F.col("low")).groupBy("p").agg(F.min("c").alias("second"))
+    prefixed = t.where(F.length("t") >= SHARED_PREFIX).withColumn("p", F.left("t", F.lit(SHARED_PREFIX))).join(first.join(after, "p", "left"), "p").select("t", "low", "second")
+
+    def grams(frame: DataFrame, name: str) -> DataFrame:
+        places = F.sequence(F.lit(1), F.length(name) - SHARED_TOKEN + 1)
+        return frame.where(F.length(name) >= SHARED_TOKEN).select(name, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col(name), i, F.lit(SHARED_TOKEN))))).alias("g"))
+
+    def inside(short: DataFrame, a: str, long: DataFrame, b: str) -> DataFrame:
+        """(a, b): tokens of one side that stand inside longer ones of the other."""
+        held = grams(long, b)
+        often = held.groupBy("g").agg(F.count("*").alias("often"))
+        rarest = grams(short, a).join(often, "g", "left").groupBy(a).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g")).alias("x")).where("x.often > 0")
+        return rarest.select(a, F.col("x.g").alias("g")).join(held, "g").where((F.length(a) < F.length(b)) & F.contains(F.col(b), F.col(a))).select("t", "u")
+
+    nested = inside(t, "t", u, "u").unionByName(inside(u, "u", t, "t")).distinct().join(known, "u").select("t", "low", "second")
+    met = equal.unionByName(prefixed).unionByName(nested).select("t", F.explode(F.array_compact(F.array("low", "second"))).alias("c")).distinct()
+    least = met.groupBy("t").agg(F.min("c").alias("low"))
+    next_ = met.join(least, "t").where(F.col("c") > F.col("low")).groupBy("t").agg(F.min("c").alias("second"))
+    other = ours.join(least.join(next_, "t", "left"), "t").groupBy(key, owner).agg(F.min(F.when(~F.col("low").eqNullSafe(F.col(owner)), F.col("low")).otherwise(F.col("second"))).alias("other"))
+    own = bindings.join(companies.select(F.col(company).alias(owner), F.col(company_tokens).alias("__own")), owner, "left")
+    said = own.select(key, owner, F.coalesce(related(F.col(tokens), F.col("__own")), F.lit(False)).alias("own_related"))
+    other = other.select(F.col(key).alias("__key"), F.col(owner).alias("__owner"), "other")
+    return said.join(other, (F.col(key) == F.col("__key")) & F.col(owner).eqNullSafe(F.col("__owner")), "left").select(key, owner, "own_related", "other")
+
+
 def candidate_score(status: Column, error: Column, guessed: Column, job_links: Column, board: Column, supported: Column, words: Column, named: Column, storefront: Column, login: Column) -> Column:
     """Additive score of a URL candidate, none below 0."""
     score = F.when(supported, 60).when(board, 25).otherwise(0) + F.least(job_links * 4, F.lit(40)) + F.when(words, 10).otherwise(0) + F.when(named, 15).otherwise(0)
