@@ -33,7 +33,7 @@ from .token_shards import file_system
 
 ORDER = 4
 #: entries of a range of the hash arrays, and bytes of text that are looked up in each range at a time
-RANGE_GRAMS, GROUP_BYTES = 2_000_000, 64 << 20
+RANGE_GRAMS, GROUP_BYTES = 8_000_000, 32 << 20
 SPREAD = 6.0
 MIN_WORDS, MAX_REPEATED = 50, 50
 CHUNK = 1 << 20
@@ -311,46 +311,44 @@ def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """(doc_id, lang, base counts, log2_perplexity: mean bits a byte, null without text)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text"))
 
-    def judged(lookup: Lookup, group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a group of batches: each one's distinct grams, looked up together."""
-        keys, marks, times, sizes, before = [], [], [], [], 0
-        for batch in group:
-            coded = batch.column(1).dictionary_encode()
-            own = coded.indices.to_numpy()
-            languages = np.array([language_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)
-            raw, offsets = prepared(batch.column(2))
-            for a, b in row_chunks(offsets, CHUNK):
-                codes, row = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                # equal grams of a chunk are looked up once
-                found, place = np.unique((own[a:b][row].astype(np.uint64) << np.uint64(32)) | codes, return_inverse=True)
-                keys.append((found & np.uint64(0xFFFFFFFF), languages[(found >> np.uint64(32)).astype(np.int64)]))
-                marks.append((before + a, b - a, row, place))
-            before += batch.num_rows
-        bits, size = np.zeros(before), np.zeros(before, np.int64)
-        values = lookup.log2(np.concatenate([g for g, _ in keys]), np.concatenate([x for _, x in keys])) if keys else np.zeros(0, np.float32)
-        start = 0
-        for (first, n, row, place), (g, _) in zip(marks, keys, strict=True):
-            bits[first : first + n] = np.bincount(row, values[start : start + len(g)].astype(np.float64)[place], minlength=n)
-            size[first : first + n] = np.bincount(row, minlength=n)
-            start += len(g)
-        at = 0
-        for batch in group:
-            counts, n = base_counts(batch.column(2)), batch.num_rows
-            value = pa.array(-bits[at : at + n] / np.maximum(size[at : at + n], 1), mask=size[at : at + n] == 0)
-            at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[k]) for k in NAMES], value], ["doc_id", "lang", *NAMES, "log2_perplexity"])
+    def bits_of(lookup: Lookup, batch: pa.RecordBatch) -> pa.Array:
+        coded = batch.column(1).dictionary_encode()
+        own = coded.indices.to_numpy().astype(np.uint64)
+        languages = np.array([language_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)
+        raw, offsets = prepared(batch.column(2))
+        bits, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        held: list[tuple] = []
+
+        def settle() -> None:
+            """Looks up the grams of the chunks that are held, together."""
+            values = lookup.log2(np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]))
+            start = 0
+            for a, b, found, _, row, place in held:
+                bits[a:b] = np.bincount(row, values[start : start + len(found)].astype(np.float64)[place], minlength=b - a)
+                size[a:b] = np.bincount(row, minlength=b - a)
+                start += len(found)
+            held.clear()
+
+        total = 0
+        for a, b in row_chunks(offsets, CHUNK):
+            codes, row = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            # equal grams of a chunk are looked up once
+            found, place = np.unique((own[a:b][row] << np.uint64(32)) | codes, return_inverse=True)
+            held.append((a, b, found & np.uint64(0xFFFFFFFF), languages[(found >> np.uint64(32)).astype(np.int64)], row.astype(np.int32), place.astype(np.int32)))
+            total += int(offsets[b] - offsets[a])
+            # with one range there is nothing to wait for
+            if not model.bits or total >= GROUP_BYTES:
+                settle()
+                total = 0
+        if held:
+            settle()
+        return pa.array(-bits / np.maximum(size, 1), mask=size == 0)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, group, held = Lookup(model), [], 0
+        lookup = Lookup(model)
         for batch in batches:
-            group.append(batch)
-            held += batch.nbytes
-            # with one range there is nothing to wait for
-            if not model.bits or held >= GROUP_BYTES:
-                yield from judged(lookup, group)
-                group, held = [], 0
-        if group:
-            yield from judged(lookup, group)
+            counts = base_counts(batch.column(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[k]) for k in NAMES], bits_of(lookup, batch)], ["doc_id", "lang", *NAMES, "log2_perplexity"])
 
     kind = docs.schema[key].dataType.simpleString()
     return rows.mapInArrow(task, f"doc_id {kind}, lang string, {MEASURES}")
