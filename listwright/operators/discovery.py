@@ -14,7 +14,7 @@ from .pages import resolve
 
 #: fixed values: how a board's links name its tenant, in order: (board, pattern, groups that make the slug)
 BOARD_LINKS = (
-    ("greenhouse", r"boards\.greenhouse\.io/(?:embed/job_board\?for=)?([a-z0-9_-]+)", (1,)),
+    ("greenhouse", r"boards(?:\.[a-z]{2,4})?\.greenhouse\.io/(?:embed/job_board(?:/js)?\?for=)?([a-z0-9_-]+)", (1,)),
     ("lever", r"jobs\.lever\.co/([a-z0-9_-]+)", (1,)),
     ("workable", r"apply\.workable\.com/([a-z0-9_-]+)", (1,)),
     ("ashby", r"jobs\.ashbyhq\.com/([a-z0-9_-]+)", (1,)),
@@ -28,19 +28,40 @@ BOARD_LINKS = (
     ("adp", r"myjobs\.adp\.com/([a-z0-9_]+)", (1,)),
     ("adp", r"workforcenow\.adp\.com/[^\s\"'<>]{1,200}[?&]cid=([0-9a-f-]{36})", (1,)),
     ("icims", r"([a-z0-9-]+)\.icims\.com", (1,)),
+    ("apple", r"jobs\.apple\.com()", (1,)),
+    ("eightfold", r"eightfold\.ai()", (1,)),
 )
+#: fixed values: boards without a tenant, boards whose tenant is the page's own domain, and second labels that registrations stand below
+NO_SLUG, SLUG_OF_PAGE, SECOND_LABELS = ("apple",), ("eightfold",), ("co", "com", "net", "org", "ac", "gov", "edu")
 #: fixed values: subdomains that are no tenants
 NO_TENANTS = ("analytics", "api", "assets", "cdn", "help", "static", "support", "www")
 MOST_LINKS = 6
 #: hosts whose links are noise on any page
+#: fixed values: what content hosts begin or end with
+CONTENT_BEGINS, CONTENT_ENDS = ("assets", "static", "cdn", "img", "images", "media", "files", "analytics"), ("cdn", "assets", "analytics")
 NOISE_HOSTS = ("facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "tiktok.com", "glassdoor.com")
 
 
-def discover(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, board, slug, place): the boards that a page links to, each once, in the order of the patterns and then of the page."""
+def registered_domain(url: Column) -> Column:
+    """The part of a URL's host that is registered: its last two labels, or three below a shared second one."""
+    host = F.rtrim(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("."))
+    shared = F.substring_index(F.substring_index(host, ".", -2), ".", 1).isin(*SECOND_LABELS) & (F.length(F.substring_index(host, ".", -1)) == 2)
+    return F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
+def discover(pages: DataFrame, key: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """(key, board, slug, place): the boards that a page links to, each once, in the order of the patterns and then of the page.
+
+    url: the column of the page's own URL, which names the tenant for some boards; without it they are not found.
+    """
     parts = [_matches(html, pattern, groups, board, number) for number, (board, pattern, groups) in enumerate(BOARD_LINKS)]
-    rows = pages.select(key, F.explode(F.concat(*parts)).alias("m")).select(key, "m.*")
-    plain = rows.where(~F.col("slug").isin(*NO_TENANTS) & (F.col("slug") != "") & ~F.col("slug").rlike(r"^(?:assets|static|cdn|img|images|media|files|analytics)[-.]|[-.](?:cdn|assets|analytics)$"))
+    own = registered_domain(F.col(url)) if url else F.lit("")
+    rows = pages.select(key, own.alias("__own"), F.explode(F.concat(*parts)).alias("m")).select(key, "__own", "m.*")
+    rows = rows.withColumn("slug", F.when(F.col("board").isin(*SLUG_OF_PAGE), F.col("__own")).otherwise(F.col("slug")))
+    first, last = F.regexp_extract("slug", "^([a-z]+)[-.]", 1), F.regexp_extract("slug", "[-.]([a-z]+)$", 1)
+    path = F.col("slug").contains("/")  # a tenant with its site is none of the content hosts
+    content = ~path & (F.col("slug").isin(*NO_TENANTS) | first.isin(*CONTENT_BEGINS) | last.isin(*CONTENT_ENDS)) & ~F.col("board").isin(*SLUG_OF_PAGE)
+    plain = rows.where(~content & ((F.col("slug") != "") | F.col("board").isin(*NO_SLUG)))
     return plain.groupBy(key, "board", "slug").agg(F.min(F.struct("number", "at")).alias("place"))
 
 

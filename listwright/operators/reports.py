@@ -102,3 +102,24 @@ def as_markdown(report: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def markdown_header(columns: Sequence[str]) -> list[str]:
     return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+
+
+def script_json(value: Column) -> Column:
+    """A struct as JSON that may stand in a page's script: no `<` in it ends or opens a tag."""
+    return F.replace(F.to_json(value), F.lit("<"), F.lit("\\u003c"))
+
+
+def posting_data(title: Column, description: Column, posted: Column, company: Column, place: Column, url: Column) -> Column:
+    """A posting as linked data; what is missing is left out."""
+    where = F.when(place.isNotNull(), F.struct(F.lit("Place").alias("@type"), place.alias("address")))
+    by = F.when(company.isNotNull(), F.struct(F.lit("Organization").alias("@type"), company.alias("name")))
+    return script_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("JobPosting").alias("@type"), title.alias("title"), description.alias("description"), posted.cast("string").alias("datePosted"), by.alias("hiringOrganization"), where.alias("jobLocation"), url.alias("url")))
+
+
+def sitemap_rows(rows: DataFrame, url: str, changed: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, line) of a sitemap's <url> elements, addresses escaped; the caller's writer puts them between the head and the end."""
+    safe = F.col(url)
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(name))
+    day = F.coalesce(F.concat(F.lit("<lastmod>"), F.col(changed).cast("string"), F.lit("</lastmod>")), F.lit(""))
+    return rows.select(*keys, F.concat(F.lit("<url><loc>"), safe, F.lit("</loc>"), day, F.lit("</url>")).alias("line"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import time
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
@@ -62,6 +65,65 @@ def write(entries: DataFrame, path: str, name: str = "name") -> None:
     entries.repartitionByRange(name_key(F.col(name))).sortWithinPartitions(name_key(F.col(name)), name).write.mode("overwrite").json(path)
 
 
+class SeedFile:
+    """Entries that several writers change: under a lock, a change reads the newest version and writes the next as a whole.
+
+    The folder is on a file system that all writers mount, since the lock is a file that only one can make. A version
+    counts once its mark is there, so a writer that dies leaves the one before.
+    """
+
+    def __init__(self, path: str, wait: float = 60.0):
+        self.path, self.wait = path.removeprefix("file://"), wait
+
+    @contextmanager
+    def _locked(self) -> Iterator[None]:
+        os.makedirs(self.path, exist_ok=True)
+        lock, until = f"{self.path}/lock", time.monotonic() + self.wait
+        while True:
+            try:
+                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+                break
+            except FileExistsError:
+                if time.monotonic() > until:
+                    raise TimeoutError(f"{lock} is held; remove it if its writer is gone") from None
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            os.unlink(lock)
+
+    def _newest(self, spark: SparkSession) -> int:
+        return spark.read.schema("value string, version int").text(f"file://{self.path}/done").agg(F.max("version")).first()[0]
+
+    def _put(self, entries: DataFrame, version: int) -> int:
+        spark = entries.sparkSession
+        entries.orderBy(name_key(F.col("name")), "name").write.mode("overwrite").parquet(f"file://{self.path}/entries/version={version}")
+        spark.createDataFrame([("done",)], "value string").coalesce(1).write.text(f"file://{self.path}/done/version={version}")
+        return version
+
+    def _entries(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.parquet(f"file://{self.path}/entries/version={version}")
+
+    def create(self, entries: DataFrame) -> None:
+        with self._locked():
+            self._put(entries, 0)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._entries(spark, self._newest(spark))
+
+    def _change(self, spark: SparkSession, change: Callable[[DataFrame], DataFrame]) -> int:
+        with self._locked():
+            at = self._newest(spark)
+            return self._put(change(self._entries(spark, at)), at + 1)
+
+    def sync(self, changes: DataFrame) -> int:
+        """Puts entries in, or in place of those of their names; the new version."""
+        return self._change(changes.sparkSession, lambda old: upsert(old, changes))
+
+    def forget(self, names: DataFrame) -> int:
+        return self._change(names.sparkSession, lambda old: remove(old, names))
+
+
 def entry_json(columns: Sequence[str]) -> Column:
     """A sparse object in a fixed order of keys: null, false and empty values are left out."""
 

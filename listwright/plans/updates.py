@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import keywords, lifecycle, renames, rescore, resolve, store
+from ..operators import board, keywords, lifecycle, renames, reports, requests, rescore, resolve, store
 from ..sources.tables import table
 from ..sources.work import work_dir
 from .fixtures import COMPANIES_SQL, JOBS_SQL, companies, jobs
+from .listings import SEEN, SHOWN, _board, _page_sql
 from .queries import LEXICON, query
 
 c = F.col
@@ -68,3 +69,24 @@ def related_bindings(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "customer").join(nation, c("n_nationkey") == c("c_nationkey")).select(c("c_custkey").alias("company"), long("n", F.lower("c_mktsegment"), F.concat(F.lit("firm"), c("c_custkey") % 30)).alias("names"))
     held = table(spark, d, "supplier").join(nation, c("n_nationkey") == c("s_nationkey")).select(c("s_suppkey").alias("binding"), (c("s_suppkey") % 150).alias("owner"), long(F.substring("n", 1, 6), F.substring("n", 2, 4), F.concat(F.lit("firm"), c("s_suppkey") % 40)).alias("tokens"))
     return resolve.related_companies(held, own, "binding", "owner", "tokens", "company", "names")
+
+
+ASKED = "https://x.example.com/jobs?q=Bolt&category=bolt,large&category=gear&salary_min=0&seniority=senior&seniority=mid,&unknown=1&page=2&per_page=7"
+
+
+@query(_page_sql("is_audio_related AND (regexp_matches(coalesce(title, ''), '(?i)(^|[^a-z0-9])bolt($|[^a-z0-9])') OR regexp_matches(coalesce(company_name, ''), '(?i)(^|[^a-z0-9])bolt($|[^a-z0-9])') OR regexp_matches(coalesce(description, ''), '(?i)(^|[^a-z0-9])bolt($|[^a-z0-9])')) AND seniority IN ('senior', 'mid') AND list_has_any(job_categories, ['bolt', 'large', 'gear'])", f"CASE WHEN regexp_matches(title, '(?i)(^|[^a-z0-9])bolt($|[^a-z0-9])') THEN 0 ELSE 1 END, {SEEN} DESC NULLS LAST, created_at DESC NULLS LAST", 7, 2))
+def requested_board(spark: SparkSession, d: str) -> DataFrame:
+    """The page of the board that a request's URL asks for."""
+    asked = requests.board_params(ASKED)
+    rows = board.filter_jobs(_board(spark, d), requests.board_filter(asked))
+    return board.page(rows, board.job_order(asked.get("sort", "newest"), search=asked.get("search")), int(asked["page"]), int(asked["per_page"])).select(*SHOWN, "total", "pages")
+
+
+@query(f"""WITH j AS ({JOBS_SQL}) SELECT id, '<url><loc>' || replace(url || '?a=1&b=<2>', '&', '&amp;') || '</loc>' || coalesce('<lastmod>' || CAST(posted_date AS VARCHAR) || '</lastmod>', '') || '</url>' AS line,
+'{{"@context":"https://schema.org","@type":"JobPosting","title":"' || title || ' \\u003cb>"' || coalesce(',"datePosted":"' || CAST(posted_date AS VARCHAR) || '"', '') || ',"jobLocation":{{"@type":"Place","address":"' || location || '"}}}}' AS data FROM j""".replace("replace(url || '?a=1&b=<2>', '&', '&amp;')", "replace(replace(replace(url || '?a=1&b=<2>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"))
+def posting_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemap elements and linked data of postings, safe to stand in pages."""
+    rows = jobs(spark, d).withColumn("address", F.concat("url", F.lit("?a=1&b=<2>")))
+    none = F.lit(None).cast("string")
+    data = reports.posting_data(F.concat("title", F.lit(" <b>")), none, c("posted_date"), none, c("location"), none)
+    return reports.sitemap_rows(rows.withColumn("data", data), "address", "posted_date", ["id", "data"])

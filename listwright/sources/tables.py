@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,23 @@ def page_cache(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("file_name")).where("company_id is not null")
 
 
+def write_probes(probes: DataFrame, folder: str) -> int:
+    """Adds the probes of companies that the folder has none of yet, a file each; their number."""
+    spark = probes.sparkSession
+    try:
+        known = page_cache(spark, folder).select("company_id").distinct()
+    except AnalysisException:  # no folder yet
+        known = spark.createDataFrame([], "company_id long")
+    new = probes.select(*[f.name for f in PROBE.fields]).where("company_id is not null").dropDuplicates(["company_id"]).join(known, "company_id", "left_anti").persist()
+    try:
+        n = new.count()
+        if n:
+            new.write.mode("append").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(folder)
+        return n
+    finally:
+        new.unpersist()
+
+
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """One term a line; blank lines and `#` comments are skipped."""
     return spark.read.text(path).select(F.trim("value").alias("term")).where("term <> '' and not term like '#%'")
