@@ -184,13 +184,13 @@ def live_community_job(spark: SparkSession, d: str) -> DataFrame:
     return moderation.live_job(jobs(spark, d), wanted)
 
 
-@query(dated(f"""WITH s AS ({SUBMISSIONS_SQL}), d AS (SELECT event_id % 1500 AS submission_id, event_type AS reviewer, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS decision, CASE WHEN event_id % 2 = 1 THEN 'spam' END AS reason FROM events WHERE event_id < 1000),
+@query(dated(f"""WITH s AS ({SUBMISSIONS_SQL}), d AS (SELECT event_id % 1500 AS submission_id, event_type AS reviewer, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS decision, CASE WHEN event_id % 2 = 1 THEN 'spam' END AS reason FROM events),
 o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY reviewer, decision) = 1)
 SELECT s.submission_id, CASE WHEN o.submission_id IS NOT NULL AND status = 'pending' THEN decision ELSE status END AS status, CASE WHEN status = 'pending' THEN reviewer END AS reviewed_by, CASE WHEN status = 'pending' AND reviewer IS NOT NULL THEN DATE '1998-01-01' END AS reviewed_at, CASE WHEN status = 'pending' THEN reason END AS reason,
 CASE WHEN o.submission_id IS NULL THEN 'kept' WHEN status = 'pending' THEN 'done' ELSE 'conflict' END AS outcome FROM s LEFT JOIN o USING (submission_id)""", "reviewed_at"))
 def moderation_transition(spark: SparkSession, d: str) -> DataFrame:
     """Submissions after the reviewers' decisions; those no longer pending are conflicts."""
-    decisions = table(spark, d, "events").where("event_id < 1000").selectExpr("event_id % 1500 AS submission_id", "event_type AS reviewer", "CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS decision", "CASE WHEN event_id % 2 = 1 THEN 'spam' END AS reason")
+    decisions = table(spark, d, "events").selectExpr("event_id % 1500 AS submission_id", "event_type AS reviewer", "CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS decision", "CASE WHEN event_id % 2 = 1 THEN 'spam' END AS reason")
     return as_text(moderation.transition(_submissions(spark, d), decisions, "submission_id", AS_OF).drop("company_id", "created_at"), "reviewed_at")
 
 

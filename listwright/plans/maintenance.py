@@ -102,18 +102,23 @@ def claimed_boards_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     return cycle.claimed_elsewhere(companies(spark, d).where("ats_type is not null and ats_slug is not null"), ["ats_type", "ats_slug"], "id").select("id", "name")
 
 
-@query("SELECT s_suppkey, s_suppkey < 3 AS claimed FROM supplier WHERE s_suppkey < 12")
+@query("""WITH RECURSIVE o AS (SELECT s_suppkey, 'u' || s_nationkey AS u, CASE WHEN s_acctbal > 0 THEN 'b' || s_suppkey % 17 END AS b, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier),
+r AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS us, []::VARCHAR[] AS bs, NULL::BIGINT AS s_suppkey, false AS claimed
+UNION ALL SELECT o.n, CASE WHEN free THEN list_append(us, u) ELSE us END, CASE WHEN free AND b IS NOT NULL THEN list_append(bs, b) ELSE bs END, o.s_suppkey, free FROM (SELECT o.*, r.us, r.bs, NOT list_contains(us, u) AND (b IS NULL OR NOT list_contains(bs, b)) AS free FROM r JOIN o ON o.n = r.n + 1) o)
+SELECT s_suppkey, claimed FROM r WHERE n > 0""")
 def greedy_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Who keeps a shared URL or board, in order: of numbers under 12 with 4 URLs and 3 boards the first three (3 shares a board with 0, and so on)."""
-    rows = table(spark, d, "supplier").where("s_suppkey < 12").selectExpr("s_suppkey", "concat('U', s_suppkey % 4) AS u", "concat('s', s_suppkey % 3) AS b")
-    return resolve.claim_boards(rows, "s_suppkey", "u", "b")
+    """Who keeps a shared URL or board, going through all suppliers in order: their nations are the URLs, a part of them has boards."""
+    board = F.when(c("s_acctbal") > 0, F.concat(F.lit("b"), c("s_suppkey") % 17))
+    return resolve.claim_boards(table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("U"), "s_nationkey").alias("u"), board.alias("b")), "s_suppkey", "u", "b")
 
 
-@query("""WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')
-SELECT CAST(user_id AS VARCHAR) AS key, event_id AS place, n <= 3 AS admitted FROM r""")
+@query("""WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS place, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS place, []::DOUBLE[] AS recent, false AS admitted FROM (SELECT DISTINCT key FROM h)
+UNION ALL SELECT key, n, place, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM (SELECT h.*, list_filter(r.recent, lambda x: x > h.t - 3 * 86400) AS live FROM r JOIN h ON h.key = r.key AND h.n = r.n + 1))
+SELECT key, place, admitted FROM r WHERE n > 0""")
 def rate_limit_log(spark: SparkSession, d: str) -> DataFrame:
-    """Hits admitted at three a key in any window: the log is shorter than one window, so the first three of each are."""
-    return log.batch_admitted(table(spark, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "event_id", 3, 10 * 365 * log.DAY)
+    """Hits admitted at three a key in any three days."""
+    return log.batch_admitted(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 3 * log.DAY)
 
 
 # ---- scores ----
@@ -297,12 +302,16 @@ def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
     return reports.as_markdown(table(spark, d, "nation"), ["n_nationkey", "n_name"])
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, c_name AS name, CASE c_custkey % 6 WHEN 0 THEN 'https://x.example.com/404' WHEN 1 THEN 'https://news.example.com/about' WHEN 2 THEN 'https://news.example.com/careers' WHEN 3 THEN 'https://customer.example.com/about' WHEN 4 THEN 'https://customer.example.com/jobs' ELSE 'https://jobs.lever.co/x' END AS u FROM customer)
-SELECT id, CASE id % 6 WHEN 0 THEN 'bad_page' WHEN 1 THEN 'wrong_host_no_vocab' WHEN 2 THEN 'wrong_host_careers_shaped' WHEN 3 THEN 'right_host_no_vocab' END AS problem FROM s""")
+@query("""WITH k AS (SELECT c_custkey AS id, lower(c_mktsegment) AS seg, lower(regexp_replace(n_name, '[^A-Z]', '', 'g')) AS land, c_acctbal FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT id, seg, land, CASE WHEN c_acctbal < 0 THEN 'https://' || land || '.example.com/404' WHEN c_acctbal < 2500 THEN 'https://' || land || '.example.com/about' WHEN c_acctbal < 5000 THEN 'https://' || land || '.example.com/careers' WHEN c_acctbal < 7000 THEN 'https://' || seg || '.example.com/about' WHEN c_acctbal < 9000 THEN 'https://' || seg || '.example.com/jobs' ELSE 'https://jobs.lever.co/' || land END AS u FROM k)
+SELECT id, CASE WHEN contains(u, '/404') THEN 'bad_page' WHEN contains(u, 'lever.co') THEN NULL WHEN NOT contains(regexp_extract(u, '://([^/]*)', 1), seg) AND NOT regexp_matches(u, 'careers|jobs') THEN 'wrong_host_no_vocab' WHEN NOT contains(regexp_extract(u, '://([^/]*)', 1), seg) THEN 'wrong_host_careers_shaped' WHEN NOT regexp_matches(u, 'careers|jobs') THEN 'right_host_no_vocab' END AS problem FROM s""")
 def url_audit(spark: SparkSession, d: str) -> DataFrame:
     """Seed URLs that are bad pages, or on another's host, or no careers pages."""
-    u = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'https://x.example.com/404' WHEN 1 THEN 'https://news.example.com/about' WHEN 2 THEN 'https://news.example.com/careers' WHEN 3 THEN 'https://customer.example.com/about' WHEN 4 THEN 'https://customer.example.com/jobs' ELSE 'https://jobs.lever.co/x' END")
-    return table(spark, d, "customer").select(c("c_custkey").alias("id"), url.audit_url(u, c("c_name")).alias("problem"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), c("n_nationkey") == c("c_nationkey"))
+    seg, land, b = F.lower("c_mktsegment"), F.lower(F.regexp_replace("n_name", "[^A-Z]", "")), c("c_acctbal")
+    at = lambda host, path: F.concat(F.lit("https://"), host, F.lit(f".example.com/{path}"))
+    u = F.when(b < 0, at(land, "404")).when(b < 2500, at(land, "about")).when(b < 5000, at(land, "careers")).when(b < 7000, at(seg, "about")).when(b < 9000, at(seg, "jobs")).otherwise(F.concat(F.lit("https://jobs.lever.co/"), land))
+    return rows.select(c("c_custkey").alias("id"), url.audit_url(u, F.concat("c_mktsegment", F.lit(" Ltd"))).alias("problem"))
 
 
 @query("""SELECT CASE WHEN c_custkey % 8 = 0 THEN 'failing' WHEN c_custkey % 3 = 0 THEN 'idle' ELSE 'healthy' END AS grade, c_custkey, c_name FROM customer ORDER BY CASE WHEN c_custkey % 8 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 4 ELSE 5 END DESC, lower(c_name) LIMIT 20""")
