@@ -8,7 +8,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: places are looked up in the first MAX_LENGTH characters of a location, by runs of MAX_WORDS words at most
+from .text import beginning
+
+#: places are looked up in the first MAX_LENGTH characters of a location (None: all), by runs of MAX_WORDS words at most
 MAX_LENGTH, MAX_WORDS = 300, 3
 #: kinds of lexicon rows in order of precedence; of the first three only a single country counts
 KINDS = ("name", "state", "city", "state_code", "province", "code")
@@ -32,8 +34,8 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, source, target)), r"[^\p{L}\p{N}]+", " "), r"\s+", " "))
 
 
-def segments(location: Column, max_length: int = MAX_LENGTH) -> Column:
-    parts = F.split(F.regexp_replace(F.substring(location, 1, max_length), r"[()]", ","), r"[,;|/:\n]|\s[-–—]\s")
+def segments(location: Column, max_length: int | None = MAX_LENGTH) -> Column:
+    parts = F.split(F.regexp_replace(beginning(location, max_length), r"[()]", ","), r"[,;|/:\n]|\s[-–—]\s")
     return F.filter(F.transform(parts, fold), lambda s: s != "")
 
 
@@ -52,14 +54,14 @@ def phrases(parts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, runs)))
 
 
-def detect_country(rows: DataFrame, location: str, lexicon: DataFrame, name: str = "country") -> DataFrame:
+def detect_country(rows: DataFrame, location: str, lexicon: DataFrame, name: str = "country", max_length: int | None = MAX_LENGTH) -> DataFrame:
     """The rows with the country of their location, null if unknown or contradictory.
 
     lexicon: (kind, phrase, country) with folded phrases; codes and state codes count as whole segments only. Each
     distinct location is looked up once: its phrases are joined with the lexicon, which Catalyst broadcasts while small.
     """
     places = rows.where(F.trim(F.col(location)) != "").select(F.col(location).alias("__place")).distinct()
-    parts = places.select("__place", segments(F.col("__place")).alias("__parts"))
+    parts = places.select("__place", segments(F.col("__place"), max_length).alias("__parts"))
     found = parts.select("__place", "__parts", F.explode(phrases(F.col("__parts"))).alias("phrase")).join(lexicon, "phrase")
     found = found.where(~F.col("kind").isin("state_code", "code") | F.array_contains("__parts", F.col("phrase")))
     votes = found.groupBy("__place").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("country"))).alias(f"__{k}") for k in KINDS])

@@ -58,7 +58,7 @@ def joined_places(parts: Sequence[Column], mark: str = ", ") -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, mark))
 
 
-def listed_places(places: Column, limit: int = 10) -> Column:
-    """Distinct names of an array of places, joined by `; `."""
-    found = F.array_distinct(F.filter(F.transform(F.slice(places, 1, limit), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+def listed_places(places: Column, limit: int | None = 10) -> Column:
+    """Distinct names of an array of places, joined by `; `: of the first `limit`, or of all for None."""
+    found = F.array_distinct(F.filter(F.transform(places if limit is None else F.slice(places, 1, limit), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     return F.when(F.size(found) > 0, F.array_join(found, "; "))

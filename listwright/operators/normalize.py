@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import with_domain
-from ..functions.country import detect_country
+from ..functions.country import MAX_LENGTH, detect_country
 from ..functions.salary import with_salary
 from .lifecycle import effective
 from .keywords import Taxonomy, classify
-from .scoring import Lexicon, with_categories, with_relevance, with_role_text
+from .scoring import CATEGORY_TEXT, RELEVANCE_TEXT, Lexicon, with_categories, with_relevance, with_role_text
 
 #: characters of a description that may name the type of a job
 TYPE_TEXT = 500
@@ -28,33 +28,34 @@ def fenced(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: batches, rows.schema)
 
 
-def normalize(raw: DataFrame, lexicon: Lexicon, valid: Sequence[str], places: DataFrame | None = None, domains: dict[str, str] | None = None, taxonomy: Taxonomy | None = None) -> DataFrame:
+def normalize(raw: DataFrame, lexicon: Lexicon, valid: Sequence[str], places: DataFrame | None = None, domains: dict[str, str] | None = None, taxonomy: Taxonomy | None = None, whole_texts: bool = False) -> DataFrame:
     """Raw postings (title, url, description, location, job_type, posted_date, remote_hint, audio_scope, company_category, company_name) with all that is derived.
 
     Pay is read from the title and description as they came; categories are those of the cleaned title, kept if valid, and
     scored before the company's own domain joins them. places: the lexicon of countries. taxonomy: keywords and rules of the
-    categories; without one the lexicon's keywords are scored, without rules.
+    categories; without one the lexicon's keywords are scored, without rules. whole_texts: look at
+    descriptions and places in full rather than at their beginnings.
     """
     c = F.col
     rows = with_salary(fenced(raw).withColumn("__said", F.concat_ws(" ", "title", "description")), "__said").drop("__said")
     rows = rows.withColumns({"title": T.strip_gender_markers(F.trim("title")), "url": F.trim("url")})
     rows = fenced(with_role_text(fenced(rows), "description"))
-    rows = fenced(classify(rows, taxonomy, name="job_categories") if taxonomy else with_categories(rows, lexicon, name="job_categories"))
+    rows = fenced(classify(rows, taxonomy, name="job_categories") if taxonomy else with_categories(rows, lexicon, name="job_categories", text_limit=None if whole_texts else CATEGORY_TEXT))
     valid_ = F.array(*[F.lit(x) for x in valid]).cast("array<string>")
     rows = rows.withColumn("job_categories", F.array_intersect("job_categories", valid_))
-    rows = fenced(with_relevance(rows, lexicon, categories="job_categories"))
+    rows = fenced(with_relevance(rows, lexicon, categories="job_categories", text_limit=None if whole_texts else RELEVANCE_TEXT))
     domain = F.try_element_at(F.create_map(*[F.lit(x) for kv in (domains or {"": ""}).items() for x in kv]), F.coalesce("company_category", F.lit("-")))
     labels = F.array(*[F.lit(x) for x in lexicon.label_only]).cast("array<string>")
     rows = rows.withColumn("job_categories", F.array_intersect(with_domain(c("job_categories"), domain, labels), valid_))
     rows = rows.withColumns(
         {
-            "remote": T.is_remote(c("location"), c("title")) | T.describes_remote(c("description")) | F.coalesce("remote_hint", F.lit(False)),
-            "job_type": T.job_type(c("job_type"), c("title"), F.substring("description", 1, TYPE_TEXT)),
+            "remote": T.is_remote(c("location"), c("title")) | T.describes_remote(c("description"), None if whole_texts else T.REMOTE_TEXT) | F.coalesce("remote_hint", F.lit(False)),
+            "job_type": T.job_type(c("job_type"), c("title"), T.beginning(c("description"), None if whole_texts else TYPE_TEXT)),
             "seniority": T.seniority(c("title")),
             "location": T.clean_location(c("location")),
         }
     ).drop("role_text", "remote_hint")
-    return detect_country(rows, "location", places) if places is not None else rows
+    return detect_country(rows, "location", places, max_length=None if whole_texts else MAX_LENGTH) if places is not None else rows
 
 
 def rescore(jobs: DataFrame, companies: DataFrame, lexicon: Lexicon, company: str = "company_id") -> DataFrame:

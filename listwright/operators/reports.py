@@ -78,9 +78,9 @@ def truncation(metrics: DataFrame, jobs: DataFrame, caps: dict[str, int], compan
     return out.orderBy(F.col("board_jobs").asc(), F.col("jobs_found").desc(), F.col(company).asc())
 
 
-def by_url(rows: DataFrame, url: str, order: str, ids: str) -> DataFrame:
-    """(url, ids, place): each URL once with its first few rows' ids in order, by first appearance."""
-    few = first_values(rows.withColumn("__id", F.col(ids).cast("string")), url, "__id", order, 20, "ids")
+def by_url(rows: DataFrame, url: str, order: str, ids: str, most: int = 20) -> DataFrame:
+    """(url, ids, place, n): each URL once with its first `most` rows' ids in order, by first appearance, and the number of all."""
+    few = first_values(rows.withColumn("__id", F.col(ids).cast("string")), url, "__id", order, most, "ids")
     return rows.groupBy(url).agg(F.min(order).alias("place"), F.count("*").alias("n")).join(few, url)
 
 

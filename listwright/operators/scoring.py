@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import subset
-from ..functions.text import clean_description
+from ..functions.text import beginning, clean_description
 
 #: fixed values: where the description of the role begins, and where the company's own text begins after it
 ROLE_MARKERS = (
@@ -25,7 +25,7 @@ CLOSING_MARKERS = (
 )
 EEO = "equal employment opportunit"
 LEAST_CATEGORY_SCORE, MOST_CATEGORIES = 5, 3
-#: characters of the role text that categories and relevance look at
+#: characters of the role text that categories and relevance look at; None as a limit is the whole text
 CATEGORY_TEXT, RELEVANCE_TEXT = 6000, 8000
 THRESHOLDS = {"native": 45, "partial": 50, "all": 55}
 
@@ -95,13 +95,13 @@ def _without_dominated(dominant: str, below: Sequence[str]) -> Column:
     return F.when(rules, kept).otherwise(F.col("__scored"))
 
 
-def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", role: str = "role_text", name: str = "categories", text_limit: int = CATEGORY_TEXT) -> DataFrame:
+def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", role: str = "role_text", name: str = "categories", text_limit: int | None = CATEGORY_TEXT) -> DataFrame:
     """The rows with up to three categories, sorted by name; the best by score, then title hit, then name.
 
     A title scores 6 for a strong and 3 for a weak keyword of a category, the role text 3 and one more for each further
     distinct strong keyword up to 5, and up to 2 for weak ones; 5 are needed.
     """
-    t, r = F.lower(F.col(title)), F.lower(F.substring(F.col(role), 1, text_limit))
+    t, r = F.lower(F.col(title)), F.lower(beginning(F.col(role), text_limit))
     structs = []
     for category in sorted({*lexicon.strong, *lexicon.weak}):
         strong, weak = lexicon.strong.get(category, ()), lexicon.weak.get(category, ())
@@ -120,10 +120,10 @@ def with_categories(rows: DataFrame, lexicon: Lexicon, title: str = "title", rol
     return staged.withColumn(name, F.array_sort(best)).drop("__scored")
 
 
-def with_relevance(rows: DataFrame, lexicon: Lexicon, title: str = "title", description: str = "description", role: str = "role_text", categories: str = "categories", scope: str = "audio_scope", score: str = "relevance_score", flag: str = "is_audio_related", text_limit: int = RELEVANCE_TEXT) -> DataFrame:
+def with_relevance(rows: DataFrame, lexicon: Lexicon, title: str = "title", description: str = "description", role: str = "role_text", categories: str = "categories", scope: str = "audio_scope", score: str = "relevance_score", flag: str = "is_audio_related", text_limit: int | None = RELEVANCE_TEXT) -> DataFrame:
     """The rows with their relevance score and whether it reaches the threshold of their company's scope."""
     c = F.col
-    t, low = c(title), F.lower(F.substring(c(role), 1, text_limit))
+    t, low = c(title), F.lower(beginning(c(role), text_limit))
     strong, weak = t.rlike(lexicon.title_strong), t.rlike(lexicon.title_weak)
     labels = F.array(*[F.lit(x) for x in lexicon.label_only]).cast("array<string>")
     domain = ~subset(F.coalesce(c(categories), F.array().cast("array<string>")), labels)

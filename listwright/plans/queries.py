@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import country, salary, search, text, url
@@ -393,20 +393,26 @@ def country_of_location(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
     lexicon = nations.select(F.lit("name").alias("kind"), country.fold(c("n_name")).alias("phrase"), c("n_nationkey").alias("country"))
     lexicon = lexicon.union(nations.select(F.lit("city"), F.concat(F.lit("port "), F.lower("n_name"), F.lit(" city")), "n_nationkey"))
-    first = F.first("n_name").over(Window.partitionBy(F.lit(1)).orderBy("n_nationkey"))
-    second = F.nth_value("n_name", 2).over(Window.partitionBy(F.lit(1)).orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    named = nations.withColumn("other", F.when(c("n_name") == first, second).otherwise(first))
-    rows = table(spark, d, "customer").join(F.broadcast(named), c("c_nationkey") == c("n_nationkey"))
+    other = nations.select((c("n_nationkey") + 1).alias("before"), c("n_name").alias("other"))
+    named = nations.join(other, c("before") == F.when(c("n_nationkey") == 0, 2).otherwise(c("n_nationkey")))
+    rows = table(spark, d, "customer").join(named, c("c_nationkey") == c("n_nationkey"))
     place = F.when(c("c_custkey") % 5 == 0, "Remote - anywhere").when(c("c_custkey") % 5 == 1, F.concat(F.lit("Somewhere (hub), "), "n_name")).when(c("c_custkey") % 5 == 2, F.concat(F.lower("n_name"), F.lit(" | office")))
     place = place.when(c("c_custkey") % 5 == 3, F.concat("n_name", F.lit("; "), "other")).otherwise(F.concat(F.lit("Great "), "n_name", F.lit(" area")))
     return country.detect_country(rows.select("c_custkey", place.alias("place")), "place", lexicon).select("c_custkey", "country")
 
 
-@query("""SELECT upper(c_name) || ' & Co., Ltd.' AS name, c_name AS matched FROM customer""")
+#: names as others write them, by how they are to be found: legal forms, words left out, words in another order, a letter more
+_KNOWN = "replace(replace(c_name, '#', ' '), 'Customer', c_mktsegment || ' Audio')"
+
+
+@query(f"""WITH k AS (SELECT c_custkey, {_KNOWN} AS known, c_mktsegment AS seg, split_part(c_name, '#', 2) AS n FROM customer)
+SELECT CASE c_custkey % 4 WHEN 0 THEN upper(known) || ' & Co., Ltd.' WHEN 1 THEN n || ' ' || seg WHEN 2 THEN known || ' Berlin' ELSE 'no ' || reverse(n) || ' such firm x' || c_custkey END AS name, CASE WHEN c_custkey % 4 < 3 THEN known END AS matched FROM k""")
 def name_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Names written otherwise, matched to the known ones."""
-    known = table(spark, d, "customer").select(c("c_name").alias("name"))
-    return resolve.match_names(known.select(F.concat(F.upper("name"), F.lit(" & Co., Ltd.")).alias("name")), known)
+    """Names written otherwise, matched to the known ones: equal but for legal forms, fewer words, more words, unknown."""
+    rows = table(spark, d, "customer").withColumn("known", F.replace(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit("Customer"), F.concat("c_mktsegment", F.lit(" Audio"))))
+    n, k = F.substring_index("c_name", "#", -1), c("c_custkey") % 4
+    name = F.when(k == 0, F.concat(F.upper("known"), F.lit(" & Co., Ltd."))).when(k == 1, F.concat_ws(" ", n, "c_mktsegment")).when(k == 2, F.concat("known", F.lit(" Berlin"))).otherwise(F.concat(F.lit("no "), F.reverse(n), F.lit(" such firm x"), "c_custkey"))
+    return resolve.match_names(rows.select(name.alias("name")), rows.select(c("known").alias("name")))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS INTEGER) % 90 AS score, 'u' || event_id AS url FROM events), g AS (SELECT user_id, min(event_id) FILTER (WHERE score >= 70) AS stop FROM s GROUP BY 1),

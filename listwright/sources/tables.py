@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import beginning
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -89,8 +91,8 @@ def flat_records(rows: DataFrame, **provenance: str) -> DataFrame:
 PDF_TEXT = (200, 20_000)
 
 
-def document_text(text: Column, limits: tuple[int, int] = PDF_TEXT) -> Column:
-    """Extracted text of a document with white space tidied, cut at the upper limit; null under the lower one."""
+def document_text(text: Column, limits: tuple[int, int | None] = PDF_TEXT) -> Column:
+    """Extracted text of a document with white space tidied, cut at the upper limit if there is one; null under the lower one."""
     tidy = F.regexp_replace(F.regexp_replace(text, r"[ \t\x{A0}]+", " "), r" ?\n ?", "\n")
     tidy = F.btrim(F.regexp_replace(tidy, r"\n{3,}", "\n\n"), F.lit(" \n"))
-    return F.when(F.length(tidy) >= limits[0], F.substring(tidy, 1, limits[1]))
+    return F.when(F.length(tidy) >= limits[0], beginning(tidy, limits[1]))
