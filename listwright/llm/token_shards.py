@@ -6,7 +6,8 @@ bit arrays in which each distinct key owns exactly one bit, whose rank among all
 32-bit fingerprint of its key and the document's position. A lookup reads one bit a level and one slot, whatever the
 size of the shard. `manifest` (Parquet) has a row per shard.
 
-Documents are dealt by key range, so shards are in ascending key order over the whole set. Files are written under a
+Documents are dealt by key range, as many ranges as keep a shard at SHARD_BYTES of text, so shards are in ascending key
+order over the whole set. Payloads are read by range, of READ_IDS ids or one document, never whole. Files are written under a
 name of their own attempt and then renamed, so a task that runs again replaces its shard by an equal one.
 
 Defined cases: a null text counts as empty, so its payload is the end id alone. Documents with a null key come first;
@@ -30,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, row_chunks, string_bytes, table, work_dir
+from .common import mix, row_chunks, saved, sent_to_tasks, string_bytes, table, work_dir
 from .spans import LETTER, SpanCache, classes, code_points, encode_texts, gather, well_known
 
 END_ID = 0
 #: pieces that a Python worker keeps, and bytes of text encoded at a time
 CACHE_PIECES, ENCODE_BYTES = 1_000_000, 1 << 20
+#: bytes of text of a shard, and ids that are read from one at a time
+SHARD_BYTES, READ_IDS = 256 << 20, 1 << 21
 
 
 class PieceEncoder:
@@ -211,6 +214,20 @@ def _read(path: str, name: str) -> bytes:
         return f.read()
 
 
+class Payload:
+    """A shard's ids, read by range."""
+
+    def __init__(self, path: str, shard: int, dtype: str):
+        fs, root = file_system(path)
+        self.file, self.dtype, self.width = fs.open_input_file(f"{root}/shard-{shard:07d}.ids"), dtype, np.dtype(dtype).itemsize
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((end - start) * self.width, start * self.width), self.dtype)
+
+    def close(self) -> None:
+        self.file.close()
+
+
 MANIFEST = "shard int, n_docs long, n_ids long, first_key long, last_key long"
 
 
@@ -218,8 +235,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encode and write every document; the manifest. `path` must be in a folder that all executors share."""
     spark = docs.sparkSession
     dtype = "<u4" if wide else "<u2"
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # equal rows are told apart by their place, so that any number of them is dealt over several ranges
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards, "key", "tie", "place").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -272,13 +293,18 @@ def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFr
         for batch in batches:
             for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 index = Shard.from_bytes(_read(path, f"shard-{shard:07d}.mph"))
-                ids = np.frombuffer(_read(path, f"shard-{shard:07d}.ids"), dtype)
+                payload = Payload(path, shard, dtype)
                 first = np.arange(len(index.keys)) - np.searchsorted(index.keys, index.keys)  # place among equal keys
                 at = np.concatenate([np.arange(index.nulls), index.find(index.keys) + first])
                 start, end = index.offsets[at], index.offsets[at + 1]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 keys = pa.concat_arrays([pa.nulls(index.nulls, pa.int64()), pa.array(index.keys, pa.int64())])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(base + start), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                # documents lie in the order of their keys, so a run of them is one range of the payload
+                for a, b in row_chunks(np.concatenate([[0], np.cumsum(end - start)]), READ_IDS):
+                    low = int(start[a:b].min())
+                    ids = payload.ids(low, int(end[a:b].max()))
+                    crc = [zlib.crc32(ids[x - low : y - low].astype("<u4").tobytes()) for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(base + start[a:b]), pa.array((end - start)[a:b]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                payload.close()
 
     parts = max(1, manifest.count())
     return manifest.repartition(parts).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -287,28 +313,38 @@ def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFr
 def lookup(keys: DataFrame, path: str, key: str = "doc_id", wide: bool = False) -> DataFrame:
     """(doc_id, ids) of each distinct wanted key that is stored: routed to its shard by range, found by the index."""
     spark, dtype = keys.sparkSession, "<u4" if wide else "<u2"
-    ranges = read_manifest(spark, path).where("first_key is not null").select("shard", "first_key", "last_key")
+    # the bounds of the shards, 20 bytes for each SHARD_BYTES of text
+    bounds = read_manifest(spark, path).where("first_key is not null").select("shard", "first_key", "last_key").orderBy("shard").toArrow()
+    shards, firsts, lasts = (bounds[x].to_numpy() for x in ("shard", "first_key", "last_key"))
     wanted = keys.select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    # shards cover ranges of keys: a row per shard, sent to all tasks, whose size is the number of shards
-    routed = wanted.join(F.broadcast(ranges), F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).select("shard", "doc_id")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, firsts, lasts = shared.value
+        for batch in batches:
+            asked = batch.column(0).to_numpy()
+            # of a key whose documents straddle two shards the first document is in the lower one
+            at = np.minimum(np.searchsorted(lasts, asked), len(lasts) - 1)
+            there = np.flatnonzero((firsts[at] <= asked) & (asked <= lasts[at])) if len(lasts) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shards[at[there]], pa.int32()), pa.array(asked[there])], ["shard", "doc_id"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index, ids = -1, None, None
+        last, index, payload = -1, None, None
         for batch in batches:
             shards, wanted_keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for shard in np.unique(shards):
+            for shard in np.unique(shards).tolist():
                 if shard != last:
-                    last, index = shard, Shard.from_bytes(_read(path, f"shard-{shard:07d}.mph"))
-                    ids = np.frombuffer(_read(path, f"shard-{shard:07d}.ids"), dtype)
+                    last, index, payload = shard, Shard.from_bytes(_read(path, f"shard-{shard:07d}.mph")), Payload(path, shard, dtype)
                 mine = wanted_keys[shards == shard]
                 at = index.find(mine)
                 mine, at = mine[at >= 0], at[at >= 0]
-                rows = [ids[index.offsets[i] : index.offsets[i + 1]].astype(np.int32) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    # a key whose documents straddle two shards is found in both; its first document is in the lower one
-    first = routed.groupBy("doc_id").agg(F.min("shard").alias("shard")).select("shard", "doc_id")
-    return first.repartition("shard").sortWithinPartitions("shard").mapInArrow(task, "doc_id long, ids array<int>")
+                sizes = np.concatenate([[0], np.cumsum(index.offsets[at + 1] - index.offsets[at])])
+                for a, b in row_chunks(sizes, READ_IDS):
+                    rows = [payload.ids(index.offsets[i], index.offsets[i + 1]).astype(np.int32) for i in at[a:b].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[a:b], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    with sent_to_tasks(spark, (shards, firsts, lasts)) as shared:
+        routed = saved(wanted.mapInArrow(route, "shard int, doc_id long"), work_dir(spark, "token-routes"))
+    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(task, "doc_id long, ids array<int>")
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
