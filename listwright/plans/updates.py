@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import board, keywords, lifecycle, renames, reports, requests, rescore, resolve, store
 from ..sources.tables import table
 from ..sources.work import work_dir
+from ..streaming import sinks
 from .fixtures import COMPANIES_SQL, JOBS_SQL, companies, jobs
 from .listings import SEEN, SHOWN, _board, _page_sql
 from .queries import LEXICON, query
@@ -90,3 +91,25 @@ def posting_pages(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     data = reports.posting_data(F.concat("title", F.lit(" <b>")), none, c("posted_date"), none, c("location"), none)
     return reports.sitemap_rows(rows.withColumn("data", data), "address", "posted_date", ["id", "data"])
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type = 'error' AS failed, event_id, max(event_id) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id) AS last FROM events)
+SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) FILTER (WHERE failed AND (last IS NULL OR event_id > last)) AS failures FROM e GROUP BY 1""")
+def failures_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Failures since the last success of each user, counted in three batches of which the second comes twice."""
+    sink = sinks.FailureCounts(work_dir(spark, "failure-counts"), "user_id", "failed", "event_id")
+    rows = table(spark, d, "events").select("user_id", (c("event_type") == "error").alias("failed"), "event_id")
+    cut = rows.approxQuantile("event_id", [0.4, 0.7], 0.01)
+    parts = (rows.where(c("event_id") < cut[0]), rows.where((c("event_id") >= cut[0]) & (c("event_id") < cut[1])), rows.where(c("event_id") >= cut[1]))
+    for i, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])):
+        sink(part, i)
+    return sink.read(spark)
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 4 * 3600 * 1000000::BIGINT, true) AS fresh FROM events),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS begins, CAST(epoch_us(max(ts)) AS BIGINT) AS ends, count(*) AS n FROM s GROUP BY user_id, session""")
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Users' sessions: stretches of events with four hours at most between neighbours."""
+    found = sinks.sessions(table(spark, d, "events"), "user_id", "ts", "4 hours")
+    return found.select("user_id", F.unix_micros(c("begins")).alias("begins"), F.unix_micros(c("ends")).alias("ends"), "n")
