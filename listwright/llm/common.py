@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,19 @@ def sent_to_tasks(spark: SparkSession, value) -> Iterator[Broadcast]:
         shared.destroy()
 
 
+def any_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For steps on frames whose own columns begin with two underscores: the caller's columns of such names are kept, too."""
+
+    @wraps(step)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        away = {c: f"kept-{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not away:
+            return step(docs, *args, **kwargs)
+        return step(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks, saved, string_bytes, table, work_dir
+from .common import any_names, row_chunks, saved, string_bytes, table, work_dir
 
 FEATURES = 1 << 13
 CLUSTERS, ROUNDS = 4, 8
@@ -180,6 +180,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return pickle.loads(row["model"]) if row else Centroids([], np.zeros(0, np.int64), [], [])
 
 
+@any_names
 def predict(docs: DataFrame, model: Centroids, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with lang_pred, score and rejected; input columns of these names are replaced."""
     new = ("lang_pred", "score", "rejected")

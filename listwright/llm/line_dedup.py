@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, work_dir
+from .common import any_names, saved, table, work_dir
 
 MIN_SITES = 10
 #: sketches have 2**LG_K registers; NEAR is six of their standard errors
@@ -64,10 +64,12 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     return candidates.where(F.col("sites") > over).select("line_hash").unionAll(exact.where(F.col("sites") >= min_sites).select("line_hash"))
 
 
+@any_names
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source", copies_once: bool = False) -> DataFrame:
     """The documents without their boilerplate lines; the columns of the input."""
     # a table of its own: small enough to be sent to all tasks, or else joined with splits for lines of very many documents
     boilerplate = saved(spread_lines(docs, min_sites, text, site, key if copies_once else None), f"{work_dir(docs.sparkSession, 'line-dedup')}/boilerplate")
+    # should two rows have one hash, each gets the boilerplate lines of both, which it may lose anyway
     row = F.xxhash64(F.col(key), F.col(text))
     places = docs.select(row.alias("__row"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(x)))).alias("line_hash"))
     hit = places.join(boilerplate, "line_hash", "left_semi").groupBy("__row").agg(F.collect_set("line_hash").alias("__gone"))

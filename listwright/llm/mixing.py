@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, work_dir
+from .common import any_names, saved, table, work_dir
 
 WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.10, "src3": 0.02}
 SEED = 17
@@ -61,6 +61,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], source: str = "
     return rates.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
+@any_names
 def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Each document as often as its Poisson count says, in an order that is random over the whole result."""
     rates = repetition_rates(docs, weights, source).select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))

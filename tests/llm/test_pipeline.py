@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from listwright.llm.common import saved, work_dir
 
@@ -38,3 +40,20 @@ def test_copied_text_keeps_one_copy(spark):
     assert all(got[i] == body for i in range(15)) and all("reserved" not in got[100 + i] for i in range(10))
     left = {r["doc_id"]: r["text"] for r in stages["jaccard_join"](spark, lined, "").collect()}
     assert left[0] == body and not any(i in left for i in range(1, 15))
+
+
+def test_odd_documents_through_all_stages(spark, odd_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing names, from stage to stage."""
+    names = ("__text", "__row", "__n", "__salt", "__gone", "__own", "__cdf", "own", "row", "rep", "n", "part")
+    docs = odd_docs.withColumns({x: F.lit(i) for i, x in enumerate(names)})
+    # more of one language, so that it can be learned
+    more = spark.range(60).selectExpr("id + 1000 AS doc_id", "concat('the cat and the dog number ', id, ' sat on the mat of the house') AS text", "'en' AS lang", "concat('s', id % 3) AS source", "1L AS n_chars", "'e' AS copy")
+    docs = docs.unionByName(more.withColumns({x: F.lit(i) for i, x in enumerate(names)}))
+    columns, work = docs.columns, work_dir(spark, "odd-stages")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""), f"{work}/{name}")
+        # mixing has names of its own for a document's copies
+        assert docs.columns == [c for c in columns if name != "mixing" or c != "copy"] or docs.columns == columns, name
+        assert all(r["__text"] == 0 and r["part"] == len(names) - 1 for r in docs.select("__text", "part").collect())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert out.count() == docs.count() > 0
