@@ -1,7 +1,10 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate join, source mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's documents. All but the last return the columns of `documents`. A table without rows passes through all stages.
+one's documents. All but the last return the columns of `documents`, whatever else the table has; the columns `copy`,
+`n_copies` and `order_key` are the mixing stage's own and replaced. A table without rows passes through all stages. Texts
+without a letter, null ones among them, go with the language stage; rows without an id or source, equal rows and very
+long texts are documents like others.
 """
 
 from __future__ import annotations

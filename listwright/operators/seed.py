@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +29,11 @@ def matched_by_name_or_slug(entries: DataFrame, companies: DataFrame, name: str
     return one.join(by_name, "__key", "left").join(by_slug, "__slug", "left").select(*entries.columns, F.coalesce("__by_name", "__by_slug").alias("id"))
 
 
-def load(entries: DataFrame, companies: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Companies after a seed: (id, name, slug, source, columns, action).
+def load(entries: DataFrame, companies: DataFrame, columns: Sequence[str], derived: Mapping[str, tuple[str, Callable[[Column], Column]]] | None = None) -> DataFrame:
+    """Companies after a seed: (id, name, slug, source, columns, derived columns, action).
+
+    derived: columns that follow from another one, as {name: (from, how)}; worked out anew where that one changed and the
+    entry doesn't have the column itself, and for new companies that come without it.
 
     entries: place, name, the columns, and `present`, the names of the keys that the entry has at all. A key that is
     absent leaves its column alone, one that is null clears it. Manual companies are protected: nothing of theirs
@@ -40,10 +43,15 @@ def load(entries: DataFrame, companies: DataFrame, columns: Sequence[str]) -> Da
     known = found.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*columns, "present"), "place").alias("e"))
     both = companies.join(known, "id", "left")
     writable = F.col("e").isNotNull() & (F.col("source") != "manual")
-    new = [F.when(writable & F.array_contains("e.present", c), F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    taken = {c: F.when(writable & F.array_contains("e.present", c), F.col(f"e.{c}")).otherwise(F.col(c)) for c in columns}
+    for name, (of, how) in (derived or {}).items():
+        own = taken.get(name, F.col(name))
+        said = F.array_contains("e.present", name) if name in columns else F.lit(False)
+        taken[name] = F.when(writable & ~said & ~taken[of].eqNullSafe(F.col(of)), how(taken[of])).otherwise(own)
+    new = [v.alias(c) for c, v in taken.items()]
     action = F.when(F.col("e").isNull(), "keep").when(writable, "update").otherwise("protected")
     stored = both.select("id", "name", "slug", "source", *new, action.alias("action"))
-    fresh = found.where("id is null").select(F.lit(None).cast("long").alias("id"), "name", slugify(F.col("name")).alias("slug"), F.lit("seed").alias("source"), *columns, F.lit("insert").alias("action"))
+    fresh = found.where("id is null").select(F.lit(None).cast("long").alias("id"), "name", slugify(F.col("name")).alias("slug"), F.lit("seed").alias("source"), *[F.coalesce(F.col(c) if c in columns else F.lit(None), derived[c][1](F.col(derived[c][0]))).alias(c) if derived and c in derived else F.col(c) for c in taken], F.lit("insert").alias("action"))
     return stored.unionByName(fresh)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import board, keywords, lifecycle, renames, reports, requests, rescore, resolve, store
+from ..functions import titles
+from ..operators import board, keywords, lifecycle, renames, reports, requests, rescore, resolve, seed, store
 from ..sources.tables import table
 from ..sources.work import work_dir
 from ..streaming import sinks
@@ -113,3 +114,24 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Users' sessions: stretches of events with four hours at most between neighbours."""
     found = sinks.sessions(table(spark, d, "events"), "user_id", "ts", "4 hours")
     return found.select("user_id", F.unix_micros(c("begins")).alias("begins"), F.unix_micros(c("ends")).alias("ends"), "n")
+
+
+SEED_COLUMNS = ("careers_url", "category", "verified", "scrape_blocked", "open_application", "priority", "ats_type", "ats_slug")
+#: entries of all customers: what they say of a company, and which of it they say at all
+SEED_SQL = """SELECT c_custkey AS place, CASE WHEN c_custkey % 3 = 1 THEN concat(c_name, ' New') ELSE upper(c_name) END AS name, CASE WHEN c_custkey % 2 = 0 THEN concat('https://s', CAST(c_custkey AS VARCHAR(20)), '.example.org') END AS careers_url,
+CASE WHEN c_acctbal > 5000 THEN 'MACHINERY' ELSE c_mktsegment END AS category, c_acctbal > 0 AS verified, CASE WHEN c_nationkey % 5 = 0 THEN true END AS scrape_blocked, c_nationkey % 4 = 0 AS open_application, c_nationkey % 7 = 0 AS priority,
+CASE WHEN c_nationkey % 2 = 0 THEN 'lever' END AS ats_type, concat('t', CAST(c_nationkey AS VARCHAR(9))) AS ats_slug, c_custkey % 4 AS says FROM customer"""
+_SAID = {"careers_url": (0, 1, 2), "category": (0, 1), "verified": (0, 2), "scrape_blocked": (1,), "open_application": (0, 1, 2, 3), "priority": (2,), "ats_type": (0, 3), "ats_slug": (0, 3)}
+
+
+@query(f"""WITH k AS ({COMPANIES_SQL}), e AS ({SEED_SQL}), m AS (SELECT e.*, k.id FROM e LEFT JOIN k ON lower(k.name) = lower(e.name)),
+n AS (SELECT k.id, k.name, source, {', '.join(f"CASE WHEN m.id IS NOT NULL AND source <> 'manual' AND says IN ({', '.join(map(str, says))}) THEN m.{x} ELSE k.{x} END AS {x}" for x, says in _SAID.items())}, k.category AS was, audio_scope, m.id IS NOT NULL AND source <> 'manual' AS writable, CASE WHEN m.id IS NULL THEN 'keep' WHEN source = 'manual' THEN 'protected' ELSE 'update' END AS action FROM k LEFT JOIN m ON m.id = k.id)
+SELECT id, name, {', '.join(SEED_COLUMNS)}, CASE WHEN writable AND category IS DISTINCT FROM was THEN CASE WHEN category = 'MACHINERY' THEN 'all' WHEN category = 'BUILDING' THEN 'partial' ELSE 'native' END ELSE audio_scope END AS audio_scope, action FROM n
+UNION ALL SELECT NULL, name, {', '.join(SEED_COLUMNS)}, CASE WHEN category = 'MACHINERY' THEN 'all' WHEN category = 'BUILDING' THEN 'partial' ELSE 'native' END, 'insert' FROM m WHERE id IS NULL""")
+def seed_load_all(spark: SparkSession, d: str) -> DataFrame:
+    """Companies after a seed of all columns; the scope follows a changed category."""
+    rows = spark.sql(SEED_SQL.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+    present = F.array_compact(F.array(*[F.when(c("says").isin(*says), x) for x, says in _SAID.items()]))
+    entries = rows.select("place", "name", *SEED_COLUMNS, present.alias("present"))
+    loaded = seed.load(entries, companies(spark, d), SEED_COLUMNS, {"audio_scope": ("category", lambda x: titles.scope_of(x, ["BUILDING"], ["MACHINERY"]))})
+    return loaded.select("id", "name", *SEED_COLUMNS, "audio_scope", "action")
