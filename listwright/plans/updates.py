@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import board, keywords, lifecycle, renames, reports, requests, rescore, resolve, seed, store
+from ..operators import board, keywords, lifecycle, proposals, renames, reports, requests, rescore, resolve, scoring, seed, store
 from ..sources.tables import table
 from ..sources.work import work_dir
 from ..streaming import sinks
@@ -135,3 +135,24 @@ def seed_load_all(spark: SparkSession, d: str) -> DataFrame:
     entries = rows.select("place", "name", *SEED_COLUMNS, present.alias("present"))
     loaded = seed.load(entries, companies(spark, d), SEED_COLUMNS, {"audio_scope": ("category", lambda x: titles.scope_of(x, ["BUILDING"], ["MACHINERY"]))})
     return loaded.select("id", "name", *SEED_COLUMNS, "audio_scope", "action")
+
+
+#: found postings are titles of parts at companies of segments and nations; known are those of one segment
+PROPOSED = scoring.Lexicon(strong={}, weak={}, title_strong=r"(?i)\bbolt")
+
+
+@query("""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS place, l_quantity, c_mktsegment, n_name, concat(c_mktsegment, ' Works ', n_name, CASE WHEN l_quantity > 25 THEN ' GmbH' ELSE ' Ltd' END) AS company_name, p_name AS title, o_orderpriority AS term
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%bolt%'),
+k AS (SELECT *, lower(c_mktsegment || ' works ' || replace(n_name, '_', ' ')) AS key FROM f WHERE c_mktsegment <> 'BUILDING'),
+s AS (SELECT key, company_name, count(*) AS n, min(place) AS pos FROM k GROUP BY ALL)
+SELECT key AS normalized_name, (SELECT company_name FROM s WHERE s.key = k.key ORDER BY n DESC, pos LIMIT 1) AS name, count(*) AS hit_count, array_to_string(list_sort(list(DISTINCT term)), ',') AS search_terms FROM k GROUP BY key HAVING count(*) >= 2""")
+def proposed_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Companies of relevant postings that are not known by any spelling."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("o_orderkey") == c("l_orderkey")).join(table(spark, d, "customer"), c("c_custkey") == c("o_custkey"))
+    rows = rows.join(table(spark, d, "nation"), c("n_nationkey") == c("c_nationkey")).join(table(spark, d, "part"), c("p_partkey") == c("l_partkey"))
+    none = F.lit(None).cast("string")
+    name = F.concat("c_mktsegment", F.lit(" Works "), "n_name")
+    found = rows.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("place"), F.concat(name, F.when(c("l_quantity") > 25, " GmbH").otherwise(" Ltd")).alias("company_name"), c("p_name").alias("title"), c("p_type").alias("description"), none.alias("location"), c("o_orderpriority").alias("search_term"), none.alias("country"), none.alias("company_url"))
+    known = table(spark, d, "nation").select(F.concat(F.lit("Building works "), "n_name", F.lit(" Inc.")).alias("name"))
+    out = proposals.new_companies(found, known, PROPOSED, keywords.Taxonomy({}), least=2)
+    return out.select("normalized_name", "name", "hit_count", F.array_join("search_terms", ",").alias("search_terms"))
