@@ -145,7 +145,7 @@ PROPOSED = scoring.Lexicon(strong={}, weak={}, title_strong=r"(?i)\bbolt")
  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = l_partkey WHERE p_name LIKE '%bolt%'),
 k AS (SELECT *, lower(c_mktsegment || ' works ' || replace(n_name, '_', ' ')) AS key FROM f WHERE c_mktsegment <> 'BUILDING'),
 s AS (SELECT key, company_name, count(*) AS n, min(place) AS pos FROM k GROUP BY ALL)
-SELECT key AS normalized_name, (SELECT company_name FROM s WHERE s.key = k.key ORDER BY n DESC, pos LIMIT 1) AS name, count(*) AS hit_count, array_to_string(list_sort(list(DISTINCT term)), ',') AS search_terms FROM k GROUP BY key HAVING count(*) >= 2""")
+SELECT key AS normalized_name, (SELECT company_name FROM s WHERE s.key = k.key ORDER BY n DESC, pos, company_name LIMIT 1) AS name, count(*) AS hit_count, array_to_string(list_sort(list(DISTINCT term)), ',') AS search_terms FROM k GROUP BY key HAVING count(*) >= 2""")
 def proposed_companies(spark: SparkSession, d: str) -> DataFrame:
     """Companies of relevant postings that are not known by any spelling."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("o_orderkey") == c("l_orderkey")).join(table(spark, d, "customer"), c("c_custkey") == c("o_custkey"))
