@@ -31,31 +31,35 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def _runs(names: DataFrame, text: str) -> DataFrame:
-    """Runs of three characters of each name, each with its number among equal runs."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    one = names.withColumn("run", F.explode(F.transform(places, lambda i: F.substr(F.col(text), i, F.lit(3)))))
-    return one.groupBy(*names.columns, "run").agg(F.count("*").alias("times"))
-
-
 def similar_names(ours: DataFrame, theirs: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """(columns of both, r): pairs whose texts a and b are `least` alike at least. No column name may be in both.
+    """(columns of both, r): pairs whose texts a and b are `least` (over 0) alike at least. No column name may be in both.
 
-    Similar names keep most of their runs of three characters: each character that differs costs three at most, so a
-    name of m runs meets every similar one among its rarest ones.
+    Texts of together n characters that are so alike differ by (1 - least) * n inserted or left-out characters at most.
+    So of b cut into one piece more than that, some piece stands in a as it is, and moved by no more than the characters
+    that are in or out before it. Candidates share the length of b, a piece, its number and a place that such a move allows.
     """
-    x, y = _runs(ours, a), _runs(theirs, b)
-    common = y.groupBy("run").agg(F.count("*").alias("common"))
-
-    def prefix(one: DataFrame, text: str, names: list[str]) -> DataFrame:
-        m = F.length(text) - 2
-        lost = 3 * F.ceil((1 - least) / least * 2 * F.length(text)) + 1
-        place = F.row_number().over(Window.partitionBy(*names).orderBy(F.coalesce("common", F.lit(0)), "run"))
-        return one.join(common, "run", "left").withColumn("place", place).where((F.col("place") <= lost) | (m <= lost)).select(*names, "run")
-
-    near = prefix(x, a, ours.columns).join(prefix(y, b, theirs.columns), "run")
-    close = F.abs(F.length(a) - F.length(b)) <= (1 - least) / least * 2 * F.least(F.length(a), F.length(b)) + 1
-    return near.where(close).select(*ours.columns, *theirs.columns).distinct().withColumn("r", ratio(a, b)).where(F.col("r") >= least)
+    # floor, with room for what the similarity's own division rounds
+    differing = lambda n: F.floor((1 - least) * n + 1e-6).cast("int")
+    longest = lambda n: F.floor(n * (2 - least) / least + 1e-6).cast("int")
+    pieces = lambda n: differing(n + longest(n)) + 1
+    starts = lambda n, i: F.floor(i * n / pieces(n)).cast("int")
+    piece = lambda text, n, i, moved: F.substr(text, starts(n, i) + moved + 1, starts(n, i + 1) - starts(n, i))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), pieces(n) - 1))
+
+    x, y, n, i = F.col(a), F.col(b), F.col("__n"), F.col("__i")
+    held = theirs.withColumn("__n", F.length(y)).withColumn("__i", numbers(n)).withColumn("__piece", piece(y, n, i, F.lit(0)))
+    lengths = F.sequence(F.ceil(F.length(x) * least / (2 - least) - 1e-6).cast("int"), longest(F.length(x)))
+    # names are short, but each is asked for by many pieces: the rows are dealt by number, since their size would put them in one task
+    dealt = ours.repartition(int(ours.sparkSession.conf.get("spark.sql.shuffle.partitions")), a)
+    asked = dealt.withColumn("__n", F.explode(lengths)).withColumn("__out", differing(F.length(x) + n)).withColumn("__i", numbers(n))
+    # moved by m, a has |m| differing characters before the piece, and what is left of the lengths' difference after it
+    more = F.length(x) - n
+    moves = F.sequence(F.ceil((more - F.col("__out")) / 2).cast("int"), F.floor((more + F.col("__out")) / 2).cast("int"))
+    inside = lambda m: (starts(n, i) + m >= 0) & (starts(n, i + 1) + m <= F.length(x))
+    found = F.transform(F.filter(moves, inside), lambda m: piece(x, n, i, m))
+    asked = asked.where(F.abs(more) <= F.col("__out")).withColumn("__piece", F.explode(F.array_distinct(found))).drop("__out")
+    near = asked.join(held, ["__n", "__i", "__piece"]).select(*ours.columns, *theirs.columns).distinct()
+    return near.withColumn("r", ratio(x, y)).where(F.col("r") >= least)
 
 
 def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known_name: str = "name", fuzzy: float = FUZZY_FROM) -> DataFrame:
@@ -63,7 +67,7 @@ def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known
 
     Equal names first, then token subsets, then a known one-word name that starts the incoming one, then similar ones,
     the best by rank, similarity and least name. Candidates come from equi-joins: on the rarest token of the inner name
-    for subsets, on the first token, and for similar names on one of their rarest runs of characters.
+    for subsets, on the first token, and for similar names on a piece of the known one at about its place.
     """
     given = incoming.select(F.col(name).alias("given")).distinct().select("given", normalize_name(F.col("given")).alias("n"))
     index = known.select(normalize_name(F.col(known_name)).alias("k"), F.col(known_name).alias("shown")).where("k <> ''").groupBy("k").agg(F.min("shown").alias("shown"))
