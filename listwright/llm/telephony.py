@@ -1,9 +1,9 @@
 """Media columns: telephony audio.
 
 8-bit mu-law and A-law samples are expanded by lookup tables; IMA ADPCM blocks are decoded with numpy, one step for all
-blocks of many files at a time; PCM is resampled by linear interpolation in integers and stored beside the media. Both
-are WAV files: the telephony form keeps its bytes as they came (formats 7, 6 and 17, 8 kHz, mono), PCM is 16-bit (format
-1). Which of the three forms a text is taken for is decided by its bytes alone.
+blocks of many files at a time; PCM is resampled by linear interpolation in integers. Both are WAV files: the telephony
+form keeps its bytes as they came (formats 7, 6 and 17, 8 kHz, mono), PCM is 16-bit (format 1). Which of the three forms a
+text is taken for is decided by its bytes alone.
 
 Defined cases: a null payload counts as empty and is padded to one block of blanks; equal payloads give equal media and
 features; very long ones are handled whole. Bytes that are not a WAV file of a known format give null on reading.
@@ -29,8 +29,8 @@ from .common import row_chunks, saved, string_bytes, table, work_dir
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
 FORMS, NAMES = (MULAW, ALAW, IMA_ADPCM), {MULAW: "mulaw", ALAW: "alaw", IMA_ADPCM: "adpcm"}
 RATE, BLOCK = 8000, 192
-#: the rate of the query's stored PCM: half a byte to one for each byte of text
-QUERY_RATE = 2000
+#: the rate of a short form of the samples that features are given of besides those of all samples
+SHORT_RATE = 2000
 CHUNK = 2 << 20
 #: fixed values of the IMA ADPCM format: change of the step index for the low three bits of a code
 INDEX_SHIFT = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -205,20 +205,27 @@ def decode_media(media: DataFrame, column: str = "media", rate: int = 16000) ->
     return media.select(*kept).mapInArrow(task, schema)
 
 
+def figures(pcm: np.ndarray, name: str = "") -> str:
+    """Samples, loudness, peak, crossings of zero and checksum of 16-bit samples."""
+    x = pcm.astype(np.int64)
+    said = {"samples": len(x), "rms": math.isqrt(int((x * x).sum()) // max(len(x), 1)), "peak": int(np.abs(x).max(initial=0)), "zc": int(((x[:-1] < 0) != (x[1:] < 0)).sum()), "pcm": zlib.crc32(pcm.astype("<i2").tobytes())}
+    return ";".join(f"{name}{k}={v}" for k, v in said.items())
+
+
 def describe(media: DataFrame) -> DataFrame:
-    """Digests of stored media (doc_id, n_bytes, media, pcm), and features of their stored PCM: form, samples, loudness, peak, crossings of zero, checksum."""
+    """Digests of stored media (doc_id, n_bytes, media, pcm), and features of their PCM: form, figures of the samples at SHORT_RATE, and of all samples if the PCM has more."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 2):
+            for part in _parts(batch, 3):
                 stored = part.column(2).to_pylist()
                 files = [read_wav(x) for x in stored]
                 payloads = [f[3] for f in files]
-                samples = [np.frombuffer(read_wav(x)[3], "<i2").astype(np.int64) for x in part.column(3).to_pylist()]
                 features = []
-                for (kind, *_), x in zip(files, samples, strict=True):
-                    crossings = int(((x[:-1] < 0) != (x[1:] < 0)).sum())
-                    features.append(f"form={NAMES[kind]};samples={len(x)};rms={math.isqrt(int((x * x).sum()) // len(x))};peak={int(np.abs(x).max())};zc={crossings};pcm={zlib.crc32(x.astype('<i2').tobytes())}")
+                for (kind, *_), (_, rate, _, data) in zip(files, map(read_wav, part.column(3).to_pylist()), strict=True):
+                    pcm = np.frombuffer(data, "<i2")
+                    every = f";rate={rate};{figures(pcm, 'all_')}" if rate > SHORT_RATE else ""
+                    features.append(f"form={NAMES[kind]};{figures(resample(pcm, SHORT_RATE, rate))}{every}")
                 columns = [part.column(0), part.column(1), pa.array([len(x) for x in payloads], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads])]
                 columns += [pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]), pa.array(features)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -227,6 +234,5 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media and their PCM at QUERY_RATE are written as one table and read back."""
-    media = decode_media(as_media(table(spark, sf_dir, "documents")), rate=QUERY_RATE)
-    return describe(saved(media, work_dir(spark, "telephony")))
+    """The media are written as a table and read back; all their samples are decoded at the operator's own rate."""
+    return describe(decode_media(saved(as_media(table(spark, sf_dir, "documents")), work_dir(spark, "telephony"))))
