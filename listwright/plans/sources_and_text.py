@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, titles, url
 from ..operators import discovery, extract, pages
-from ..sources.tables import document_text, flat_records, table
+from ..sources.tables import dealt, document_text, flat_records, table
 from .queries import AS_OF, query
 
 c = F.col
@@ -252,7 +252,7 @@ def page_trees(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<nav>no</nav><main><h1>Title</h1> "), "p_name", F.lit(" <p>"), "p_type", F.lit("</main><details><summary>"), "p_name", F.lit("</summary><p>"), F.repeat(F.concat("p_type", F.lit(" ")), F.lit(80)),
         F.lit('</p></details><details><summary>short</summary>no</details><div class="card"><a href="/'), "p_partkey", F.lit('">A</a><span class="job-location"> '), "p_brand", F.lit(', </span></div><div><a href="/b">B</a></div>'),
     )
-    rows = extract.page_rows(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", html.alias("html")), ["p_partkey", "p_brand", "p_type"])
+    rows = extract.page_rows(dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", "p_brand", "p_type", html.alias("html")), ["p_partkey", "p_brand", "p_type"])
     one = rows.groupBy("p_partkey", "p_brand", "p_type").agg(
         F.max(F.when(c("kind") == "main", c("text"))).alias("body"), F.max(F.when(c("kind") == "panel", c("heading"))).alias("panel"), F.max(F.when(c("kind") == "panel", c("text"))).alias("said"),
         F.max(F.when(c("kind") == "link", F.when(c("location").isNotNull(), F.struct("href", "location")))).alias("l"),
