@@ -201,7 +201,7 @@ def careers_links(spark: SparkSession, d: str) -> DataFrame:
     slug, root = F.replace("p_name", F.lit(" "), F.lit("-")), F.concat(F.lit("https://"), F.lower("p_type"), F.lit(".example.com"))
     more = F.when(c("p_size") % 2 == 1, F.concat(F.lit('<a class="n" rel="next" href="/'), slug, F.lit('-2">Next</a>'))).otherwise("")
     html = F.concat(F.lit('<a href="/careers/'), slug, F.lit('">C</a><a href="/about">A</a><a href="https://facebook.com/jobs">F</a><a href="https://jobs.lever.co/'), slug, F.lit('">B</a><a href="/careers/'), slug, F.lit('">C</a>'), more)
-    rows = table(spark, d, "part").select("p_partkey", F.concat(root, F.lit("/list?page="), "p_size").alias("url"), html.alias("html"))
+    rows = dealt(table(spark, d, "part").select("p_partkey", F.concat(root, F.lit("/list?page="), "p_size").alias("url"), html.alias("html")), "p_partkey")
     found = discovery.careers_links(rows, "p_partkey").select("p_partkey", F.array_join("links", ",").alias("links"))
     return found.join(rows.select("p_partkey", discovery.next_link(c("html"), c("url")).alias("next")), "p_partkey")
 
