@@ -35,7 +35,7 @@ class RankIndex:
         """The ranges that a page lies in, and how many rows of the first come before it."""
         start, at, out, skip = (number - 1) * size, 0, [], 0
         for i, n in enumerate(self.sizes):
-            if at < start + size and at + n > start:
+            if n and at < start + size and at + n > start:
                 skip = start - at if not out else skip
                 out.append(i)
             at += n
@@ -47,7 +47,13 @@ def build(rows: DataFrame, order: Sequence[Column], path: str, trailing: Column
     if "range" in rows.columns:
         raise ValueError("a column named range")
     n = rows.count()
-    dealt = rows.repartitionByRange(max(1, -(-n // range_rows)), *order).withColumn("range", F.spark_partition_id())
+    # the driver draws a sample for every part and hears of every task, so parts are as many as other shuffles have, cut into ranges by place
+    parts = max(1, min(-(-n // range_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    most = 2 * -(-n // (parts * range_rows)) or 1  # ranges of a part; the last one takes what is beyond
+    place = F.monotonically_increasing_id()  # the part, and the place within it, which takes 33 bits
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", place)
+    cut = F.shiftright("range", 33) * most + F.least(F.floor(F.col("range").bitwiseAND((1 << 33) - 1) / range_rows), F.lit(most - 1))
+    dealt = placed.withColumn("range", cut.cast("int"))
     dealt.sortWithinPartitions("range", *order).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
     written = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows")
     tail = trailing if trailing is not None else F.lit(False)
@@ -69,10 +75,11 @@ def page(spark: SparkSession, index: RankIndex, order: Sequence[Column], number:
     """One page, in order, with `total` and `pages` on each row, as of `board.page`. order: that of the index."""
     number, size = max(1, number), min(max(1, size), MAX_PER_PAGE)
     ranges, skip = index.ranges(number, size)
-    rows = spark.read.parquet(f"{index.path}/rows") if index.sizes else None
-    if rows is None or not ranges:
+    if not ranges:
         kept = spark.read.parquet(f"{index.path}/rows").where("false") if index.sizes else spark.createDataFrame([], _schema(spark, index))
     else:
+        folders = [f"{index.path}/rows/range={i}" for i in ranges]  # the others aren't even listed
+        rows = spark.read.option("basePath", f"{index.path}/rows").parquet(*folders)
         kept = rows.where(F.col("range").isin(*ranges)).orderBy(*order).offset(skip).limit(size)
     pages = -(-index.total_rows // size)
     return kept.select(*index.columns, F.lit(index.counted).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"))
