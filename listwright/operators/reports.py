@@ -22,13 +22,14 @@ def first_values(rows: DataFrame, key: str, value: str, order: str, n: int, name
     return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda x: x["__v"]).alias(name))
 
 
-def candidates(rows: DataFrame, place: str, name: str = "company_name", sets: Sequence[str] = ("search_term", "country"), samples: dict[str, int] | None = None, first: Sequence[str] = ("company_url",)) -> DataFrame:
+def candidates(rows: DataFrame, place: str, name: str = "company_name", sets: Sequence[str] = ("search_term", "country"), samples: dict[str, int] | None = None, first: Sequence[str] = ("company_url",), key: str | None = None) -> DataFrame:
     """One row a company that the rows name, by its normalised name.
 
     name is the commonest spelling, the first met of equals, then the least; hit_count the rows; a sorted distinct array of each of the
-    sets, the first few of each of the samples, and the first value of the others.
+    sets, the first few of each of the samples, and the first value of the others. key: a column with the normalised names, if
+    the rows have them.
     """
-    keyed = rows.withColumn("__key", normalize_name(F.col(name))).where("__key <> ''")
+    keyed = rows.withColumn("__key", F.col(key) if key else normalize_name(F.col(name))).where("__key <> ''")
     spelled = keyed.groupBy("__key", F.trim(name).alias("__name")).agg(F.count("*").alias("n"), F.min(place).alias("__at"))
     shown = spelled.groupBy("__key").agg(F.min_by("__name", F.struct(-F.col("n"), "__at", "__name")).alias("name"))
     arrays = [F.array_sort(F.collect_set(F.nullif(F.trim(s), F.lit("")))).alias(f"{s}s") for s in sets]

@@ -148,11 +148,13 @@ s AS (SELECT key, company_name, count(*) AS n, min(place) AS pos FROM k GROUP BY
 SELECT key AS normalized_name, (SELECT company_name FROM s WHERE s.key = k.key ORDER BY n DESC, pos, company_name LIMIT 1) AS name, count(*) AS hit_count, array_to_string(list_sort(list(DISTINCT term)), ',') AS search_terms FROM k GROUP BY key HAVING count(*) >= 2""")
 def proposed_companies(spark: SparkSession, d: str) -> DataFrame:
     """Companies of relevant postings that are not known by any spelling."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("o_orderkey") == c("l_orderkey")).join(table(spark, d, "customer"), c("c_custkey") == c("o_custkey"))
-    rows = rows.join(table(spark, d, "nation"), c("n_nationkey") == c("c_nationkey")).join(table(spark, d, "part"), c("p_partkey") == c("l_partkey"))
+    parts = table(spark, d, "part").select("p_partkey", c("p_name").alias("title"), c("p_type").alias("description"))
+    parts = proposals.with_texts(parts, proposals.relevant_texts(parts, PROPOSED, keywords.Taxonomy({})))
+    rows = table(spark, d, "lineitem").join(parts, c("p_partkey") == c("l_partkey")).join(table(spark, d, "orders"), c("o_orderkey") == c("l_orderkey"))
+    rows = rows.join(table(spark, d, "customer"), c("c_custkey") == c("o_custkey")).join(table(spark, d, "nation"), c("n_nationkey") == c("c_nationkey"))
     none = F.lit(None).cast("string")
     name = F.concat("c_mktsegment", F.lit(" Works "), "n_name")
-    found = rows.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("place"), F.concat(name, F.when(c("l_quantity") > 25, " GmbH").otherwise(" Ltd")).alias("company_name"), c("p_name").alias("title"), c("p_type").alias("description"), none.alias("location"), c("o_orderpriority").alias("search_term"), none.alias("country"), none.alias("company_url"))
+    found = rows.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("place"), F.concat(name, F.when(c("l_quantity") > 25, " GmbH").otherwise(" Ltd")).alias("company_name"), "title", "description", none.alias("location"), c("o_orderpriority").alias("search_term"), none.alias("country"), none.alias("company_url"))
     known = table(spark, d, "nation").select(F.concat(F.lit("Building works "), "n_name", F.lit(" Inc.")).alias("name"))
-    out = proposals.new_companies(found, known, PROPOSED, keywords.Taxonomy({}), least=2)
+    out = proposals.of_relevant(found, known, least=2)
     return out.select("normalized_name", "name", "hit_count", F.array_join("search_terms", ",").alias("search_terms"))
