@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_description
 from ..sources.tables import dealt
 from ..sources.work import work_dir
 from .keywords import Taxonomy, classify
@@ -34,8 +35,9 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
 def relevant_texts(texts: DataFrame, lexicon: Lexicon, taxonomy: Taxonomy, scope: str = "all") -> DataFrame:
     """The distinct ones of the texts (title, description) that are relevant by the model under the scope, as a table."""
     once = texts.select(*TEXTS).distinct().withColumn("audio_scope", F.lit(scope)).withColumn("company_category", F.lit(None).cast("string"))
-    rows = fenced(classify(fenced(with_role_text(fenced(dealt(once, *TEXTS)), "description")), taxonomy, name="categories"))
-    return _stored(with_relevance(rows, lexicon).where("is_audio_related").select(*TEXTS), "relevant-texts")
+    plain = fenced(dealt(once, *TEXTS).withColumn("__plain", clean_description(F.col("description"))))
+    rows = fenced(classify(fenced(with_role_text(plain, "description", clean="__plain")), taxonomy, name="categories"))
+    return _stored(with_relevance(rows, lexicon, clean="__plain").where("is_audio_related").select(*TEXTS), "relevant-texts")
 
 
 def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_description
 from .keywords import Taxonomy, classify
 from .lifecycle import effective
 from .normalize import fenced
@@ -30,10 +31,10 @@ def mark(lexicon: Lexicon, taxonomy: Taxonomy) -> Column:
 def score(rows: DataFrame, lexicon: Lexicon, taxonomy: Taxonomy) -> DataFrame:
     """The rows with SCORES by the whole model; overrides win."""
     kept = [c for c in rows.columns if c not in SCORES]
-    staged = fenced(with_role_text(fenced(rows.select(*kept)), "description"))
+    staged = fenced(with_role_text(fenced(rows.select(*kept).withColumn("__plain", clean_description(F.col("description")))), "description", clean="__plain"))
     staged = fenced(classify(staged, taxonomy, name="__found"))
     staged = staged.withColumn("job_categories", F.coalesce("categories_override", "__found")).drop("__found")
-    scored = with_relevance(fenced(staged), lexicon, categories="job_categories").drop("role_text")
+    scored = with_relevance(fenced(staged), lexicon, categories="job_categories", clean="__plain").drop("role_text", "__plain")
     return scored.withColumn("is_audio_related", effective(F.col("is_audio_related_override"), F.col("is_audio_related")))
 
 
