@@ -58,7 +58,7 @@ def similar_names(ours: DataFrame, theirs: DataFrame, a: str, b: str, least: flo
     inside = lambda m: (starts(n, i) + m >= 0) & (starts(n, i + 1) + m <= F.length(x))
     found = F.transform(F.filter(moves, inside), lambda m: piece(x, n, i, m))
     asked = asked.where(F.abs(more) <= F.col("__out")).withColumn("__piece", F.explode(F.array_distinct(found))).drop("__out")
-    near = asked.join(held, ["__n", "__i", "__piece"]).select(*ours.columns, *theirs.columns).distinct()
+    near = asked.join(held.hint("merge"), ["__n", "__i", "__piece"]).select(*ours.columns, *theirs.columns).distinct()
     return near.withColumn("r", ratio(x, y)).where(F.col("r") >= least)
 
 
@@ -70,29 +70,30 @@ def match_names(incoming: DataFrame, known: DataFrame, name: str = "name", known
     for subsets, on the first token, and for similar names on a piece of the known one at about its place.
     """
     given = incoming.select(F.col(name).alias("given")).distinct().select("given", normalize_name(F.col("given")).alias("n"))
-    index = known.select(normalize_name(F.col(known_name)).alias("k"), F.col(known_name).alias("shown")).where("k <> ''").groupBy("k").agg(F.min("shown").alias("shown"))
-    exact = given.join(index, given["n"] == index["k"]).select("given", F.col("shown").alias("matched"))
-    rest = given.join(exact, "given", "left_anti").where(F.length("n") > SHORT_NAME).withColumn("words", F.array_distinct(F.split("n", " ")))
-    long = index.where(F.length("k") > SHORT_NAME).withColumn("known_words", F.array_distinct(F.split("k", " ")))
+    # tables, since every stage reads both: a plan that works them out for each is more than a small driver holds
+    index = _stored(known.select(normalize_name(F.col(known_name)).alias("k"), F.col(known_name).alias("shown")).where("k <> ''").groupBy("k").agg(F.min("shown").alias("shown")))
+    met = _stored(given.join(index.hint("merge"), F.col("n") == F.col("k"), "left").select("given", "n", "shown"))
+    exact = met.select("given", "shown", F.when(F.col("shown").isNotNull(), 3).otherwise(-1).alias("rank"), F.lit(1.0).alias("r"))
+    rest = met.where(F.col("shown").isNull() & (F.length("n") > SHORT_NAME)).select("given", "n")
+    long = index.where(F.length("k") > SHORT_NAME).select("shown", "k")
+    words = lambda text: F.array_distinct(F.split(text, " "))
     # of two names, one inside the other, the one inside has its rarest word in both: the index holds that word alone
-    several, known_several = rest.where(F.size("words") >= 2), long.where(F.size("known_words") >= 2)
-    ours = several.select("given", "words", F.explode("words").alias("word"))
-    theirs = known_several.select("shown", "known_words", F.explode("known_words").alias("word"))
+    ours = rest.where(F.size(words("n")) >= 2).select("given", "n", F.explode(words("n")).alias("word"))
+    theirs = long.where(F.size(words("k")) >= 2).select("shown", "k", F.explode(words("k")).alias("word"))
     often = theirs.groupBy("word").agg(F.count("*").alias("often"))
 
-    def rarest(names: DataFrame, name: str) -> DataFrame:
-        return names.join(often, "word", "left").groupBy(name).agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    def rarest(names: DataFrame, *columns: str) -> DataFrame:
+        return names.join(often.hint("merge"), "word", "left").groupBy(*columns).agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
 
-    known_in_given = ours.join(rarest(theirs, "shown").join(known_several.select("shown", "known_words"), "shown"), "word").where(F.size(F.array_except("known_words", "words")) == 0)
-    given_in_known = rarest(ours, "given").join(several.select("given", "words"), "given").join(theirs, "word").where(F.size(F.array_except("words", "known_words")) == 0)
+    inside = lambda short, long: F.size(F.array_except(words(short), words(long))) == 0
+    known_in_given = ours.join(rarest(theirs, "shown", "k").hint("merge"), "word").where(inside("k", "n"))
+    given_in_known = theirs.join(rarest(ours, "given", "n").hint("merge"), "word").where(inside("n", "k"))
     subsets = known_in_given.select("given", "shown").union(given_in_known.select("given", "shown")).select("given", "shown", F.lit(2).alias("rank"), F.lit(1.0).alias("r"))
-    leading = rest.join(long.where(F.size("known_words") == 1), F.substring_index("n", " ", 1) == F.col("k")).select("given", "shown", F.lit(1).alias("rank"), F.lit(1.0).alias("r"))
+    leading = rest.join(long.where(F.size(words("k")) == 1).hint("merge"), F.substring_index("n", " ", 1) == F.col("k")).select("given", "shown", F.lit(1).alias("rank"), F.lit(1.0).alias("r"))
 
-    pairs = similar_names(rest.select("given", "n"), long.select("shown", "k"), "n", "k", fuzzy)
-    similar = pairs.select("given", "shown", F.lit(0).alias("rank"), "r")
-    best = subsets.union(leading).union(similar).groupBy("given").agg(F.min(F.struct(-F.col("rank"), -F.col("r"), "shown")).alias("b"))
-    found = exact.union(best.select("given", F.col("b.shown").alias("matched")))
-    return given.join(found, "given", "left").select(F.col("given").alias(name), "matched")
+    similar = similar_names(rest, long, "n", "k", fuzzy).select("given", "shown", F.lit(0).alias("rank"), "r")
+    best = exact.union(subsets).union(leading).union(similar).groupBy("given").agg(F.min(F.struct(-F.col("rank"), -F.col("r"), "shown")).alias("b"))
+    return best.select(F.col("given").alias(name), F.col("b.shown").alias("matched"))
 
 
 def related(tokens: Column, others: Column) -> Column:
