@@ -10,7 +10,8 @@ MILLISECONDS_FROM = 1e11
 
 def parse_date(value: Column) -> Column:
     """A date from epoch seconds or milliseconds, or from ISO 8601 text; null otherwise."""
-    number = value.try_cast("double")
+    # no number has a hyphen after a digit; trying to read one in a date raises an exception inside, for each row
+    number = F.when(~value.rlike(r"\d-"), value.try_cast("double"))
     seconds = F.when(number > MILLISECONDS_FROM, number / 1000).otherwise(number)
     return F.when(number.isNotNull(), F.timestamp_seconds(seconds).cast("date")).otherwise(F.to_date(F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00"))))
 

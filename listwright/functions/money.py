@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,13 +45,23 @@ def decoded_content(text: Column) -> Column:
 DATE_FORMS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "EEE MMM dd HH:mm:ss zzz yyyy")
 
 
+def _like(text: Column, form: str) -> Column:
+    """Whether a text has the marks of a form of day, month and year, and a month's name as long as it asks for: trying a form on another text raises an exception inside."""
+    if not re.fullmatch("[dMy ,./]+", form):
+        return F.lit(True)
+    marks = [text.contains(mark) == F.lit(mark in form) for mark in ",./"]
+    month = {"MMMM": "(?i)[a-z]{4}|may", "MMM": "(?i)(?<![a-z])[a-z]{3,4}(?![a-z])"}.get("M" * form.count("M"))
+    return reduce(Column.__and__, marks + ([text.rlike(month)] if month else []))
+
+
 def written_date(text: Column, forms: Sequence[str] = DATE_FORMS) -> Column:
     """A date written in one of the forms; `Date.toString` of Java among them."""
     plain = F.regexp_replace(F.trim(text), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]* ", "")
-    usual = [F.try_to_timestamp(plain, F.lit(f)).cast("date") for f in forms if "EEE" not in f]
+    read = lambda text, form: F.when(_like(text, form), F.try_to_timestamp(text, F.lit(form)).cast("date"))
+    usual = [read(plain, f) for f in forms if "EEE" not in f]
     # the zone's name in between is left out: a date needs none
     stamp = F.regexp_replace(plain, r"^([A-Z][a-z]{2} \d{1,2}) \d\d:\d\d:\d\d \S+ (\d{4})$", "$1, $2")
-    return F.coalesce(*usual, F.try_to_timestamp(stamp, F.lit("MMM d, yyyy")).cast("date"), F.try_to_timestamp(stamp, F.lit("MMM dd, yyyy")).cast("date"))
+    return F.coalesce(*usual, read(stamp, "MMM d, yyyy"), read(stamp, "MMM dd, yyyy"))
 
 
 def joined_places(parts: Sequence[Column], mark: str = ", ") -> Column:

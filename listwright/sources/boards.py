@@ -5,7 +5,8 @@ a value, `joined`, `each` and `template` put several together, `mapped` translat
 payload's own row besides, its tenant: the host or slug that a board's public URLs need. A payload may be JSON, JSON
 inside a page, a page of links, or Markdown; a detail payload of a posting adds what its listing leaves out.
 
-Everything runs as column expressions, so a frame of any number of payloads is one narrow pass.
+Everything runs as column expressions, so a frame of any number of payloads is one narrow pass. Parts name a value many
+times; what they ask of a posting are columns first (`Reading`), read once a posting.
 """
 
 from __future__ import annotations
@@ -23,27 +24,102 @@ from pyspark.sql.types import StringType
 from ..functions.dates import parse_date, relative_date
 from ..functions.money import decoded_content, written_date
 from ..functions.text import page_text, unescape
+from ..operators.normalize import fenced
 
-Part = Callable[[Column], Column]
 FIELDS = ("title", "url", "external_id", "location", "description", "job_type", "posted_date", "remote_hint")
 
 
 # ---- parts ----
 
 
+def _steps(path: str) -> tuple[str | int, ...]:
+    """`$.a.b[0]` is a, b, 0."""
+    found = re.findall(r"\.([^.\[\]]+)|\[(\d+)\]", path)
+    if "$" + "".join(f".{name}" if name else f"[{i}]" for name, i in found) != path:
+        raise ValueError(f"{path} is no path of names and numbers")
+    return tuple(name or int(i) for name, i in found)
+
+
+class Reading:
+    """A posting as parts get it in place of its variant: what they ask of it are names of columns, which `columns` adds.
+
+    All that is asked for is taken from the payload in one go, as a struct of its own type, not path by path from a
+    variant of each item. Items of a posting's arrays are variants still.
+    """
+
+    def __init__(self, inner: str = "$") -> None:
+        self.inner = _steps(inner)
+        self.values: dict[tuple[tuple[str | int, ...], str], str] = {}
+        self.made: dict[Part, tuple[str, Column]] = {}
+
+    def value(self, path: str, kind: str) -> Column:
+        return F.col(self.values.setdefault((self.inner + _steps(path), kind), f"__value{len(self.values)}"))
+
+    def part(self, part: Part) -> Column:
+        if part not in self.made:
+            made = part(self)  # parts that it is made of come first
+            self.made[part] = f"__part{len(self.made)}", made
+        return F.col(self.made[part][0])
+
+    def type(self, place: tuple[str | int, ...] = ()) -> str:
+        """Of what is at the place, with all that is asked for at it and below; a variant if that is asked for in several ways."""
+        n = len(place)
+        kinds = {kind for steps, kind in self.values if steps == place}
+        below = list(dict.fromkeys(steps[n] for steps, _ in self.values if len(steps) > n and steps[:n] == place))
+        if not below and len(kinds) == 1:
+            return {"text": "string", "said": "variant"}.get(kind := kinds.pop(), kind)
+        if not kinds and all(isinstance(x, int) for x in below) and len({self.type((*place, x)) for x in below}) == 1:
+            return f"array<{self.type((*place, below[0]))}>"
+        # names of a struct differ in more than capitals
+        if not kinds and all(isinstance(x, str) for x in below) and len({x.lower() for x in below}) == len(below):
+            return "struct<" + ",".join(f"`{x}`:{self.type((*place, x))}" for x in below) + ">"
+        return "variant"
+
+    def _found(self, item: Column, steps: tuple[str | int, ...], kind: str) -> Column:
+        for n, step in enumerate(steps):
+            if self.type(steps[:n]) == "variant":
+                return value(item, "$" + "".join(f"[{x}]" if isinstance(x, int) else f".{x}" for x in steps[n:]), kind)
+            item = F.get(item, F.lit(step)) if isinstance(step, int) else item.getField(step)
+        return value(item, "$", kind) if self.type(steps) == "variant" != kind else stripped(item) if kind == "text" else item
+
+    def columns(self, rows: DataFrame, item: str, keep: list[str]) -> DataFrame:
+        """The rows' columns `keep` and all that was asked for of the item, none of it worked out anew by what stands above."""
+        rows = rows.select(*keep, *[self._found(F.col(item), steps, kind).alias(name) for (steps, kind), name in self.values.items()])
+        for name, made in self.made.values():
+            rows = rows.withColumn(name, made)
+        return fenced(rows)
+
+
+Part = Callable[[Column | Reading], Column]
+
+
 def stripped(text: Column) -> Column:
     """The text without white space at its ends; null if nothing is left."""
     return F.nullif(F.btrim(text, F.lit(" \t\n\r\x0b\x0c\u00a0")), F.lit(""))
 
 
+def value(p: Column | Reading, path: str, kind: str) -> Column:
+    """The value at the path as a type; as `text` anything without white space at its ends, as `said` a text alone."""
+    if isinstance(p, Reading):
+        return p.value(path, kind)
+    if kind == "said":
+        return F.when(F.schema_of_variant(F.try_variant_get(p, path, "variant")) == "STRING", value(p, path, "text"))
+    return stripped(F.try_variant_get(p, path, "string")) if kind == "text" else F.try_variant_get(p, path, kind)
+
+
+def shared(part: Part) -> Part:
+    """The part as a column of its own, for what is much work and named many times. It is worked out for postings that don't count, too."""
+    return lambda p: p.part(part) if isinstance(p, Reading) else part(p)
+
+
 def at(*paths: str) -> Part:
     """The first value at the paths that isn't blank, as text."""
-    return lambda p: F.coalesce(*[stripped(F.try_variant_get(p, x, "string")) for x in paths])
+    return lambda p: F.coalesce(*[value(p, x, "text") for x in paths])
 
 
 def said(path: str) -> Part:
     """The value at the path if it is a text."""
-    return lambda p: F.when(F.schema_of_variant(F.try_variant_get(p, path, "variant")) == "STRING", stripped(F.try_variant_get(p, path, "string")))
+    return lambda p: value(p, path, "said")
 
 
 def first(*parts: Part) -> Part:
@@ -52,26 +128,16 @@ def first(*parts: Part) -> Part:
 
 def joined(*parts: Part, mark: str = ", ") -> Part:
     """The parts that have a value, in order; none if none has."""
+    return lambda p: F.nullif(F.concat_ws(mark, *[x(p) for x in parts]), F.lit(""))
 
-    def whole(p: Column) -> Column:
-        found = F.array_compact(F.array(*[x(p) for x in parts]))
-        return F.when(F.size(found) > 0, F.array_join(found, mark))
-
-    return whole
 
-
-def items(p: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(p, path, "array<variant>"), F.array().cast("array<variant>"))
+def items(p: Column | Reading, path: str) -> Column:
+    return F.coalesce(value(p, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def each(path: str, part: Part, mark: str = "; ") -> Part:
     """The part of every item of an array."""
-
-    def whole(p: Column) -> Column:
-        found = F.array_compact(F.transform(items(p, path), part))
-        return F.when(F.size(found) > 0, F.array_join(found, mark))
-
-    return whole
+    return lambda p: F.nullif(F.array_join(F.transform(items(p, path), part), mark), F.lit(""))
 
 
 def template(text: str) -> Part:
@@ -138,12 +204,12 @@ def always(p: Column) -> Column:
 def _sections(p: Column) -> Column:
     """Texts with headings, each heading over its content."""
     found = F.flatten(F.transform(items(p, "$.lists"), lambda s: F.array_compact(F.array(F.concat(F.lit("<h3>"), at("$.text")(s), F.lit("</h3>")), at("$.content")(s)))))
-    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+    return F.nullif(F.array_join(found, "\n"), F.lit(""))
 
 
 def _money(p: Column) -> Column:
     """`EUR 50,000–60,000` of an object with min, max and currency; an end that is zero counts as missing."""
-    ends = F.array_compact(F.array(*[F.nullif(F.format_number(F.try_variant_get(p, f"$.salary.{k}", "double").cast("long"), 0), F.lit("0")) for k in ("min", "max")]))
+    ends = F.array_compact(F.array(*[F.nullif(F.format_number(value(p, f"$.salary.{k}", "double").cast("long"), 0), F.lit("0")) for k in ("min", "max")]))
     return F.when(F.size(ends) > 0, F.concat_ws(" ", at("$.salary.currency")(p), F.array_join(ends, "–")))
 
 
@@ -155,30 +221,35 @@ def _class_terms(prefix: str, last_first: bool = False) -> Part:
     """Class names with the prefix as words: `location-new-york` is New York."""
 
     def terms(p: Column) -> Column:
-        own = F.filter(F.coalesce(F.try_variant_get(p, "$.class_list", "array<string>"), F.array().cast("array<string>")), lambda c: c.startswith(prefix) & (F.length(c) > len(prefix)))
+        own = F.filter(F.coalesce(value(p, "$.class_list", "array<string>"), F.array().cast("array<string>")), lambda c: c.startswith(prefix) & (F.length(c) > len(prefix)))
         words = F.transform(own, lambda c: F.initcap(F.replace(F.substring(c, len(prefix) + 1, 1000), F.lit("-"), F.lit(" "))))
         return F.nullif(F.array_join(F.reverse(words) if last_first else words, ", "), F.lit(""))
 
     return terms
 
 
+_WEB_LINKS = shared(lambda p: F.filter(F.transform(items(p, "$.links"), at("$.href")), lambda x: x.rlike("(?i)^https?:")))
+
+
 def _link_of_job(p: Column) -> Column:
     """The first web link that names a job, else the first web link, else the page that was read."""
-    links = F.filter(F.transform(items(p, "$.links"), at("$.href")), lambda x: x.rlike("(?i)^https?:"))
+    links = _WEB_LINKS(p)
     return F.coalesce(F.get(F.filter(links, lambda x: x.rlike("(?i)[?&]jobId=")), F.lit(0)), F.get(links, F.lit(0)), stripped(F.col("careers_url")))
 
 
 def _columns_at(p: Column) -> Column:
     """Values of the columns whose numbers are listed; a value may be a JSON list."""
-    columns, numbers = F.try_variant_get(p, "$.column", "array<string>"), F.coalesce(F.try_variant_get(p, "$.locationsColumns", "array<int>"), F.array().cast("array<int>"))
+    # parsing any other text raises an exception inside
+    listed = lambda v: F.btrim(v, F.lit(" \t\r\n\ufeff")).startswith("[")
+    columns, numbers = value(p, "$.column", "array<string>"), F.coalesce(value(p, "$.locationsColumns", "array<int>"), F.array().cast("array<int>"))
     values = F.transform(F.filter(numbers, lambda i: (i >= 0) & (i < F.size(columns))), lambda i: F.get(columns, i))
-    names = F.flatten(F.transform(values, lambda v: F.coalesce(F.try_variant_get(F.try_parse_json(v), "$", "array<string>"), F.array(v))))
+    names = F.flatten(F.transform(values, lambda v: F.coalesce(F.when(listed(v), F.try_variant_get(F.try_parse_json(v), "$", "array<string>")), F.array(v))))
     found = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.when(F.size(found) > 0, F.array_join(found, "; "))
+    return F.nullif(F.array_join(found, "; "), F.lit(""))
 
 
 def _last_column(p: Column) -> Column:
-    columns = F.try_variant_get(p, "$.column", "array<string>")
+    columns = value(p, "$.column", "array<string>")
     return F.when(F.size(columns) > 2, F.element_at(columns, -1))
 
 
@@ -187,10 +258,11 @@ def _in_language(name: str) -> Part:
     return lambda p: F.when(at("$.title.en")(p).isNotNull(), at(f"$.{name}.en")(p)).otherwise(at(f"$.{name}.sv")(p))
 
 
+@shared
 def _cities(p: Column) -> Column:
     """The cities of a posting: names between ; , | or /, and a state's two capitals stay with the city before them."""
-    listed = F.coalesce(*[F.coalesce(F.array_join(F.try_variant_get(p, f"$.cities.{x}", "array<string>"), ","), at(f"$.cities.{x}")(p)) for x in ("en", "sv")])
-    other = F.coalesce(*[F.coalesce(F.array_join(F.try_variant_get(p, f"$.cities.{x}", "array<string>"), ","), at(f"$.cities.{x}")(p)) for x in ("sv", "en")])
+    listed = F.coalesce(*[F.coalesce(F.array_join(value(p, f"$.cities.{x}", "array<string>"), ","), at(f"$.cities.{x}")(p)) for x in ("en", "sv")])
+    other = F.coalesce(*[F.coalesce(F.array_join(value(p, f"$.cities.{x}", "array<string>"), ","), at(f"$.cities.{x}")(p)) for x in ("sv", "en")])
     text = F.when(at("$.title.en")(p).isNotNull(), listed).otherwise(other)
     names = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,|/]"), lambda x: F.trim(x)), lambda x: x != "")
     state = lambda x: x.rlike("^[A-Z]{2}$")
@@ -201,14 +273,23 @@ def _slug(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), "åäö", "aao"), "[^a-z0-9]+", "-")
 
 
+_CITY_SLUG = shared(lambda p: F.trim(_slug(F.get(_cities(p), F.lit(0))), F.lit("-")))
+_COUNTRY_SLUG = shared(lambda p: F.trim(_slug(_in_language("country")(p)), F.lit("-")))
+_TITLE_SLUG = shared(lambda p: F.regexp_replace(_slug(F.replace(_in_language("title")(p), F.lit("+"), F.lit(""))), "-$", ""))
+
+
+@shared
+def _place_slug(p: Column) -> Column:
+    city, country = _CITY_SLUG(p), _COUNTRY_SLUG(p)
+    place = F.when(country == "united-states", city).otherwise(F.nullif(F.concat_ws("-", city, country), F.lit("")))
+    return F.when(place.startswith("san-diego-ca-"), "san-diego-ca").otherwise(place)
+
+
 def _made_url(p: Column) -> Column:
     """The page of a posting whose payload has no URL: title, place, language and day."""
     stamp = F.date_format(F.to_date(F.substring(at("$.publicationDate")(p), 1, 10)), "yyyyMMdd")
-    city, country = F.trim(_slug(F.get(_cities(p), F.lit(0))), F.lit("-")), F.trim(_slug(_in_language("country")(p)), F.lit("-"))
-    place = F.when(country == "united-states", city).otherwise(F.nullif(F.concat_ws("-", city, country), F.lit("")))
-    place = F.when(place.startswith("san-diego-ca-"), "san-diego-ca").otherwise(place)
+    title, place = _TITLE_SLUG(p), _place_slug(p)
     english = at("$.title.en")(p).isNotNull()
-    title = F.regexp_replace(_slug(F.replace(_in_language("title")(p), F.lit("+"), F.lit(""))), "-$", "")
     return F.concat(F.lit("https://www.sigma.se/"), F.when(english, "position/").otherwise("sv/position/"), F.concat_ws("-", title, F.coalesce(place, F.lit("None")), F.when(english, "en").otherwise("sv"), stamp), F.when(stamp.isNotNull(), ""))
 
 
@@ -305,7 +386,7 @@ BOARDS: dict[str, Board] = {
         at("$.descriptionHtml", "$.descriptionPlain"), mapped(at("$.employmentType"), _TYPES), day("$.publishedAt"),
     ),
     "awsm": Board(
-        ("$",), lambda p: stripped(unescape(at("$.title.rendered")(p))), at("$.link"), at("$.id", "$.link"), _class_terms("location-", last_first=True),
+        ("$",), shared(lambda p: stripped(unescape(at("$.title.rendered")(p)))), at("$.link"), at("$.id", "$.link"), _class_terms("location-", last_first=True),
         at("$.content.rendered"), _class_terms("employment-type-"), day("$.date_gmt", "$.date"),
     ),
     "bamboohr": Board(
@@ -369,7 +450,7 @@ BOARDS: dict[str, Board] = {
     "ultipro": Board(
         ("$.opportunities",), at("$.Title"), template("https://{host}/{tenant}/JobBoard/{board_id}/OpportunityDetail?opportunityId={$.Id}"), at("$.Id"),
         each("$.Locations", first(joined(at("$.Address.City"), at("$.Address.State.Code"), at("$.Address.Country.Code")), at("$.LocalizedDescription"))), said("$.BriefDescription"),
-        lambda p: F.when(F.try_variant_get(p, "$.FullTime", "boolean"), "full-time"), day("$.PostedDate"), tenant=("host", "tenant", "board_id"),
+        lambda p: F.when(value(p, "$.FullTime", "boolean"), "full-time"), day("$.PostedDate"), tenant=("host", "tenant", "board_id"),
     ),
     "workday": Board(
         ("$.jobPostings",), at("$.title"), template("{base}/{site}{$.externalPath}"), at("$.externalPath"), at("$.locationsText"), none, mapped(at("$.timeType"), _TYPES),
@@ -387,13 +468,14 @@ def postings(payloads: DataFrame, board: str, keys: list[str], payload: str = "p
     if missing := [x for x in b.tenant if x not in payloads.columns]:
         raise ValueError(f"{board} needs the columns {', '.join(missing)}")
     own = [x for x in b.tenant if x not in keys]
-    parsed = payloads.select(*keys, *own, F.try_parse_json(b.json(F.col(payload))).alias("__v")).where("__v is not null")
-    listed = F.coalesce(*[F.try_variant_get("__v", x, "array<variant>") for x in b.rows])
-    rows = parsed.select(*keys, *own, F.posexplode(listed).alias("place", "__item"))
-    rows = rows.withColumn("__p", F.try_variant_get("__item", b.inner, "variant")).where(F.schema_of_variant("__p").startswith("OBJECT"))
-    p = F.col("__p")
+    p = Reading(b.inner)
     parts = (b.title, b.url, b.external_id, b.location, b.description, b.job_type, b.posted, b.remote)
-    out = rows.where(b.keep(p)).select(*keys, "place", *[part(p).alias(name) for name, part in zip(FIELDS, parts, strict=True)]).where("title is not null and url is not null")
+    keep, found = b.keep(p), [part(p).alias(name) for name, part in zip(FIELDS, parts, strict=True)]
+    parsed = payloads.select(*keys, *own, F.try_parse_json(b.json(F.col(payload))).alias("__v"))
+    listed = F.coalesce(*[F.try_variant_get("__v", x, f"array<{p.type()}>") for x in b.rows])
+    rows = p.columns(parsed.select(*keys, *own, F.posexplode(listed).alias("place", "__item")), "__item", [*keys, *own, "place"])
+    # an item that is no object has no title
+    out = rows.where(keep).select(*keys, "place", *found).where("title is not null and url is not null")
     return merged(out, keys) if b.merged else out
 
 
